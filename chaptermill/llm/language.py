@@ -178,6 +178,19 @@ class Profiles:
         length = np.sqrt(np.maximum(np.add.reduceat(self.sizes[place[at]], starts), 1e-9))
         return {"row": row[at[starts]], "words": words, "cosine": product / length[:, None]}
 
+    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of each unit of plain text without line ends, and its cosine with each language's prototype."""
+        tokens = _TOKEN.findall("\n".join(units) + "\n")
+        self.learn(tokens)
+        place = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
+        ends = np.flatnonzero(place == 0)
+        bounds = np.concatenate(([0], ends + 1))[: len(units) + 1]
+        sizes = np.concatenate(([0.0], np.cumsum(self.sizes[place], dtype=np.float64)))
+        words = np.concatenate(([0], np.cumsum(self.sizes[place] > 0)))
+        products = np.add.reduceat(self.scores[place], bounds[:-1], axis=0) if len(units) else np.zeros((0, len(self.languages)))
+        length = np.sqrt(np.maximum(sizes[bounds[1:]] - sizes[bounds[:-1]], 1e-9))
+        return words[bounds[1:]] - words[bounds[:-1]], products / length[:, None]
+
     def segments(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """Of each segment: row, language (its number), words, confidence."""
         s = self.sentences(texts)
