@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 _FRONT = re.compile(r"\A\s*---[ \t]*\r?\n.*?^---[ \t]*$", re.M | re.S)
 _WRAPPED = re.compile(r"\A(?P<before>[^\n]{0,300}\n\s*)??\s*```(?P<kind>(?:markdown|md|html|text|xml)?)[ \t]*\r?\n(?P<body>.*?)(?P<end>\r?\n?[ \t]*```[ \t]*)?\s*\Z", re.S | re.I)
@@ -14,8 +15,14 @@ _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*$", re.M)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|</?[A-Za-z][^<>]*>", re.S)
 _ALNUM = re.compile(r"[\W_]+")
 #: White space and characters that cannot be seen.
-_UNSEEN = re.compile("[\\s­͏؜ᅟᅠ឴឵᠋-᠏​-‏ -  -⁯⠀ㅤ︀-️﻿ﾠ\x00-\x1f\x7f-\x9f]+")
-_UNSEEN_END = re.compile(_UNSEEN.pattern + r"\Z")
+UNSEEN = "".join(
+    chr(c)
+    for c in chain(
+        range(0x21), range(0x7F, 0xA1), (0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x1680, 0x17B4, 0x17B5), range(0x180B, 0x1810), range(0x2000, 0x2010), range(0x2028, 0x2030), range(0x205F, 0x2070), (0x2800, 0x3000, 0x3164), range(0xFE00, 0xFE10), (0xFEFF, 0xFFA0)
+    )
+)
+#: A line that shows at once that a text has something to read.
+_READS = re.compile(r"^(?:[#>*-]+ )*[^\W_]+[ ,.]", re.M)
 _READABLE_ASIDE = re.compile(r"!\[\s*\]\([^)]*\)|^[ \t]*(?:```|~~~)[^\n]*$|^::\w*[ \t]*$|&(?:nbsp|\#160|zwnj|zwj|shy|\#x?[0-9a-fA-F]+);", re.M)
 #: What gateways put after a cut.
 _MARK = re.compile(r"(?:\s*(?:�+|…|\.{3,}|\[(?:\.{3}|…|[^\[\]\n]{0,30}(?:truncat|cut|обрезан|сокращ|gekürzt|cortado|truncado)[^\[\]\n]{0,30})\]|<\|?(?:endoftext|im_end|eot)\|?>))+\Z", re.I)
@@ -46,6 +53,8 @@ def is_empty(markdown: str | None) -> bool:
     """Whether there is nothing to read but white space, invisible characters, bare markup or front matter."""
     if not markdown:
         return True
+    if not markdown.lstrip().startswith("---") and "<!--" not in markdown and _READS.search(markdown):
+        return False
     text = unwrapped(_FRONT.sub("", markdown))[0]
     text = _TAG.sub(" ", _READABLE_ASIDE.sub(" ", _FRONT.sub("", text)))
     return not any(c.isalnum() for c in text)
@@ -82,11 +91,11 @@ _INLINE = re.compile(r"`[^`\n]*`")
 
 def ending(markdown: str) -> Ending:
     """How a text ends."""
-    body = unwrapped(_UNSEEN_END.sub("", markdown))[0]
+    body = unwrapped(markdown.rstrip(UNSEEN))[0]
     if front := _FRONT.match(body):
         body = body[front.end() :]
-    body = _UNSEEN_END.sub("", body)
-    found = _MARK.search(body)
+    body = body.rstrip(UNSEEN)
+    found = _MARK.search(body, max(0, len(body) - 100))
     mark = ""
     if found:
         mark = "bytes" if "�" in found.group() else "ellipsis" if found.group().strip() == "…" else "dots"
