@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one numpy pass of an operator works on at most (a single longer text still goes alone).
@@ -61,8 +62,8 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str | tuple[str, ...], most:
             continue
         size = np.zeros(batch.num_rows, np.int64)
         for name in names:
-            lengths = pa.compute.utf8_length(batch.column(name))
-            size += pa.compute.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = pc.utf8_length(batch.column(name))
+            size += pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         whole = np.cumsum(size)
         begin = 0
         while begin < batch.num_rows:
