@@ -136,15 +136,11 @@ def kept_lengths(text: Column) -> tuple[Column, Column]:
 
 def at_limit(chars: Column, octets: Column, whole: Column, text: Column) -> Column:
     """Number in LIMITS of the limit a length stands at, or -1; a cut in bytes may have lost a part of a character."""
-    found = F.lit(-1)
-    broken = F.right(text, F.lit(8)).contains("�")
-    for number, limit in reversed(list(enumerate(LIMITS))):
-        if number < len(CHARACTER_LIMITS):
-            here = (chars == limit) | (whole == limit)
-        else:
-            here = (octets == limit) | broken & octets.between(limit - 3, limit)
-        found = F.when(here, number).otherwise(found)
-    return found
+    in_chars, in_bytes = (F.array(*(F.lit(x) for x in limits)) for limits in (CHARACTER_LIMITS, BYTE_LIMITS))
+    place = lambda limits, c: F.nullif(F.array_position(limits, c), F.lit(0))
+    broken = F.when(F.right(text, F.lit(8)).contains("�"), F.array_position(F.transform(in_bytes, lambda x: octets.between(x - 3, x)), F.lit(True)))
+    found = F.coalesce(place(in_chars, chars), place(in_chars, whole), F.lit(len(CHARACTER_LIMITS)) + F.coalesce(place(in_bytes, octets), F.nullif(broken, F.lit(0))))
+    return (F.coalesce(found, F.lit(0)) - 1).cast("int")
 
 
 def _survival(x: np.ndarray) -> np.ndarray:
@@ -255,7 +251,8 @@ def truncated(answers: DataFrame, key: str, source: str, text: str, answer_sourc
     """
     chars, octets = kept_lengths(F.col("t"))
     rows = answers.select(F.col(key).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"), F.col(answer_source).alias("a")).filter("t is not null")
-    measured = rows.withColumn("n_chars", chars).withColumn("limit_no", at_limit(chars, octets, F.length("t"), F.col("t")))
+    lengths = rows.withColumns({"n_chars": chars, "n_bytes": octets, "n_whole": F.length("t")})
+    measured = lengths.withColumn("limit_no", at_limit(F.col("n_chars"), F.col("n_bytes"), F.col("n_whole"), F.col("t")))
     limits = limit_posteriors(measured.select("k", "s", "n_chars", "limit_no").dropDuplicates(["k"]), "s", "n_chars", "limit_no")
     pairs = word_pairs(rows, "t")
     joined = with_sources(measured, "a", sources, source_key, source_text)
