@@ -111,11 +111,11 @@ def queries() -> dict[str, Query]:
 
 _SHARED_STRETCH = """
 with item_words as (
-    select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '') as w from benchmark
+    select item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from benchmark
 ), stretches as (
     select distinct item_id, array_to_string(w[i:i + 11], ' ') as s from item_words, unnest(range(1, len(w) - 10)) as t(i)
 ), doc_words as (
-    select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), w -> w <> '') as w from documents where text is not null
+    select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from documents where text is not null
 ), doc_stretches as (
     select doc_id, array_to_string(w[i:i + 11], ' ') as s from doc_words, unnest(range(1, len(w) - 10)) as t(i)
 )
