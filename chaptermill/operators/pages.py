@@ -1,8 +1,8 @@
 """Operators on HTML pages: siblings, chapters, removal of contents, texts of elements.
 
 Pages are cut into top-level siblings by one pass of a tolerant tokenizer: void elements
-never open, a block start closes an open paragraph, script and style hold raw text, an end
-tag without its start is dropped. A null page gives no rows.
+never open, a block start closes an open paragraph (one that holds nothing yet is dropped),
+script and style hold raw text, an end tag without its start is dropped. A null page gives no rows.
 """
 
 from __future__ import annotations
@@ -71,7 +71,8 @@ def siblings(page: str) -> list[tuple[str, str]]:
             while stack.pop() != "p":
                 pass
             if not stack:
-                out.append((tag, page[begin : m.start()] + "</p>"))
+                if page[begin : m.start()].rpartition(">")[2].strip() or page.count("<", begin, m.start()) > 1:
+                    out.append((tag, page[begin : m.start()] + "</p>"))
                 begin = m.start()
         if not stack:
             flush(m.start())

@@ -14,10 +14,10 @@ from ..operators import markdown as M
 
 def whole_texts(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
     """(path, text) of files, each read whole."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower())
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
