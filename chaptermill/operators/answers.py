@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import markdown as M
 
 # The closed schema of a manifest: kinds of its fields, and what else they have to be.
@@ -24,19 +25,29 @@ def parsed_answer(content: Column) -> Column:
     Way "json": one JSON object with a manifest and a markdown, neither empty. Way "fences":
     the first ```json and the first ```markdown block. Otherwise both are null and error says why.
     """
-    variant = F.try_parse_json(content)
-    manifest = F.try_variant_get(variant, "$.manifest", "variant")
-    text = F.try_variant_get(variant, "$.markdown", "string")
-    as_json = variant.isNotNull()
-    good = F.schema_of_variant(manifest).startswith("OBJECT<") & (F.to_json(manifest) != "{}") & (F.coalesce(text, F.lit("")) != "")
-    fenced_json, fenced_text = M.unfenced(content, "json"), M.unfenced(content, "markdown")
-    fenced = fenced_json.isNotNull() & fenced_text.isNotNull() & F.try_parse_json(fenced_json).isNotNull()
-    return F.struct(
-        F.when(as_json & good, F.to_json(manifest)).when(~as_json & fenced, fenced_json).alias("manifest"),
-        F.when(as_json & good, text).when(~as_json & fenced, fenced_text).alias("markdown"),
-        F.when(as_json & good, "json").when(~as_json & fenced, "fences").alias("way"),
-        F.when(as_json & ~F.coalesce(good, F.lit(False)), "missing manifest or markdown").when(content.isNotNull() & ~as_json & ~fenced, "no JSON and no fenced blocks").alias("error"),
-    )
+    fences = F.struct(M.unfenced(content, "json").alias("manifest"), M.unfenced(content, "markdown").alias("markdown"))
+
+    def of_json(variant: Column) -> Column:
+        manifest = F.try_variant_get(variant, "$.manifest", "variant")
+        text = F.try_variant_get(variant, "$.markdown", "string")
+        good = F.coalesce(F.schema_of_variant(manifest).startswith("OBJECT<"), F.lit(False)) & (F.to_json(manifest) != "{}") & (F.coalesce(text, F.lit("")) != "")
+        return F.when(good, _parsed(F.to_json(manifest), text, "json")).otherwise(_failed("missing manifest or markdown"))
+
+    def of_fences(f: Column) -> Column:
+        good = F.try_parse_json(f["manifest"]).isNotNull() & f["markdown"].isNotNull()
+        return F.when(good, _parsed(f["manifest"], f["markdown"], "fences")).otherwise(_failed("no JSON and no fenced blocks"))
+
+    either = T.bound(F.try_parse_json(content), lambda v: F.when(v.isNotNull(), of_json(v)).otherwise(T.bound(fences, of_fences)))
+    return F.when(content.isNotNull(), either).otherwise(_failed(None))
+
+
+def _parsed(manifest: Column, markdown: Column, way: str) -> Column:
+    return F.struct(manifest.alias("manifest"), markdown.alias("markdown"), F.lit(way).alias("way"), F.lit(None).cast("string").alias("error"))
+
+
+def _failed(error: str | None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(none.alias("manifest"), none.alias("markdown"), none.alias("way"), F.lit(error).cast("string").alias("error"))
 
 
 def manifest_violations(manifest: Column) -> Column:
@@ -44,8 +55,11 @@ def manifest_violations(manifest: Column) -> Column:
 
     Absent fields and explicit nulls differ: only links may be null. A number like 1.0 is an integer.
     """
-    variant = F.try_parse_json(manifest)
+    found = T.bound(F.try_parse_json(manifest), lambda variant: _violations(manifest, variant))
+    return F.when(manifest.isNotNull(), found)
+
 
+def _violations(manifest: Column, variant: Column) -> Column:
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
 
@@ -76,7 +90,7 @@ def manifest_violations(manifest: Column) -> Column:
     )
     unknown = F.array_except(F.coalesce(F.json_object_keys(manifest), F.array().cast("array<string>")), F.array(*(F.lit(f) for f in FIELDS)))
     checks.append(F.when(F.size(unknown) > 0, F.concat(F.lit("unknown "), F.array_join(F.array_sort(unknown), ", "))))
-    return F.when(manifest.isNotNull(), F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
 def system_prompt(rules: str, examples: str) -> str:

@@ -17,7 +17,7 @@ IMAGE_ROOT = "/images/developer/administrator"
 
 def heading_level(line: Column) -> Column:
     """2, 3 or 4 for a heading of that level with a text, else 0."""
-    return F.when(line.rlike(r"\A## ."), 2).when(line.rlike(r"\A### ."), 3).when(line.rlike(r"\A#### ."), 4).otherwise(0)
+    return F.when(~line.startswith("##"), 0).when(line.rlike(r"\A## ."), 2).when(line.rlike(r"\A### ."), 3).when(line.rlike(r"\A#### ."), 4).otherwise(0)
 
 
 def _fences(lines: Column) -> Column:
@@ -82,37 +82,41 @@ def images_under(markdown: Column, slug: Column, root: str = IMAGE_ROOT) -> Colu
 
 def caption_warnings(markdown: Column) -> Column:
     """Table captions that aren't "> Таблица N – text"."""
-    bad = F.filter(T.lines(markdown), lambda x: x.startswith("> Таблица") & ~x.rlike(r"\A> Таблица \d+ – .+"))
+    return T.bound(T.lines(markdown), _captions)
+
+
+def _captions(lines: Column) -> Column:
+    bad = F.filter(lines, lambda x: x.startswith("> Таблица") & ~x.rlike(r"\A> Таблица \d+ – .+"))
     return F.transform(bad, lambda x: F.concat(F.lit("Invalid table caption: "), x))
 
 
 def list_warnings(markdown: Column) -> Column:
     """Items of a run of "- " lines that don't end with ";", and last items that don't end with "."."""
+    return T.bound(T.lines(markdown), _lists)
 
-    def of(lines: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            last = ~F.coalesce(F.get(lines, i + 1).startswith("- "), F.lit(False))
-            text = T.rstrip(x)
-            wrong = x.startswith("- ") & F.when(last, ~text.endswith(".")).otherwise(~text.endswith(";"))
-            return F.when(wrong, F.concat(F.when(last, F.lit("Last list item should end with '.': ")).otherwise(F.lit("List item should end with ';': ")), x))
-
-        return F.filter(F.transform(lines, one), lambda w: w.isNotNull())
-
-    return T.bound(T.lines(markdown), of)
 
+def _lists(lines: Column) -> Column:
+    def one(x: Column, i: Column) -> Column:
+        last = ~F.coalesce(F.get(lines, i + 1).startswith("- "), F.lit(False))
+        wrong = F.when(last, ~T.rstrip(x).endswith(".")).otherwise(~T.rstrip(x).endswith(";"))
+        return F.when(x.startswith("- ") & wrong, F.concat(F.when(last, F.lit("Last list item should end with '.': ")).otherwise(F.lit("List item should end with ';': ")), x))
 
-def annotation_marks(markdown: Column) -> tuple[Column, Column]:
-    """Lines (as numbers, once for each mark) at which annotations start and end."""
-    lines = T.lines(markdown)
-    count = F.transform(lines, lambda x, i: F.array_repeat(i, F.regexp_count(x, F.lit("::AppAnnotation"))))
-    ends = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(rf"\A::[{T.SPACE}]*\z"), i)), lambda i: i.isNotNull())
-    return F.flatten(count), ends
+    return F.filter(F.transform(lines, one), lambda w: w.isNotNull())
 
 
 def annotation_warnings(markdown: Column) -> Column:
     """One warning if starts and ends of annotations differ in number, else one if an end stands before its start."""
-    starts, ends = annotation_marks(markdown)
+    return T.bound(T.lines(markdown), _annotations)
+
+
+def annotation_marks(lines: Column) -> Column:
+    """(s, e): places of the lines at which annotations start (once for each mark) and end."""
+    count = F.transform(lines, lambda x, i: F.when(x.contains("::AppAnnotation"), F.array_repeat(i, F.regexp_count(x, F.lit("::AppAnnotation")))))
+    ends = F.transform(lines, lambda x, i: F.when(x.startswith("::") & x.rlike(rf"\A::[{T.SPACE}]*\z"), i))
+    return F.struct(F.flatten(F.filter(count, lambda a: a.isNotNull())).alias("s"), F.filter(ends, lambda i: i.isNotNull()).alias("e"))
+
 
+def _annotations(lines: Column) -> Column:
     def of(both: Column) -> Column:
         s, e = both["s"], both["e"]
         crossed = F.exists(F.zip_with(s, e, lambda a, b: a > b), lambda x: x)
@@ -122,12 +126,12 @@ def annotation_warnings(markdown: Column) -> Column:
             .otherwise(F.array().cast("array<string>"))
         )
 
-    return F.when(markdown.isNotNull(), T.bound(F.struct(starts.alias("s"), ends.alias("e")), of))
+    return F.when(lines.isNotNull(), T.bound(annotation_marks(lines), of))
 
 
 def warnings(markdown: Column) -> Column:
-    """All validators' warnings: annotations, captions, lists."""
-    return F.concat(annotation_warnings(markdown), caption_warnings(markdown), list_warnings(markdown))
+    """All validators' warnings: annotations, captions, lists; the text is cut into lines once."""
+    return T.bound(T.lines(markdown), lambda lines: F.concat(_annotations(lines), _captions(lines), _lists(lines)))
 
 
 # Rules of style that a text can be checked for.

@@ -201,9 +201,14 @@ def completeness(html: Column, markdown: Column, headers: float = 0.2, code: flo
     Incomplete if more than the given shares are lost. Blank texts count in the total but are
     never lost; code of up to code_size characters is never lost. Unknown (null) if either is null.
     """
-    h, c = heading_texts(html), code_texts(html)
-    lost_h = F.size(F.filter(h, lambda x: (x != "") & ~F.contains(markdown, x)))
-    lost_c = F.size(F.filter(c, lambda x: (F.length(x) > code_size) & ~F.contains(markdown, x)))
-    share = lambda lost, all_: lost / F.greatest(F.size(all_), F.lit(1))
-    both = F.struct(F.size(h).alias("n_headers"), lost_h.alias("lost_headers"), F.size(c).alias("n_code"), lost_c.alias("lost_code"), ((share(lost_h, h) > headers) | (share(lost_c, c) > code)).alias("incomplete"))
-    return F.when(html.isNotNull() & markdown.isNotNull(), both)
+
+    def of(texts: Column) -> Column:
+        h, c = texts["h"], texts["c"]
+        lost_h = F.size(F.filter(h, lambda x: (x != "") & ~F.contains(markdown, x)))
+        lost_c = F.size(F.filter(c, lambda x: (F.length(x) > code_size) & ~F.contains(markdown, x)))
+        counts = F.struct(F.size(h).alias("n_headers"), lost_h.alias("lost_headers"), F.size(c).alias("n_code"), lost_c.alias("lost_code"))
+        share = lambda n, lost, all_: n[lost] / F.greatest(n[all_], F.lit(1))
+        judged = lambda n: F.struct(*(n[k].alias(k) for k in ("n_headers", "lost_headers", "n_code", "lost_code")), ((share(n, "lost_headers", "n_headers") > headers) | (share(n, "lost_code", "n_code") > code)).alias("incomplete"))
+        return T.bound(counts, judged)
+
+    return F.when(html.isNotNull() & markdown.isNotNull(), T.bound(F.struct(heading_texts(html).alias("h"), code_texts(html).alias("c")), of))
