@@ -41,10 +41,11 @@ _LINE_ENDS = re.compile("\r\n|[\r\v\f\x85  ]")
 #: What stands aside of running text: front matter, fenced code, tables, titles, captions, images, inline code, tags, addresses, paths.
 _ASIDE = re.compile(
     r"\A\s*---\n.*?^---[ \t]*$|^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)|<table\b.*?(?:</table>|\Z)|<(?:pre|code|h[1-6])\b.*?(?:</(?:pre|code|h[1-6])>|\Z)"
-    r"|^#{1,6}[ \t][^\n]*$|^[ \t]*\|[^\n]*$|^>[ \t]*\w+ \d+ ?[–—-] [^\n]*$|^::[^\n]*$|!\[[^\]\n]*\]\([^)\n]*\)|`[^`\n]*`|\]\([^)\n]*\)|<[^<>]+>|\w+://\S+|&\w+;"
-    r"|[\w-]*[/_@\\][\w./@\\-]*",
+    r"|^#{1,6}[ \t][^\n]*$|^[ \t]*\|[^\n]*$|^>[ \t]*\w+ \d+ ?[–—-] [^\n]*$|^::[^\n]*$|!\[[^\]\n]*\]\([^)\n]*\)|`[^`\n]*`|\]\([^)\n]*\)|<[^<>]+>|\w+://\S+|&\w+;",
     re.M | re.S,
 )
+#: Identifiers and paths, looked for only in texts that hold one of their signs.
+IDENTIFIER, IDENTIFIER_SIGNS = re.compile(r"[\w-]*[/_@\\][\w./@\\-]*"), "/_@\\"
 _FENCED_WHOLE = re.compile(r"\A\s*```(?:markdown|md)?[ \t]*\n(.*?)(?:\n```\s*)?\Z", re.S)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*|[.!?…]+(?=\s)|\n|\0")
 _INVISIBLE = re.compile(r"[\s­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\x00-\x1f\x7f-\x9f]+")
@@ -76,7 +77,8 @@ def plain_text(text: str) -> str:
     """Running text alone: what stands aside is replaced by a space."""
     text = _LINE_ENDS.sub("\n", text)
     whole = _FENCED_WHOLE.match(text)
-    return _ASIDE.sub(" ", whole.group(1) if whole else text)
+    text = _ASIDE.sub(" ", whole.group(1) if whole else text)
+    return IDENTIFIER.sub(" ", text) if any(c in text for c in IDENTIFIER_SIGNS) else text
 
 
 class Profiles:
