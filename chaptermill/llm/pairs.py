@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .answers import _BLOCK_TAG, _FRONT, ending, is_empty, place_in_source, squeezed, unwrapped
 from .arrowtext import sliced
-from .language import Profiles, profiles_of
+from .language import IDENTIFIER, IDENTIFIER_SIGNS, Profiles, profiles_of
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 FEATURES = (
@@ -57,7 +57,7 @@ FOLLOW_UPS = r"могу ли я (?:чем-то |ещё )?помочь|чем е
 _REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
 _FOLLOW_UP = re.compile(FOLLOW_UPS, re.I)
 _QUOTED = re.compile(r"«[^»\n]*»|„[^“”\n]*[“”]|“[^”\n]*”|\"[^\"\n]*\"")
-_INLINE_ASIDE = re.compile(r"`[^`\n]*`|!\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]*>|\]\([^)\n]*\)|\w+://\S+|&#?\w+;|[\w-]*[/_@\\][\w./@\\-]*")
+_INLINE_ASIDE = re.compile(r"`[^`\n]*`|!\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]*>|\]\([^)\n]*\)|\w+://\S+|&#?\w+;")
 _CODE_EDGE = re.compile(r"</?pre\b[^<>]*>", re.I)
 _ANY_TAG = re.compile(r"<[^<>]*>")
 _PAGE_TAG = re.compile(r"(?:<|&lt;)/?(?:!doctype|html|body|head|h1)\b", re.I)
@@ -134,7 +134,10 @@ class Clauses:
                 f[10], f[11], f[12] = 1.0, float(where == "inside"), float(where == "end")
                 f[13], f[14], f[15] = float(e.kind == "open"), float(e.kind == "bare"), float(e.mark in ("bytes", "dots"))
         x = np.array(rows, np.float32).reshape(-1, len(FEATURES))
-        words, cosine = profiles.units(_INLINE_ASIDE.sub(" ", "\n".join(plain)).split("\n") if plain else [])
+        clean = _INLINE_ASIDE.sub(" ", "\n".join(plain))
+        if any(c in clean for c in IDENTIFIER_SIGNS):
+            clean = "\n".join(IDENTIFIER.sub(" ", t) if any(c in t for c in IDENTIFIER_SIGNS) else t for t in clean.split("\n"))
+        words, cosine = profiles.units(clean.split("\n") if plain else [])
         row = np.array(self.row, np.int64)
         _, of_source = profiles.units([_ANY_TAG.sub(" ", " ".join(_CODE_EDGE.split(s)[::2])).replace("\n", " ") if s else "" for s in sources])
         own = of_source.argmax(1)
