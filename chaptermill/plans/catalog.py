@@ -14,10 +14,13 @@ from ..functions import slugs
 from ..functions import text as T
 from ..operators import answers as A
 from ..operators import contents as C
+from ..operators import enrich as E
 from ..operators import markdown as M
 from ..operators import matching as J
 from ..operators import navigation as N
 from ..operators import pages as P
+from ..sources import docx, docx_writer
+from ..sources.files import Settings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -493,6 +496,91 @@ def bodies(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "llm_response").filter("markdown is not null").select("response_id", F.length(M.body(F.col("markdown"))).cast("long").alias("n_chars")).distinct()
 
 
+# DOCX files: every heading table written as files of up to a hundred places and read again.
+
+
+def _docx_files(spark: SparkSession, d: str) -> DataFrame:
+    """Binary rows (path, content): a file for each hundred places of a document, so that no file grows with a hot document."""
+    text = F.concat_ws("", F.col("number"), F.lit(" "), F.coalesce("title", F.lit("")), F.lit("\t"), F.col("pos").cast("string"))
+    path = F.concat_ws("/", F.col("docx_id").cast("string"), (F.col("pos") / 100).cast("int").cast("string"))
+    rows = _headings(spark, d).select(path.alias("path"), F.struct("pos", "style", text.alias("text")).alias("p"))
+    packed = rows.groupBy("path").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+
+    def write(parts):
+        for part in parts:
+            part["content"] = [docx_writer.written([(p["style"], p["text"]) for p in ps], {"a.png": b"png"}) for ps in part["ps"]]
+            yield part[["path", "content"]]
+
+    return packed.mapInPandas(write, "path string, content binary")
+
+
+@_query(
+    rf"""with {_H}, t as (select docx_id || '/' || (pos // 100) as path, heading_id, pos, style, number || ' ' || coalesce(title, '') || chr(9) || pos as text from h)
+    select path, row_number() over (partition by path order by pos) - 1 as pos, style, text from t"""
+)
+def docx_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return docx.paragraphs(_docx_files(spark, d)).filter("error is null").select("path", F.col("pos").cast("long").alias("pos"), "style", "text")
+
+
+@_query(f"with {_H} select docx_id || '/' || (pos // 100) as path, count(*) as n_paragraphs from h group by 1")
+def docx_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs in the HTML of each file."""
+    return docx.pages(_docx_files(spark, d)).select("path", F.regexp_count("html", F.lit("<p>")).cast("long").alias("n_paragraphs"))
+
+
+@_query(f"with {_H} select distinct docx_id || '/' || (pos // 100) as path, 'a.png' as name, 3 as n_bytes from h")
+def docx_media(spark: SparkSession, d: str) -> DataFrame:
+    return docx.media(_docx_files(spark, d)).select("path", "name", F.octet_length("data").alias("n_bytes"))
+
+
+# Models, look-ups, navigation.
+
+
+_SENT = "'Answer with one JSON object of \"manifest\" and \"markdown\".' || chr(10) || chr(10) || 'CHAPTER HTML:' || chr(10) || '```html' || chr(10) || chapter_html || chr(10) || '```'"
+
+
+@_query(f"select distinct chapter_id, 200 as status, 1 as attempts, 'n=' || length({_SENT}) as content from chapter where chapter_html is not null")
+def offline_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Every chapter sent to a stand-in for a model that says how long the message is."""
+    asked = _chapters(spark, d).select("chapter_id", A.payload(A.messages(F.col("chapter_html"), "rules", "examples"), "m", "mistral").alias("payload"))
+    got = E.enriched(asked, "chapter_id", "payload", Settings(api_key="none"), E.offline(lambda user: f"n={len(user)}"))
+    return got.select("chapter_id", "status", "attempts", "content").distinct()
+
+
+@_query(
+    rf"""with {_H} select heading_id, case when regexp_full_match(title, '[А-ЯЁA-Z][а-яёa-z \t\n\r\f\x{{b}}]+') then '<h' || level || '>' || number || ' ' || title || '</h' || level || '>.' else '<a id="__RefHeading___1"></a>' || title || '.' end as html
+    from h where title is not null and not contains(title, '  ')"""
+)
+def anchor_lookup(spark: SparkSession, d: str) -> DataFrame:
+    df = _headings(spark, d).filter(F.col("title").isNotNull() & ~F.col("title").contains("  "))
+    page = F.concat(F.lit('<a id="__RefHeading___1"></a>'), "title", F.lit("."))
+    toc = F.array(F.struct("level", "number", "title"))
+    return df.select("heading_id", J.headings_from_anchors(page, toc).alias("html"))
+
+
+_LINK = "case when {c}_path is null then '' else '{key}:' || chr(10) || '  to: ''/' || {stem} || '''' || chr(10) || '  label: ''' || {c}_doc_id || '''' || chr(10) end"
+_LINK_SQL = " || ".join(_LINK.format(c=c, key=key, stem=_STEM.replace("path", f"{c}_path")) for c, key in (("prev", "readPrev"), ("next", "readNext")))
+
+
+@_query(f"with p as ({_PLACED}) select doc_id, md5('---' || chr(10) || {_LINK_SQL} || '---' || chr(10) || '# x') as hash from p")
+def navigation_blocks(spark: SparkSession, d: str) -> DataFrame:
+    placed = N.neighbours(_table(spark, d, "documents").select("doc_id", "source", "path"), "source", ["path", "doc_id"], ["doc_id", "path"])
+    label = lambda c: F.col(c).cast("string")
+    return placed.select("doc_id", F.md5(M.with_navigation(F.lit("# x"), N.link_target(F.col("prev_path")), label("prev_doc_id"), N.link_target(F.col("next_path")), label("next_doc_id"))).alias("hash"))
+
+
+@_query(r"select doc_id, len(regexp_extract_all(text, '::AppAnnotation')) as n_marks, len(regexp_extract_all(text, '(?m)^[ \t]*(?:```|~~~)')) as n_fences from documents where text is not null")
+def mark_counts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.col("text")
+    return _table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_count(text, F.lit("::AppAnnotation")).cast("long").alias("n_marks"), F.regexp_count(text, F.lit(r"(?md)^[ \t]*(?:```|~~~)")).cast("long").alias("n_fences"))
+
+
+@_query()
+def annotation_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of annotations, neighbours merged; told by look-ahead, which the SQL engine's patterns lack."""
+    return _table(spark, d, "documents").select("doc_id", F.posexplode(M.annotation_texts(F.col("text"))).alias("ord", "text"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
