@@ -37,9 +37,11 @@ ELSEWHERE = 0.03
 COPY_MARKUP = 0.5
 
 # Log odds that each piece of evidence adds.
-ENDING_ODDS = {"stop": -3.5, "open": 4.0, "bare": 0.0, "none": -4.0}
+ENDING_ODDS = {"stop": -6.0, "open": 4.0, "bare": 0.0, "none": -4.0}
 LINE_ODDS = {"prose": 3.0, "item": 0.5, "caption": 0.0, "heading": 0.0, "table": 0.0, "code": 0.0, "other": 0.0}
-MARK_ODDS = {"bytes": 6.0, "dots": 3.0, "ellipsis": 0.5, "": 0.0}
+MARK_ODDS = {"bytes": 6.0, "dots": 3.0, "ellipsis": 0.0, "": 0.0}
+#: What a pair of words that stands nowhere else adds, if its second word is known; an unknown last word adds WORDS_MOST.
+NEW_PAIR = 2.0
 SOURCE_ODDS = {"end": -8.0, "inside": 6.0, "elsewhere": -3.5, "unknown": 0.0}
 #: The most that the last two words may add or take.
 WORDS_MOST = 4.0
@@ -263,9 +265,9 @@ def truncated(answers: DataFrame, key: str, source: str, text: str, answer_sourc
     prior = F.least(prior, F.lit(0.99))
     seen, counts = F.coalesce("ends", F.lit(0)) + F.coalesce("goes_on", F.lit(0)), F.coalesce("word_ends", F.lit(0)) + F.coalesce("word_goes_on", F.lit(0))
     ratio = lambda on, end: F.log((F.coalesce(on, F.lit(0)) + 1.0) / (F.coalesce(end, F.lit(0)) + 0.2))
-    words = F.when(counts == 0, WORDS_MOST).when(seen > 0, ratio("goes_on", "ends")).otherwise(ratio("word_goes_on", "word_ends"))
+    words = F.when(counts == 0, WORDS_MOST).when(seen > 0, ratio("goes_on", "ends")).otherwise(NEW_PAIR + 0.25 * ratio("word_goes_on", "word_ends"))
     words = F.greatest(F.lit(-WORDS_MOST), F.least(F.lit(WORDS_MOST), words))
-    free = (F.col("mark") == "ellipsis") & (words < 0)  # a text's own ellipsis stands where a sentence may end
+    free = F.col("mark") == "ellipsis"  # it may be the text's own, in place of a stop
     bare = F.when(F.col("kind") == "bare", words + F.when(free, 0.0).otherwise(_odds("line", LINE_ODDS))).otherwise(0.0)
     score = F.log(prior / (1 - prior)) + _odds("kind", ENDING_ODDS) + bare + _odds("mark", MARK_ODDS) + _odds("place", SOURCE_ODDS)
     is_case = F.col("readable") & ~F.col("copied") & (F.col("score") > 0)
