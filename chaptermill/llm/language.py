@@ -20,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import sliced
@@ -47,7 +47,8 @@ _ASIDE = re.compile(
 #: Identifiers and paths, looked for only in texts that hold one of their signs.
 IDENTIFIER, IDENTIFIER_SIGNS = re.compile(r"[\w-]*[/_@\\][\w./@\\-]*"), "/_@\\"
 _FENCED_WHOLE = re.compile(r"\A\s*```(?:markdown|md)?[ \t]*\n(.*?)(?:\n```\s*)?\Z", re.S)
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’ʼ-][^\W\d_]+)*|[.!?…]+(?=\s)|\n|\0")
+#: Words (letters with digits are none), ends of sentences and lines.
+_TOKEN = re.compile(r"(?<![^\W_])[^\W\d_]++(?:['’ʼ-][^\W\d_]++)*(?![\d_])|[.!?…]+(?=\s)|\n|\0")
 _INVISIBLE = re.compile(r"[\s­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\x00-\x1f\x7f-\x9f]+")
 _ENDS = frozenset("\n.!?…")
 
@@ -236,15 +237,17 @@ def confidence(cosine: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return scaled[np.arange(len(lang)), lang] / scaled.sum(1)
 
 
+def sample_rows(samples: DataFrame, lang: str = "lang", text: str = "text", most: int = SAMPLES) -> list[tuple[str, str]]:
+    """(language, text) of at most `most` sample rows, each language's share chosen by a hash of the text; a bound for what the driver fetches (`lang_samples` has 300 rows)."""
+    known = samples.filter(F.col(lang).isin(*LANGUAGES) & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))
+    listed = known.withColumn("n", place).filter(F.col("n") <= -(-most // len(LANGUAGES))).orderBy("n", "l").collect()
+    return [(r["l"], r["t"]) for r in listed]
+
+
 def profiles_of(samples: DataFrame, lang: str = "lang", text: str = "text", most: int = SAMPLES) -> Profiles:
-    """Prototypes from at most `most` sample rows (a bound for what the driver fetches; `lang_samples` has 300)."""
-    each = -(-most // len(LANGUAGES))
-    listed = [
-        (r[0], r[1])
-        for code in LANGUAGES
-        for r in samples.filter(F.col(lang) == code).filter(F.col(text).isNotNull()).select(lang, text).orderBy(F.xxhash64(text), text).limit(each).collect()
-    ]
-    return Profiles(listed)
+    """Prototypes from at most `most` sample rows."""
+    return Profiles(sample_rows(samples, lang, text, most))
 
 
 _SEGMENTS = "segment_no int, lang string, confidence double, n_words int"

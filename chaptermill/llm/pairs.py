@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .answers import _BLOCK_TAG, _FRONT, ending, is_empty, place_in_source, squeezed, unwrapped
 from .arrowtext import sliced
-from .language import IDENTIFIER, IDENTIFIER_SIGNS, Profiles, profiles_of
+from .language import IDENTIFIER, IDENTIFIER_SIGNS, Profiles, sample_rows
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 FEATURES = (
@@ -40,6 +40,8 @@ FEATURES = (
 MOST = 0.5
 #: Words from which a clause's language counts.
 CLAUSE_WORDS = 3
+#: Characters of a first line with a colon at its end that is a preface, not answer.
+PREFACE = 200
 #: Sample rows from which training pairs are built, at most.
 TRAINING_ROWS = 600
 
@@ -61,6 +63,7 @@ _INLINE_ASIDE = re.compile(r"`[^`\n]*`|!\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]*>|\]\([
 _CODE_EDGE = re.compile(r"</?pre\b[^<>]*>", re.I)
 _ANY_TAG = re.compile(r"<[^<>]*>")
 _PAGE_TAG = re.compile(r"(?:<|&lt;)/?(?:!doctype|html|body|head|h1)\b", re.I)
+_TABLE_LINE = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _CAPTION = re.compile(r">\s*\w+ \d+\s*[–—-] ")
 
 
@@ -99,7 +102,8 @@ class Clauses:
                 f = [0.0] * len(FEATURES)
                 f[0] = 1.0
                 fence = text.startswith(("```", "~~~"))
-                aside = inside or fence or text[0] in "#|" or text.startswith(("![", "::")) or bool(_CAPTION.match(text))
+                preface = len(rows) == first and text.endswith(":") and len(text) <= PREFACE
+                aside = inside or fence or preface or text[0] in "#|" or text.startswith(("![", "::")) or bool(_CAPTION.match(text)) or bool(_TABLE_LINE.match(text))
                 if fence:
                     inside = not inside
                 elif not inside and ("<" in text or "&" in text):
@@ -266,7 +270,7 @@ def training_pairs(samples: list[tuple[str, str]]) -> list[tuple[str, str, list[
             quote = f"> «{_DECLINING[lang].split('.')[0]}». {body[0]}"
             kind = k % 8
             if kind == 0:
-                pairs.append((source, "\n\n".join([f"# {title}", *body]), ["answer"] * (1 + len(body))))
+                pairs.append((source if k % 3 else "", "\n\n".join([f"# {title}", *body]), ["answer"] * (1 + len(body))))
             elif kind == 1:
                 pairs.append((source, "\n".join([_PREFACE[lang], f"# {title}", quote, *code, *body]), ["answer"] * (6 + len(body))))
             elif kind == 2:
@@ -286,11 +290,19 @@ def training_pairs(samples: list[tuple[str, str]]) -> list[tuple[str, str, list[
             elif kind in (4, 5):
                 other = langs[(number + 1 + k % (len(langs) - 1)) % len(langs)] if len(langs) > 1 else lang
                 foreign = by[other][k % len(by[other])][1:] + by[other][(k + 1) % len(by[other])][1:]
-                pairs.append((source, "\n\n".join([f"# {title}", *foreign]), ["answer"] + ["foreign"] * len(foreign)))
+                shown, tags = [f"# {title}"], ["answer"]
+                for part, sentence in enumerate(foreign[: 1 + k // 8 % 4]):
+                    shown.append(sentence)
+                    tags.append("foreign")
+                    if (k // 8 + part) % 2:  # code and tables between don't make it an answer
+                        shown.extend(code)
+                        tags.extend(["answer"] * len(code))
+                pairs.append((source + "<pre><code>ls -l</code></pre>", "\n".join(shown), tags))
             elif kind == 6:
                 answer = "\n\n".join([f"# {title}", *body])
-                cut = answer[: len(answer) - max(4, len(body[-1]) // 3)] + ("…" if k % 16 < 8 else "")
-                pairs.append((source, cut, ["answer"] * len(body) + ["unfinished"]))
+                answer = answer[: len(answer) - max(4, len(body[-1]) // 3)]
+                answer += ("", "…", "...", "�", " `ab", " (ab")[k // 8 % 6]
+                pairs.append((source if k // 8 % 3 else "", answer, ["answer"] * len(body) + ["unfinished"]))
             else:
                 table = ["| 1 | 2 |", "|---|---|", f"| {title} | 7 |"]
                 items = [f"- {s.rstrip('.')}" for s in body]
@@ -335,9 +347,9 @@ def broken_pairs(answers: DataFrame, key: str, text: str, answer_source: str, so
     not made unique before it: their repeated rows only repeat answers, and repeated results
     are dropped at the end, when they are a key and a word.
     """
-    listed = sorted((r[0], r[1]) for r in samples.select("lang", "text").filter("lang is not null and text is not null").limit(TRAINING_ROWS).collect())
-    profiles = profiles_of(samples)
-    field = fitted(listed, profiles)
+    listed = sample_rows(samples)
+    profiles = Profiles(listed)
+    field = fitted(listed[:TRAINING_ROWS], profiles)
     own = sources.select(F.col(source_key).alias("sk"), F.coalesce(F.col(source_text), F.lit("")).alias("s")).filter("sk is not null")
     rows = answers.select(F.col(key).alias("k"), F.col(answer_source).alias("a"), F.col(text).alias("t")).filter("a is not null")
     joined = rows.join(own, F.col("a") == F.col("sk")).select("k", "t", "s")
