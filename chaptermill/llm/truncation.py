@@ -235,14 +235,17 @@ def _odds(name: str, table: dict[str, float]) -> Column:
     return found
 
 
-def with_sources(answers: DataFrame, answer_source: str, sources: DataFrame, key: str, text: str) -> DataFrame:
-    """answers with __source_text, the text of their source or null; answers without a key are spread, not gathered in one task.
+def with_sources(answers: DataFrame, answer: str, answer_source: str, sources: DataFrame, key: str, text: str) -> DataFrame:
+    """answers with __source_text, the text of their source or null; answers without a source are spread by a hash of their own key, not gathered in one task.
 
     A source's repeated rows repeat its answers; callers drop repeated answers from their small results.
     """
     own = sources.select(F.col(key).alias("__key"), F.col(text).alias("__source_text")).filter(F.col("__key").isNotNull() & F.col("__source_text").isNotNull())
-    spread = F.coalesce(F.col(answer_source), -F.abs(F.xxhash64(F.monotonically_increasing_id())) - 1)
-    return answers.withColumn("__at", spread).join(own, F.col("__at") == F.col("__key"), "left").drop("__at", "__key")
+    spread = F.when(F.col(answer_source).isNull(), F.xxhash64(answer)).otherwise(F.lit(0))
+    left = answers.withColumn("__spread", spread)
+    own = own.withColumn("__none", F.lit(0).cast("long"))
+    here = (F.col(answer_source) == F.col("__key")) & (F.col("__spread") == F.col("__none"))
+    return left.join(own, here, "left").drop("__spread", "__key", "__none")
 
 
 def truncated(answers: DataFrame, key: str, source: str, text: str, answer_source: str, sources: DataFrame, source_key: str, source_text: str) -> DataFrame:
@@ -257,7 +260,7 @@ def truncated(answers: DataFrame, key: str, source: str, text: str, answer_sourc
     measured = lengths.withColumn("limit_no", at_limit(F.col("n_chars"), F.col("n_bytes"), F.col("n_whole"), F.col("t")))
     limits = limit_posteriors(measured.select("k", "s", "n_chars", "limit_no").dropDuplicates(["k"]), "s", "n_chars", "limit_no")
     pairs = word_pairs(rows, "t")
-    joined = with_sources(measured, "a", sources, source_key, source_text)
+    joined = with_sources(measured, "k", "a", sources, source_key, source_text)
     ends = endings(joined.select("k", "s", "limit_no", "t", "__source_text"), "t", "__source_text").dropDuplicates(["k"])
     known = pairs.select(F.col("pair").alias("word"), F.col("ends").alias("word_ends"), F.col("goes_on").alias("word_goes_on"))
     scored = ends.join(pairs, "pair", "left").join(known, "word", "left").join(limits.withColumnRenamed("s", "ls"), F.col("s").eqNullSafe(F.col("ls")), "left")
