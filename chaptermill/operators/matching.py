@@ -13,36 +13,32 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (l, r, shared) of distinct texts that share a word; left has (l, lw), right (r, rw), the arrays of distinct words.
-
-    Each pair is counted once for each shared word before it is summed up.
-    """
-    a = left.select("l", F.explode("lw").alias("w"))
-    b = right.select("r", F.explode("rw").alias("w"))
-    return a.join(b, "w").groupBy("l", "r").agg(F.count(F.lit(1)).alias("shared"))
+def word_prefix(words: Column, above: float) -> Column:
+    """So many of the first words in a fixed order (longer ones first, being rarer) that two sets alike by more than `above` have one of them in common."""
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(ordered, F.lit(1), F.size(words) - F.floor(F.size(words) * above).cast("int")), lambda x: x["w"])
 
 
 def best_matches(items: DataFrame, text: str, titles: DataFrame, title: str, title_id: str, above: float = 0.5, boost: float = 0.0, candidate_above: float | None = None) -> DataFrame:
     """(text, title_id, score) of the best title of each distinct text with a score above `above`; of equals the lowest id.
 
     The score is the share of distinct lower-case words two texts have in common. An exact
-    match has score 2, before any other. boost is added where the first three words agree;
-    candidate_above drops pairs whose boosted score doesn't exceed it. Texts without a match are absent.
+    match has score 2, before any other (blank ones too). boost is added where the first three
+    words agree; candidate_above drops pairs whose boosted score doesn't exceed it. Texts
+    without a match are absent. Pairs are those with a rare word in common that any two texts
+    alike enough have, so frequent words don't multiply pairs and none is lost.
     """
     left = items.select(F.col(text).alias("l")).filter("l is not null").distinct().withColumn("lw", T.word_set(F.col("l")))
-    right = titles.select(F.col(title).alias("t"), F.col(title_id).alias("r")).filter("t is not null").groupBy("r").agg(F.min("t").alias("t")).withColumn("rw", T.word_set(F.col("t")))
-    pairs = candidates(left, right.select("r", "rw"))
-    sized = pairs.join(left.select("l", "lw"), "l").join(right, "r")
-    score = F.col("shared") / (F.size("lw") + F.size("rw") - F.col("shared"))
+    right = titles.select(F.col(title).alias("t"), F.col(title_id).alias("r")).filter("t is not null").distinct().withColumn("rw", T.word_set(F.col("t")))
+    least = max(0.0, above - boost)
+    a, b = (df.withColumn("w", F.explode(word_prefix(F.col(words), least))) for df, words in ((left, "lw"), (right, "rw")))
+    score = T.jaccard(F.col("lw"), F.col("rw"))
     if boost:
         first = lambda c: F.slice(T.words(F.lower(c)), 1, 3)
         score = score + F.when(first(F.col("l")) == first(F.col("t")), boost).otherwise(0.0)
-    exact = F.lower("l") == F.lower("t") if boost else F.col("l") == F.col("t")
-    scored = sized.select("l", "r", F.when(exact, 2.0).otherwise(score).alias("score"))
-    if candidate_above is not None:
-        scored = scored.filter(F.col("score") > candidate_above)
-    best = scored.groupBy("l").agg(F.max(F.struct("score", (-F.col("r")).alias("back"))).alias("m")).filter(F.col("m.score") > above)
+    alike = a.join(b, "w").select("l", "r", score.alias("score")).filter(F.col("score") > max(above, candidate_above or 0.0))
+    same = left.join(right, F.lower("l") == F.lower("t") if boost else F.col("l") == F.col("t")).select("l", "r", F.lit(2.0).alias("score"))
+    best = alike.unionByName(same).groupBy("l").agg(F.max(F.struct("score", (-F.col("r")).alias("back"))).alias("m"))
     return best.select(F.col("l").alias(text), (-F.col("m.back")).alias(title_id), F.col("m.score").alias("score"))
 
 

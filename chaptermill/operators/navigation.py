@@ -24,9 +24,10 @@ def neighbours(df: DataFrame, group: str, order: list[str], values: list[str]) -
     """df with ord (from 1 in its group) and prev_X and next_X of each X in values, null at the ends of a group.
 
     order has to tell rows of a group apart; repeated rows are neighbours of each other. A null
-    group is a group of its own. The result is computed from a checkpoint of df's columns.
+    group is a group of its own. Columns already named like the new ones are replaced. The result is computed from a checkpoint of df's columns.
     """
     spark = df.sparkSession
+    df = df.drop("ord", *(f"{side}_{v}" for v in values for side in ("prev", "next")))
     tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = kept(df.repartitionByRange(tasks, group, *order).sortWithinPartitions(group, *order))
     schema = ordered.schema
@@ -44,18 +45,18 @@ def neighbours(df: DataFrame, group: str, order: list[str], values: list[str]) -
                 last = part.iloc[[-1]]
         if first is not None:
             pid = TaskContext.get().partitionId()
-            yield pd.concat([first.assign(pid=pid, tail=0), last.assign(pid=pid, tail=same)])
+            yield pd.concat([first.assign(__pid=pid, __tail=0), last.assign(__pid=pid, __tail=same)])
 
     names = [group, *values]
-    borders = ordered.select(*names).mapInPandas(edges, StructType([*(schema[n] for n in names), StructField("pid", LongType()), StructField("tail", LongType())])).toPandas()
+    borders = ordered.select(*names).mapInPandas(edges, StructType([*(schema[n] for n in names), StructField("__pid", LongType()), StructField("__tail", LongType())])).toPandas()
     # Two rows for each task: bounded by the number of tasks.
-    pids = sorted(set(borders.pid.tolist()))
-    heads = {p: borders[borders.pid == p].iloc[0] for p in pids}
-    tails = {p: borders[borders.pid == p].iloc[1] for p in pids}
+    pids = sorted(set(borders["__pid"].tolist()))
+    heads = {p: borders[borders["__pid"] == p].iloc[0] for p in pids}
+    tails = {p: borders[borders["__pid"] == p].iloc[1] for p in pids}
     before: dict[int, tuple[object, int]] = {}
     for k, p in enumerate(pids[1:], 1):
         q = pids[k - 1]
-        carried = int(tails[q]["tail"])
+        carried = int(tails[q]["__tail"])
         if q in before and _same(before[q][0], tails[q][group]) and _same(heads[q][group], tails[q][group]):
             carried += before[q][1]
         before[p] = (tails[q][group], carried)

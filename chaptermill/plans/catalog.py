@@ -394,7 +394,7 @@ _H2 = r"<h2>([^<]*)</h2>"
 )
 def anchor_fold(spark: SparkSession, d: str) -> DataFrame:
     """Headings of every page turned into anchors and folded back with numbers."""
-    df = _chapters(spark, d).filter(F.col("chapter_html").rlike(_H2)).distinct()
+    df = _chapters(spark, d).filter(F.col("chapter_html").rlike(_H2))
     titles = F.regexp_extract_all("chapter_html", F.lit(_H2), F.lit(1))
     toc = F.transform(titles, lambda t, i: F.struct(F.lit(2).alias("level"), F.concat(F.lit("1."), (i + 1).cast("string")).alias("number"), t.alias("title")))
     anchored = F.regexp_replace("chapter_html", _H2, '<a id="__RefHeading___1"></a><b>$1</b>')

@@ -14,7 +14,7 @@ def plainly(text, titles, boost=0.0, above=0.5):
             score += boost
         if (text.lower() == t.lower()) if boost else text == t:
             score = 2.0
-        if a & b and score > above and (best is None or score > best[1]):
+        if score > above and (best is None or score > best[1]):
             best = (i, score)
     return best
 
@@ -23,7 +23,7 @@ def test_best_matches(spark):
     rng = random.Random(3)
     words = ["Настройка", "агента", "Node", "2", "API", "шлюза", "node"]
     make = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))
-    titles = [(i, make()) for i in range(15)]
+    titles = [(i, make()) for i in range(15)] + [(15, "")]
     texts = [make() for _ in range(120)] + ["", None, " "]
     left = spark.createDataFrame([(t, 1) for t in texts], "text string, score int").union(spark.createDataFrame([(texts[0], 2)], "text string, score int"))
     right = spark.createDataFrame(titles + [titles[0]], "id int, title string")
