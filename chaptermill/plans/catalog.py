@@ -21,6 +21,7 @@ from ..operators import navigation as N
 from ..operators import pages as P
 from ..sources import docx, docx_writer
 from ..sources.files import Settings
+from .skew import split_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -415,7 +416,8 @@ _TEXTS_OF = rf"list_transform(regexp_extract_all(chapter_html, '(?is)<%s\b[^>]*>
 )
 def completeness(spark: SparkSession, d: str) -> DataFrame:
     responses = _table(spark, d, "llm_response").filter("status = 200 and markdown is not null").select("response_id", "chapter_id", "markdown")
-    joined = responses.join(_chapters(spark, d).select("chapter_id", "chapter_html"), "chapter_id")
+    pages = _chapters(spark, d).select(F.col("chapter_id").alias("page_id"), "chapter_html")
+    joined = split_join(responses, pages, "chapter_id", "page_id", "response_id")
     c = P.completeness(F.col("chapter_html"), F.col("markdown"))
     counted = joined.select("response_id", c.alias("c")).select("response_id", *(F.col(f"c.{n}").cast("long").alias(n) for n in ("n_headers", "lost_headers", "n_code", "lost_code")), F.col("c.incomplete").alias("incomplete"))
     return counted.distinct()
