@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import split_join
 from .answers import _BLOCK_TAG, _FRONT, ending, is_empty, place_in_source, squeezed, unwrapped
 from .arrowtext import sliced
 from .language import IDENTIFIER, IDENTIFIER_SIGNS, Profiles, sample_rows
@@ -342,17 +343,17 @@ def defects(answers: list[str | None], sources: list[str | None], profiles: Prof
 def broken_pairs(answers: DataFrame, key: str, text: str, answer_source: str, sources: DataFrame, source_key: str, source_text: str, samples: DataFrame) -> DataFrame:
     """(key, defect) of every answer whose source exists and that has a defect.
 
-    Both texts are shuffled once, on the source's key; a source that a large part of all
-    answers belong to is split at run time by Spark's skew handling of the join. Sources are
-    not made unique before it: their repeated rows only repeat answers, and repeated results
-    are dropped at the end, when they are a key and a word.
+    Both texts are shuffled once, on the source's key; the answers of a source that more than
+    a thousandth of all answers belong to are split into parts. Sources are not made unique
+    before it: their repeated rows only repeat answers, and repeated results are dropped at
+    the end, when they are a key and a word.
     """
     listed = sample_rows(samples)
     profiles = Profiles(listed)
     field = fitted(listed[:TRAINING_ROWS], profiles)
     own = sources.select(F.col(source_key).alias("sk"), F.coalesce(F.col(source_text), F.lit("")).alias("s")).filter("sk is not null")
     rows = answers.select(F.col(key).alias("k"), F.col(answer_source).alias("a"), F.col(text).alias("t")).filter("a is not null")
-    joined = rows.join(own, F.col("a") == F.col("sk")).select("k", "t", "s")
+    joined = split_join(rows, own, "a", "sk", "k").select("k", "t", "s")
     kind = joined.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import split_join
 from .answers import ending, is_empty, markup_share, place_in_source
 from .arrowtext import sliced
 
@@ -236,16 +237,12 @@ def _odds(name: str, table: dict[str, float]) -> Column:
 
 
 def with_sources(answers: DataFrame, answer: str, answer_source: str, sources: DataFrame, key: str, text: str) -> DataFrame:
-    """answers with __source_text, the text of their source or null; answers without a source are spread by a hash of their own key, not gathered in one task.
+    """answers with __source_text, the text of their source or null; answers without a source, and those of a source with very many, are spread by a hash of their own key.
 
     A source's repeated rows repeat its answers; callers drop repeated answers from their small results.
     """
     own = sources.select(F.col(key).alias("__key"), F.col(text).alias("__source_text")).filter(F.col("__key").isNotNull() & F.col("__source_text").isNotNull())
-    spread = F.when(F.col(answer_source).isNull(), F.xxhash64(answer)).otherwise(F.lit(0))
-    left = answers.withColumn("__spread", spread)
-    own = own.withColumn("__none", F.lit(0).cast("long"))
-    here = (F.col(answer_source) == F.col("__key")) & (F.col("__spread") == F.col("__none"))
-    return left.join(own, here, "left").drop("__spread", "__key", "__none")
+    return split_join(answers, own, answer_source, "__key", answer, "left").drop("__key")
 
 
 def truncated(answers: DataFrame, key: str, source: str, text: str, answer_source: str, sources: DataFrame, source_key: str, source_text: str) -> DataFrame:
