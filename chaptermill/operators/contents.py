@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.skew import split_join
 
 
 def paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
@@ -102,7 +103,7 @@ def first_rows(df: DataFrame, group: str, pos: str, n: int) -> DataFrame:
 def from_first(df: DataFrame, group: str, pos: str, start: Column) -> DataFrame:
     """Rows of each group from its first row on for which start holds; groups without such a row are dropped.
 
-    The first places are aggregated before any shuffle and joined back, so no group is gathered in one task.
+    The first places are aggregated before any shuffle and joined back, rows of large groups in parts.
     """
     first = df.filter(start).groupBy(F.col(group).alias("__group")).agg(F.min(pos).alias("__first"))
-    return df.join(first, (F.col(group) == F.col("__group")) & (F.col(pos) >= F.col("__first"))).drop("__group", "__first")
+    return split_join(df, first, group, "__group", pos).filter(F.col(pos) >= F.col("__first")).drop("__group", "__first")

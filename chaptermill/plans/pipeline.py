@@ -28,14 +28,19 @@ class Result:
     rejected: DataFrame  # path, chapter_no, error
 
 
-def document_chapters(files: DataFrame, only: int | None = None) -> DataFrame:
-    """(path, chapter_no, html) of DOCX files: folded headings, contents removed, split at h1. The dry run ends here."""
-    raw = docx.pages(files).filter("html is not null")
+def document_pages(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
+    """(path, html) of DOCX files: anchors folded into headings by the file's own contents, which are then removed."""
+    raw = docx.pages(files, style_map).filter("html is not null")
     entries = contents.parsed_contents(docx.paragraphs(files).filter("error is null"))
     toc = entries.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "number", "title"))).alias("toc"))  # one document's entries
     joined = raw.join(toc, "path", "left")
     folded = joined.select("path", F.when(F.col("toc").isNull(), F.col("html")).otherwise(contents.folded(F.col("html"), F.coalesce("toc", F.array().cast(toc.schema["toc"].dataType)))).alias("html"))
-    return pages.chapters(pages.without_contents(folded, "path", "html"), "path", "html", only=only)
+    return pages.without_contents(folded, "path", "html")
+
+
+def document_chapters(files: DataFrame, only: int | None = None, style_map: dict[str, str] | None = None) -> DataFrame:
+    """(path, chapter_no, html) of DOCX files, split at h1. The dry run ends here."""
+    return pages.chapters(document_pages(files, style_map), "path", "html", only=only)
 
 
 def processed(answered: DataFrame) -> DataFrame:
@@ -50,9 +55,9 @@ def processed(answered: DataFrame) -> DataFrame:
     )
 
 
-def converted(files: DataFrame, settings: Settings, rules: str, examples: str, factory: Callable[[], enrich.Transport] | None = None, only: int | None = None) -> Result:
+def converted(files: DataFrame, settings: Settings, rules: str, examples: str, factory: Callable[[], enrich.Transport] | None = None, only: int | None = None, style_map: dict[str, str] | None = None) -> Result:
     """The full run. The model's answers are written to the checkpoint folder before they are used twice."""
-    chapters = document_chapters(files, only).withColumn("id", F.concat_ws("#", "path", "chapter_no"))
+    chapters = document_chapters(files, only, style_map).withColumn("id", F.concat_ws("#", "path", "chapter_no"))
     asked = chapters.withColumn("payload", answers.payload(answers.messages(F.col("html"), rules, examples), settings.model or "", settings.provider))
     got = lineage.kept(enrich.enriched(asked, "id", "payload", settings, factory).join(chapters, "id"))
     rows = processed(got.filter("content is not null"))

@@ -8,6 +8,7 @@ that all executors share.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -75,3 +76,19 @@ def contents_lines(df: DataFrame, folder: str, group: str, name: str, title: str
     """toc.json entries as JSON lines, one folder for each group, in order inside and across part files; other alphabets are kept as they are."""
     entries = navigation.contents_entries(df, group, name, title)
     entries.repartitionByRange(F.col(group), F.col("ord")).sortWithinPartitions(group, "ord").write.partitionBy(group).mode("overwrite").json(folder)
+
+
+def contents_file(df: DataFrame, path: str, name: str, title: str) -> int:
+    """Writes one folder's toc.json (array of title and to in the order of names, indent 2) on the driver, entry by entry, and gives their number.
+
+    For the files of one output folder; contents of many groups go to contents_lines().
+    """
+    entries = navigation.contents_entries(df.withColumn("__g", F.lit("")), "__g", name, title).orderBy("ord").select("title", "to")
+    n = 0
+    with open(f"{path}.part", "w", encoding="utf-8") as file:
+        for n, entry in enumerate(entries.toLocalIterator(), 1):
+            text = json.dumps(entry.asDict(), ensure_ascii=False, indent=2).replace("\n", "\n  ")
+            file.write(("[\n  " if n == 1 else ",\n  ") + text)
+        file.write("\n]" if n else "[]")
+    os.replace(f"{path}.part", path)
+    return n
