@@ -31,9 +31,10 @@ DIMENSIONS, GRAMS = 2048, (2, 3, 4)
 RUN = 15
 #: Sample rows of known language that prototypes are built from, at most (each language's share of it).
 SAMPLES = 6000
-#: A sentence counts as another language than its text's main one if it is ahead of it by this share of what
-#: sentences of that language are ahead in the samples; a sentence of fewer words takes its neighbour's language.
-AHEAD, SURE_WORDS = 0.25, 3
+#: A sentence is sure of its nearest language if it is ahead of the second by this share of what sentences of that
+#: language are ahead in the samples; others go with a sure neighbour of so many words, else with their text's main
+#: language. A sentence of fewer words than the last figure takes its neighbour's language.
+AHEAD, ANCHOR_WORDS, SURE_WORDS = 0.25, 6, 3
 #: Words whose products a worker keeps.
 KEPT = 200_000
 
@@ -205,9 +206,22 @@ class Profiles:
         totals = np.zeros((int(row[-1]) + 1, len(self.languages)))
         np.add.at(totals, row, cosine * words[:, None])
         main = totals.argmax(1)[row]
-        lang = cosine.argmax(1)
-        ahead = cosine[index, lang] - cosine[index, main]
-        lang = np.where(ahead < AHEAD * self.lead[lang, main], main, lang)
+        order = np.argsort(cosine, axis=1, kind="stable")
+        nearest, second = order[:, -1], order[:, -2]
+        weak = cosine[index, nearest] - cosine[index, second] < AHEAD * self.lead[nearest, second]
+        home = np.where((main == nearest) | (main == second), main, nearest)
+        lang = np.where(weak, home, nearest)
+        # A weak sentence that isn't nearest to the main language goes with a sure neighbour of one of its two nearest languages.
+        open_ = weak & (nearest != main)
+        anchor = np.where(weak | (words < ANCHOR_WORDS), -1, nearest)
+        together = row[1:] == row[:-1]
+        for _ in range(2):
+            before, after = np.full(n, -1), np.full(n, -1)
+            before[1:], after[:-1] = np.where(together, anchor[:-1], -1), np.where(together, anchor[1:], -1)
+            first, other = (before == nearest) | (after == nearest), (before == second) | (after == second)
+            near = np.where(first & ~other, nearest, np.where(other & ~first, second, -1))
+            lang = np.where(open_ & (near >= 0), near, lang)
+            anchor = np.where(open_ & (near >= 0), near, anchor)
         unsure = words < SURE_WORDS
         # An unsure sentence takes the language of the sure one before it in its text, else of the one after.
         before = np.maximum.accumulate(np.where(unsure, -1, index))
