@@ -84,6 +84,15 @@ class Ending:
     tail: str  # the last TAIL letters and digits
 
 
+def _tail(body: str) -> str:
+    """The last TAIL letters and digits that can stand in a source."""
+    for most in (500, 5000, len(body)):
+        found = letters(_NOT_IN_SOURCE.sub(" ", body[-most:] if most else ""))
+        if len(found) >= TAIL + 20 or most >= len(body):
+            break
+    return found[-TAIL:]
+
+
 _STOP = re.compile(r"[.!?;:|>}\])\"»”’'`*]\Z|\Z(?<=::)")
 _WORDS = re.compile(r"[^\W_]+")
 _INLINE = re.compile(r"`[^`\n]*`")
@@ -128,7 +137,7 @@ def ending(markdown: str) -> Ending:
             kind = "stop" if _STOP.search(stripped) else "bare"
     tokens = _WORDS.findall(last)[-2:]
     words = ("", *tokens)[-2:] if tokens else ("", "")
-    return Ending(mark, kind, line, (words[0].lower(), words[1].lower()), letters(_NOT_IN_SOURCE.sub(" ", body[-1500:]))[-TAIL:])
+    return Ending(mark, kind, line, (words[0].lower(), words[1].lower()), _tail(body))
 
 
 def place_in_source(tail: str, chapter_html: str | None) -> str:

@@ -42,7 +42,7 @@ _LINE_ENDS = re.compile("\r\n|[\r\v\f\x85  ]")
 #: What stands aside of running text: front matter, fenced code, tables, titles, captions, images, inline code, tags, addresses, paths.
 _ASIDE = re.compile(
     r"\A\s*---\n.*?^---[ \t]*$|^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)|<table\b.*?(?:</table>|\Z)|<(?:pre|code|h[1-6])\b.*?(?:</(?:pre|code|h[1-6])>|\Z)"
-    r"|^#{1,6}[ \t][^\n]*$|^[ \t]*\|[^\n]*$|^>[ \t]*\w+ \d+ ?[–—-] [^\n]*$|^::[^\n]*$|!\[[^\]\n]*\]\([^)\n]*\)|`[^`\n]*`|\]\([^)\n]*\)|<[^<>]+>|\w+://\S+|&\w+;",
+    r"|^#{1,6}[ \t][^\n]*$|^[ \t]*\|[^\n]*$|^>[ \t]*\w+ \d+ ?[–—-] [^\n]*$|^::[^\n]*$|!\[[^\]\n]*\]\([^)\n]*\)|`[^`\n]*`|\]\([^)\n]*\)|<[^<>]+>|(?<!\w)\w+://\S+|&\w+;",
     re.M | re.S,
 )
 #: Identifiers and paths, looked for only in texts that hold one of their signs.

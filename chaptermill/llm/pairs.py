@@ -60,7 +60,7 @@ FOLLOW_UPS = r"могу ли я (?:чем-то |ещё )?помочь|чем е
 _REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
 _FOLLOW_UP = re.compile(FOLLOW_UPS, re.I)
 _QUOTED = re.compile(r"«[^»\n]*»|„[^“”\n]*[“”]|“[^”\n]*”|\"[^\"\n]*\"")
-_INLINE_ASIDE = re.compile(r"`[^`\n]*`|!\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]*>|\]\([^)\n]*\)|\w+://\S+|&#?\w+;")
+_INLINE_ASIDE = re.compile(r"`[^`\n]*`|!\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]*>|\]\([^)\n]*\)|(?<!\w)\w+://\S+|&#?\w+;")
 _CODE_EDGE = re.compile(r"</?pre\b[^<>]*>", re.I)
 _ANY_TAG = re.compile(r"<[^<>]*>")
 _PAGE_TAG = re.compile(r"(?:<|&lt;)/?(?:!doctype|html|body|head|h1)\b", re.I)
