@@ -4,7 +4,7 @@ The words of a value are matched with one multi-pattern automaton (phrases in si
 languages, also as they stand in a slug: transliterated and without accents); unfilled
 placeholders are matched by their brackets. A value is residue if what was matched covers
 a high share of its letters and digits, so a chapter that deals with such things by name
-is not; a named placeholder in a text that doesn't speak about placeholders is residue as such. Each field is judged by its own value alone.
+is not; a named placeholder in template brackets, in a text that doesn't speak about placeholders, is residue as such. Each field is judged by its own value alone.
 
 Null, empty and blank values are not residue. A repeated row gives one result.
 """
@@ -79,6 +79,8 @@ _PLACEHOLDER = re.compile(
 )
 #: A value that is nothing but one pair of brackets, a repeated character or signs only.
 _WHOLE = re.compile(r"\[[^\[\]]+\]|<[^<>]+>|\{[^{}]+\}|([^\W\d_])\1{2,}(?:\s+\1{2,})*|[\W_]+|(?:TODO|TBD|FIXME|XXX)\s*[:–—-].*", re.I)
+#: Brackets that a text has for nothing else.
+_UNMISTAKABLE = ("{{", "{%", "<%", "${", "[[", "__")
 #: A placeholder that names what should stand there, and the words with which a text speaks about placeholders.
 _NAMED = re.compile(r"[^\W\d_]{2}")
 _ABOUT = re.compile(
@@ -116,7 +118,7 @@ def _covered(value: str) -> tuple[float, str]:
     of: dict[str, int] = {}
     rest, named = value, False
     for m in _PLACEHOLDER.finditer(value):
-        named = named or bool(_NAMED.search(m.group()))
+        named = named or m.group().startswith(_UNMISTAKABLE) and bool(_NAMED.search(m.group()))
         size = sum(c.isalnum() for c in m.group())
         of["placeholder"] = of.get("placeholder", 0) + max(size, 1)
         rest = rest.replace(m.group(), " " * 1, 1)

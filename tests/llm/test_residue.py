@@ -10,7 +10,7 @@ CASES = [
 NO_CASES = [
     ("title", None), ("title", ""), ("title", " "), ("title", "Ошибка 404: причины и устранение"), ("title", "Раздел 404"), ("title", "Page not found: redirect rules"), ("title", "Fehler 403 beheben"), ("title", "Null values in reports"), ("title", "Доступ запрещён: разбор случаев"),
     ("title", "Параметр <name> в описании раздела"), ("title", "Шаблоны {{ ... }} в сценариях развёртывания"), ("title", "Template variables and %PATH% values"), ("title", "Переменные вида ${NAME} в файле настроек"), ("title", "When a page asks to enable JavaScript"),
-    ("title", "Service Unavailable: a guide for operators"), ("title", "Список TODO в карточке задачи"), ("title", "Тестовый стенд"), ("title", "Настройка хранилища S3"), ("title", "Proteção do registo do sistema"), ("filename", "9.oshibka-404-prichiny-i-ustranenie.md"),
+    ("title", "Service Unavailable: a guide for operators"), ("title", "Список TODO в карточке задачи"), ("title", "Тестовый стенд"), ("title", "Элемент <body> страницы"), ("title", "Тег :latest в реестре образов"), ("title", "Настройка хранилища S3"), ("title", "Proteção do registo do sistema"), ("filename", "9.oshibka-404-prichiny-i-ustranenie.md"),
     ("filename", "12.kody-otveta-http.md"), ("slug", "page-not-found-redirect-rules"), ("slug", "razdel-404"), ("slug", "testovyj-stend-ost-queue"), ("slug", "undefined-behaviour-of-the-scheduler"),
 ]
 
