@@ -15,6 +15,9 @@ SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 #: What ends a line: CR LF, or one of LF, VT, FF, CR, FS, GS, RS, NEL, LS, PS.
 LINE_END = r"\r\n|[\n\x{b}\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
+#: Entities that plain() resolves, in this order.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of value, with value computed once however often f uses it; inside a lambda a column is computed again at each use."""
@@ -94,6 +97,6 @@ def file_name(path: Column) -> Column:
 def plain(html: Column) -> Column:
     """Text of markup: without tags, the five basic entities resolved."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->|<[^<>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text

@@ -6,6 +6,8 @@ failed job.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,16 @@ def _failed(error: str | None) -> Column:
     return F.struct(none.alias("manifest"), none.alias("markdown"), none.alias("way"), F.lit(error).cast("string").alias("error"))
 
 
+def json_markdown(content: str | None) -> str | None:
+    """The Markdown that parsed_answer() finds in the way "json", row by row; null if the content has none."""
+    try:
+        answer = json.loads(content or "")
+    except (ValueError, TypeError):
+        return None
+    good = isinstance(answer, dict) and isinstance(answer.get("manifest"), dict) and answer["manifest"] and isinstance(answer.get("markdown"), str)
+    return answer["markdown"] or None if good else None
+
+
 def manifest_violations(manifest: Column) -> Column:
     """What a manifest (JSON text) breaks of its schema, in the order of its fields; empty if it is right.
 

@@ -212,3 +212,24 @@ def completeness(html: Column, markdown: Column, headers: float = 0.2, code: flo
         return T.bound(counts, judged)
 
     return F.when(html.isNotNull() & markdown.isNotNull(), T.bound(F.struct(heading_texts(html).alias("h"), code_texts(html).alias("c")), of))
+
+
+_HEADING = re.compile(r"<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>", re.I | re.S | re.A)
+_CODE = tuple(re.compile(rf"<{tag}\b[^>]*>(.*?)</{tag}\s*>", re.I | re.S | re.A) for tag in ("pre", "code"))
+_MARKUP = re.compile(r"<!--.*?-->|<[^<>]*>", re.S)
+
+
+def complete(page: str, markdown: str, headers: float = 0.2, code: float = 0.3, code_size: int = 10) -> bool:
+    """Whether completeness() calls an answer complete, row by row: for tasks that ask a model again."""
+
+    def plain(text: str) -> str:
+        text = _MARKUP.sub("", text)
+        for entity, char in T.ENTITIES:
+            text = text.replace(entity, char)
+        return text.strip()
+
+    heads = [plain(x) for x in _HEADING.findall(page)]
+    codes = [plain(x) for pattern in _CODE for x in pattern.findall(page)]
+    lost_heads = sum(x != "" and x not in markdown for x in heads)
+    lost_codes = sum(len(x) > code_size and x not in markdown for x in codes)
+    return lost_heads / max(len(heads), 1) <= headers and lost_codes / max(len(codes), 1) <= code

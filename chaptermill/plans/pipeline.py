@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import slugs
@@ -43,28 +43,41 @@ def document_chapters(files: DataFrame, only: int | None = None, style_map: dict
     return pages.chapters(document_pages(files, style_map), "path", "html", only=only)
 
 
+def complete_answer(html: str, content: str | None) -> bool:
+    """Whether an answer is to be taken at once: JSON whose Markdown holds what the page says. Other answers, fenced blocks included, aren't asked for again."""
+    markdown = answers.json_markdown(content)
+    return markdown is None or pages.complete(html, markdown)
+
+
 def processed(answered: DataFrame) -> DataFrame:
-    """Rows (path, chapter_no, html, content) with manifest fields, Markdown numbered and with moved images, and warnings."""
+    """Rows (path, chapter_no, html, content, error) with manifest fields, Markdown numbered and with moved images, and what is missing in an incomplete answer.
+
+    The error that comes in is that of an answer taken although it is incomplete; the one that goes out is why a row is no good.
+    """
     parsed = answered.withColumn("a", answers.parsed_answer(F.col("content"))).withColumn("violations", answers.manifest_violations(F.col("a.manifest")))
     number = F.coalesce(F.get_json_object("a.manifest", "$.chapter_number").cast("int"), F.col("chapter_no"))
     slug = F.coalesce(F.get_json_object("a.manifest", "$.slug"), slugs.slugify(T.stem(F.col("path"))))
     done = M.images_under(M.renumbered(F.col("a.markdown"), number), slug)
     return parsed.select(
         "path", "chapter_no", F.get_json_object("a.manifest", "$.filename").alias("filename"), F.get_json_object("a.manifest", "$.title").alias("title"), done.alias("markdown"),
-        F.coalesce("a.error", F.when(F.size("violations") > 0, F.array_join("violations", "; "))).alias("error"), pages.completeness(F.col("html"), F.col("a.markdown"))["incomplete"].alias("incomplete"),
+        F.coalesce("a.error", F.when(F.size("violations") > 0, F.array_join("violations", "; "))).alias("error"), T.bound(pages.completeness(F.col("html"), F.col("a.markdown")), lambda c: F.when(c["incomplete"] | F.col("error").isNotNull(), _missing(c))).alias("incomplete"),
     )
 
 
+def _missing(c: Column) -> Column:
+    return F.format_string("Incomplete answer: %d of %d headings and %d of %d pieces of code are missing", c["lost_headers"], c["n_headers"], c["lost_code"], c["n_code"])
+
+
 def converted(files: DataFrame, settings: Settings, rules: str, examples: str, factory: Callable[[], enrich.Transport] | None = None, only: int | None = None, style_map: dict[str, str] | None = None) -> Result:
     """The full run. The model's answers are written to the checkpoint folder before they are used twice."""
     chapters = document_chapters(files, only, style_map).withColumn("id", F.concat_ws("#", "path", "chapter_no"))
     asked = chapters.withColumn("payload", answers.payload(answers.messages(F.col("html"), rules, examples), settings.model or "", settings.provider))
-    got = lineage.kept(enrich.enriched(asked, "id", "payload", settings, factory).join(chapters, "id"))
+    got = lineage.kept(enrich.enriched(asked, "id", "payload", settings, factory, complete_answer, "html").join(chapters, "id"))
     rows = processed(got.filter("content is not null"))
     good = rows.filter("error is null")
     failed = got.filter("content is null").select("path", "chapter_no", "error").unionByName(rows.filter("error is not null").select("path", "chapter_no", "error"))
     placed = navigation.neighbours(good.select("path", "chapter_no", "filename", "title", "markdown"), "path", ["filename", "chapter_no"], ["filename", "title"])
     link = lambda c: navigation.link_target(F.col(c))
     final = placed.select("path", "chapter_no", "filename", "title", M.with_navigation(F.col("markdown"), link("prev_filename"), F.col("prev_title"), link("next_filename"), F.col("next_title")).alias("markdown"))
-    warned = good.select("path", "chapter_no", F.posexplode(M.warnings(F.col("markdown"))).alias("ord", "message"))
+    warned = good.select("path", "chapter_no", F.posexplode(F.concat(F.array_compact(F.array("incomplete")), M.warnings(F.col("markdown")))).alias("ord", "message"))
     return Result(final, warned, failed)

@@ -8,9 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from chaptermill.operators import enrich
+from chaptermill.operators import answers, enrich, pages
 from chaptermill.plans import pipeline
-from chaptermill.sources import docx, files, sinks
+from chaptermill.sources import docx, docx_writer, files, sinks
 from chaptermill.sources.files import Settings
 from chaptermill.streaming import chapters as stream
 
@@ -113,3 +113,39 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {r.id: (r.markdown, r.warnings) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.id: (r.markdown, r.warnings) for r in stream.checked(df, "id", "md", "n").collect()} and got[1][0] == "## 4.1 a"
+
+
+def test_incomplete_answers_are_asked_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    body = [("Heading 1", "First"), ("Heading 2", "Inner"), ("Heading 1", "Second"), ("Heading 2", "Deep")]
+    (tmp_path / "in" / "a.docx").write_bytes(docx_writer.written(body))
+
+    def factory():
+        seen = {}
+
+        def post(payload, headers):
+            n = 1 if "First" in json.loads(payload)["messages"][-1]["content"] else 2
+            seen[n] = seen.get(n, 0) + 1
+            whole = n == 1 and seen[n] == 2
+            markdown = "# First\n## Inner" if whole else f"# {'First' if n == 1 else 'Second'}"
+            manifest = {"chapter_number": n, "title": f"T{n}", "filename": f"{n}.t.md", "slug": "s"}
+            return 200, "application/json", json.dumps({"choices": [{"message": {"content": json.dumps({"manifest": manifest, "markdown": markdown})}}]})
+
+        return post
+
+    result = pipeline.converted(docx.files(spark, str(tmp_path / "in")), Settings(model="m", api_key="k", attempts=2), "R", "E", factory)
+    rows = {r.chapter_no: r.markdown for r in result.markdown.collect()}
+    assert "## 1.1 Inner" in rows[1] and "Deep" not in rows[2] and result.rejected.count() == 0
+    assert [tuple(r)[1:] for r in result.warnings.collect()] == [(2, 0, "Incomplete answer: 1 of 2 headings and 0 of 0 pieces of code are missing")]
+
+
+def test_completeness_of_rows_is_that_of_columns(spark):
+    page = "<h1>One &amp; two</h1><h2> </h2><H3 id='x'>Three</H3><pre><code>print('hello')&lt;</code></pre><code>short</code>"
+    texts = ["# One & two\n## Three\nprint('hello')<", "# One & two", "Three print('hello')<", "", "# One & two\nThree"]
+    for html in (page, "", "<p>x</p>", "<h1>a</h1>\xa0<h2>\x85b</h2>"):
+        df = spark.createDataFrame([(html, t) for t in texts], "h string, m string")
+        got = [(r.m, r.c) for r in df.select("m", pages.completeness(F.col("h"), F.col("m"))["incomplete"].alias("c")).collect()]
+        assert got == [(t, not pages.complete(html, t)) for t in texts]
+    contents = [json.dumps({"manifest": {"a": 1}, "markdown": "x"}), json.dumps({"manifest": {}, "markdown": "x"}), json.dumps({"manifest": {"a": 1}, "markdown": ""}), "plain", "[]", "", None]
+    df = spark.createDataFrame([(c,) for c in contents], "c string")
+    assert [r.m for r in df.select(answers.parsed_answer(F.col("c"))["markdown"].alias("m")).collect()] == [answers.json_markdown(c) for c in contents]
