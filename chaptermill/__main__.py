@@ -92,6 +92,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     sinks.write_files(media, args.out, "file", "data").count()
     result.warnings.write.mode("overwrite").parquet(os.path.join(args.out, "_warnings"))
     result.rejected.write.mode("overwrite").parquet(os.path.join(args.out, "_rejected"))
+    result.unconverted.write.mode("overwrite").parquet(os.path.join(args.out, "_unconverted"))
     sinks.contents_lines(named, os.path.join(args.out, "_toc"), "folder", "filename", "title")
     print(f"{n} files")
     return 0

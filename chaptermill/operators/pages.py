@@ -107,14 +107,30 @@ def sibling_rows(df: DataFrame, key: str, html: str) -> DataFrame:
     return rows.mapInPandas(run, f"k {kind}, pos int, tag string, html string").withColumnRenamed("k", key)
 
 
+def _inside(markup: str) -> str:
+    """What stands between the tags of an element."""
+    return re.sub(r"</[A-Za-z][^<>]*>\Z", "", markup[_TOKEN.match(markup).end() :])
+
+
 def split_at(page: str, tag: str = "h1") -> list[str]:
-    """Parts of a page from each top-level sibling `tag` up to the next one; what stands before the first is dropped."""
+    """Parts of a page from each element `tag` up to the next one among its own parent's children, in the order of the elements.
+
+    What stands before the first one of a parent is dropped. A part of an outer `tag` holds the elements nested in it whole, those that begin parts too.
+    """
+    start = re.compile(rf"<{tag}\b", re.I)
     parts: list[list[str]] = []
-    for name, text in siblings(page):
-        if name == tag:
-            parts.append([text])
-        elif parts:
-            parts[-1].append(text)
+    levels: list[tuple[Iterator[tuple[str, str]], list[str] | None]] = [(iter(siblings(page)), None)]
+    while levels:
+        rest, part = levels.pop()
+        for name, text in rest:
+            if name == tag:
+                part = [text]
+                parts.append(part)
+            elif part is not None:
+                part.append(text)
+            if name and name not in RAW and start.search(text, 1):
+                levels += [(rest, part), (iter(siblings(_inside(text))), None)]
+                break
     return ["".join(p) for p in parts]
 
 

@@ -26,6 +26,7 @@ class Result:
     markdown: DataFrame  # path, chapter_no, filename, title, markdown
     warnings: DataFrame  # path, chapter_no, ord, message
     rejected: DataFrame  # path, chapter_no, error
+    unconverted: DataFrame  # path, error: documents of which no chapter comes out
 
 
 def document_pages(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
@@ -49,6 +50,11 @@ def complete_answer(html: str, content: str | None) -> bool:
     return markdown is None or pages.complete(html, markdown)
 
 
+def unconverted(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
+    """(path, error) of DOCX files of which no chapter comes out."""
+    return pages.without_chapters(document_pages(files, style_map), "path", "html").select("path", F.lit("no h1 begins a chapter").alias("error"))
+
+
 def processed(answered: DataFrame) -> DataFrame:
     """Rows (path, chapter_no, html, content, error) with manifest fields, Markdown numbered and with moved images, and what is missing in an incomplete answer.
 
@@ -80,4 +86,4 @@ def converted(files: DataFrame, settings: Settings, rules: str, examples: str, f
     link = lambda c: navigation.link_target(F.col(c))
     final = placed.select("path", "chapter_no", "filename", "title", M.with_navigation(F.col("markdown"), link("prev_filename"), F.col("prev_title"), link("next_filename"), F.col("next_title")).alias("markdown"))
     warned = good.select("path", "chapter_no", F.posexplode(F.concat(F.array_compact(F.array("incomplete")), M.warnings(F.col("markdown")))).alias("ord", "message"))
-    return Result(final, warned, failed)
+    return Result(final, warned, failed, unconverted(files, style_map))

@@ -149,3 +149,13 @@ def test_completeness_of_rows_is_that_of_columns(spark):
     contents = [json.dumps({"manifest": {"a": 1}, "markdown": "x"}), json.dumps({"manifest": {}, "markdown": "x"}), json.dumps({"manifest": {"a": 1}, "markdown": ""}), "plain", "[]", "", None]
     df = spark.createDataFrame([(c,) for c in contents], "c string")
     assert [r.m for r in df.select(answers.parsed_answer(F.col("c"))["markdown"].alias("m")).collect()] == [answers.json_markdown(c) for c in contents]
+
+
+def test_documents_with_nested_or_no_chapters(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    numbered = paragraph("Первая", extra='<w:numPr><w:ilvl w:val="0"/><w:numId w:val="5"/></w:numPr>', before='<w:bookmarkStart w:name="__RefHeading___1"/>')
+    (tmp_path / "in" / "list.docx").write_bytes(make_docx(paragraph("1 Первая\t3", "a1") + numbered))
+    (tmp_path / "in" / "plain.docx").write_bytes(make_docx(paragraph("no heading")))
+    found = docx.files(spark, str(tmp_path / "in"))
+    assert [(c.path.rpartition("/")[2], c.chapter_no, c.html) for c in pipeline.document_chapters(found).collect()] == [("list.docx", 1, "<h1>1 Первая</h1>")]
+    assert [(r.path.rpartition("/")[2], r.error) for r in pipeline.unconverted(found).collect()] == [("plain.docx", "no h1 begins a chapter")]

@@ -40,3 +40,12 @@ def test_completeness(spark):
     got = [r[0] for r in df.select(P.completeness(F.col("h"), F.col("m"))).collect()]
     assert tuple(got[0]) == (3, 0, 3, 0, False) and tuple(got[1]) == (3, 1, 3, 2, True)
     assert got[2] is None and got[3] is None and tuple(got[4]) == (0, 0, 0, 0, False)
+
+
+def test_split_at_nested_headings():
+    assert P.split_at("<ul><li>x<h1>One</h1><p>A</p></li><li><H1 id='2'>Two</H1>B</li></ul><p>C</p>") == ["<h1>One</h1><p>A</p>", "<H1 id='2'>Two</H1>B"]
+    assert P.split_at("<table><tr><td><h1>T</h1>t</td></tr></table><h1>Top</h1><div>d<section><h1>In</h1>i</section></div><p>p</p><h1>End</h1>") == [
+        "<h1>T</h1>t", "<h1>Top</h1><div>d<section><h1>In</h1>i</section></div><p>p</p>", "<h1>In</h1>i", "<h1>End</h1>",
+    ]
+    assert P.split_at("<div><!-- <h1>no</h1> --><script>'<h1>'</script><p title='<h1>'>x</p></div>") == [] and P.split_at("<div><div><h1>open") == ["<h1>open"]
+    assert P.split_at("<div>" * 2000 + "<h1>deep</h1>" + "</div>" * 2000) == ["<h1>deep</h1>"]
