@@ -76,6 +76,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     style_map = docx.style_map_of(_read(args.style_map))
     if args.dry_run:
         print(f"{dry_run(found, args.out, style_map, args.chapter)} files")
+        pipeline.unread(found, style_map).write.mode("overwrite").parquet(os.path.join(args.out, "_unconverted"))
         return 0
     own = files.Settings.from_environment()
     if args.provider:
@@ -89,7 +90,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     named = result.markdown.withColumn("folder", sinks.safe_name(T.stem(F.col("path")))).withColumn("file", F.concat_ws("/", "folder", sinks.safe_name(F.col("filename"))))
     n = sinks.write_files(named, args.out, "file", "markdown").count()
     media = docx.media(found).withColumn("file", F.concat_ws("/", sinks.safe_name(T.stem(F.col("path"))), F.lit("media"), sinks.safe_name(F.col("name"))))
-    sinks.write_files(media, args.out, "file", "data").count()
+    sinks.write_pieces(media, args.out, "path", "file").write.mode("overwrite").parquet(os.path.join(args.out, "_media"))
     result.warnings.write.mode("overwrite").parquet(os.path.join(args.out, "_warnings"))
     result.rejected.write.mode("overwrite").parquet(os.path.join(args.out, "_rejected"))
     result.unconverted.write.mode("overwrite").parquet(os.path.join(args.out, "_unconverted"))

@@ -50,9 +50,15 @@ def complete_answer(html: str, content: str | None) -> bool:
     return markdown is None or pages.complete(html, markdown)
 
 
+def unread(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
+    """(path, error) of DOCX files that can't be read."""
+    return docx.pages(files, style_map).filter("error is not null").select("path", "error")
+
+
 def unconverted(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
-    """(path, error) of DOCX files of which no chapter comes out."""
-    return pages.without_chapters(document_pages(files, style_map), "path", "html").select("path", F.lit("no h1 begins a chapter").alias("error"))
+    """(path, error) of DOCX files of which no chapter comes out: those that can't be read, and pages without h1."""
+    empty = pages.without_chapters(document_pages(files, style_map), "path", "html").select("path", F.lit("no h1 begins a chapter").alias("error"))
+    return unread(files, style_map).unionByName(empty)
 
 
 def processed(answered: DataFrame) -> DataFrame:

@@ -23,8 +23,10 @@ A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 
 #: Paragraph style (in lower case) to element; what isn't listed is <p>.
 STYLE_MAP = {"title": "h1", "heading 1": "h1", "heading 2": "h2", "heading 3": "h3", "heading 4": "h4", "heading 5": "h5", "heading 6": "h6", "quote": "blockquote", "code": "pre"}
-#: Bytes of one part that are read at most, against archives that grow without end when unpacked.
+#: Parts of more bytes are read as a stream, element by element, instead of at once.
 PART_BYTES = 256 << 20
+#: Bytes of media in one row; larger entries are several rows.
+PIECE_BYTES = 16 << 20
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
@@ -32,30 +34,44 @@ def files(spark: SparkSession, path: str, pattern: str = "*.docx") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
 
 
-def _part(archive: zipfile.ZipFile, name: str) -> bytes:
+def _elements(archive: zipfile.ZipFile, name: str, depth: int) -> Iterator[tuple[str, ElementTree.Element]]:
+    """(tag of the parent, element) of the elements so many levels below the root of a part, in order; none if the archive lacks the part.
+
+    Elements of a large part are freed once the next one is asked for.
+    """
     try:
-        if archive.getinfo(name).file_size > PART_BYTES:
-            raise ValueError(f"{name} is larger than {PART_BYTES} bytes")
-        return archive.read(name)
+        large = archive.getinfo(name).file_size > PART_BYTES
     except KeyError:
-        return b""
-
-
-def _xml(raw: bytes) -> ElementTree.Element | None:
-    if not raw:
-        return None
+        return
+    with archive.open(name) as part:
+        raw = part.read(4096 if large else -1)
     if b"<!DOCTYPE" in raw[:4096] or b"<!ENTITY" in raw[:4096]:
         raise ValueError("document type declarations aren't read")
-    return ElementTree.fromstring(raw)
+    if not large:
+        parents = [ElementTree.fromstring(raw)] if raw else []
+        for _ in range(depth - 1):
+            parents = [child for parent in parents for child in parent]
+        yield from ((parent.tag, child) for parent in parents for child in parent)
+        return
+    above: list[ElementTree.Element] = []
+    with archive.open(name) as part:
+        for event, element in ElementTree.iterparse(part, ("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if len(above) == depth:
+                yield above[-1].tag, element
+            if 0 < len(above) <= depth:
+                above[-1].remove(element)
 
 
 def style_names(archive: zipfile.ZipFile) -> dict[str, tuple[str, str]]:
     """(type, name) of each style by its id."""
-    root = _xml(_part(archive, "word/styles.xml"))
-    if root is None:
-        return {}
     out = {}
-    for style in root.iter(f"{W}style"):
+    for _, style in _elements(archive, "word/styles.xml", 1):
+        if style.tag != f"{W}style":
+            continue
         name = style.find(f"{W}name")
         out[style.get(f"{W}styleId", "")] = (style.get(f"{W}type", ""), name.get(f"{W}val", "") if name is not None else "")
     return out
@@ -79,11 +95,8 @@ def parsed(content: bytes) -> list[tuple[int, str, str, int | None, int | None]]
     """(pos from 0, style, text, num_id, ilvl) of every paragraph in order, those in tables included."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         styles = style_names(archive)
-        root = _xml(_part(archive, "word/document.xml"))
-        if root is None:
-            return []
         out = []
-        for pos, p in enumerate(root.iter(f"{W}p")):
+        for pos, p in enumerate(p for _, block in _elements(archive, "word/document.xml", 2) for p in block.iter(f"{W}p")):
             style = p.find(f"{W}pPr/{W}pStyle")
             name = styles.get(style.get(f"{W}val", ""), ("", style.get(f"{W}val", "")))[1] if style is not None else "Normal"
             number = p.find(f"{W}pPr/{W}numPr")
@@ -122,12 +135,7 @@ def to_html(content: bytes, style_map: dict[str, str] | None = None) -> str:
     mapping = STYLE_MAP | (style_map or {})
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         styles = style_names(archive)
-        root = _xml(_part(archive, "word/document.xml"))
-        relations = _xml(_part(archive, "word/_rels/document.xml.rels"))
-        media = {r.get("Id", ""): r.get("Target", "") for r in relations} if relations is not None else {}
-        body = root.find(f"{W}body") if root is not None else None
-        if body is None:
-            return ""
+        media = {r.get("Id", ""): r.get("Target", "") for _, r in _elements(archive, "word/_rels/document.xml.rels", 1)}
 
         def block(p: ElementTree.Element) -> tuple[str, str]:
             style = p.find(f"{W}pPr/{W}pStyle")
@@ -136,7 +144,9 @@ def to_html(content: bytes, style_map: dict[str, str] | None = None) -> str:
             return tag, f"<{tag}>{_inline(p, media)}</{tag}>"
 
         out, in_list = [], False
-        for node in body:
+        for parent, node in _elements(archive, "word/document.xml", 2):
+            if parent != f"{W}body":
+                continue
             tag, text = "", ""
             if node.tag == f"{W}p":
                 tag, text = block(node)
@@ -190,17 +200,42 @@ def heading_styles(df: DataFrame) -> DataFrame:
     return _each(df, "path string, style_id string, name string", work)
 
 
+def media_of(content: bytes) -> Iterator[tuple[str, int, bytes | None, str | None]]:
+    """(name, at, data, error) of the media entries of a DOCX, in pieces of bounded size that begin at byte `at`; an entry that can't be read ends with an error."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for entry in archive.infolist():
+            if not entry.filename.startswith("word/media/") or entry.is_dir():
+                continue
+            name, at = entry.filename.rpartition("/")[2], 0
+            try:
+                with archive.open(entry) as part:
+                    while (data := part.read(PIECE_BYTES)) or not at:
+                        yield name, at, data, None
+                        at += len(data)
+                        if not data:
+                            break
+            except Exception as e:  # noqa: BLE001
+                yield name, at, None, f"{name}: {e}"[:200]
+
+
 def media(df: DataFrame) -> DataFrame:
-    """(path, name, data) of the images and other media inside DOCX files."""
+    """(path, name, at, data, error) of the images and other media inside DOCX files.
 
-    def work(path: str, content: bytes | None) -> list[tuple]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
-                return [(path, i.filename.rpartition("/")[2], _part(archive, i.filename)) for i in archive.infolist() if i.filename.startswith("word/media/") and not i.is_dir()]
-        except Exception:  # noqa: BLE001
-            return []
+    Data is one row, for entries above PIECE_BYTES several rows, which follow one another in one task. An entry that
+    can't be read gives a row with an error, the others stay. A file that is no DOCX gives no rows; pages() has its error.
+    """
+    columns = ["path", "name", "at", "data", "error"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                try:
+                    for row in media_of(content or b""):
+                        yield pd.DataFrame([(path, *row)], columns=columns)
+                except Exception:  # noqa: BLE001, S112
+                    continue
 
-    return _each(df, "path string, name string, data binary", work)
+    return df.select("path", "content").mapInPandas(run, "path string, name string, at long, data binary, error string")
 
 
 def pages(df: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:

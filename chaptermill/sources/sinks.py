@@ -55,6 +55,45 @@ def write_files(df: DataFrame, folder: str, name: str, content: str) -> DataFram
     return df.select(F.col(name).alias("n"), F.col(content).alias("c")).mapInPandas(run, "path string, n_bytes long")
 
 
+def write_pieces(df: DataFrame, folder: str, key: str, name: str) -> DataFrame:
+    """Writes rows (key, name, at, data, error) whose data is a file or, from byte `at` on, a piece of it that follows its other pieces in one task.
+
+    Gives (key, file, n_bytes, error) of each file; one with an error isn't written. Lazy, and refuses names as write_files() does.
+    """
+    root = os.path.abspath(folder)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key_, path, size, part_path, file = None, "", 0, "", None
+
+        def ended(error: str | None = None) -> pd.DataFrame:
+            file.close()
+            os.remove(part_path) if error else os.replace(part_path, path)
+            return pd.DataFrame([(key_, path, None if error else size, error)], columns=["k", "path", "n_bytes", "error"])
+
+        for part in parts:
+            for k, n, at, data, error in zip(part["k"], part["n"], part["at"], part["data"], part["error"], strict=True):
+                if at == 0:
+                    if file:
+                        yield ended()
+                    key_, path, size = k, os.path.abspath(os.path.join(root, n)), 0
+                    if os.path.commonpath([root, path]) != root or path == root:
+                        raise ValueError(f"{n} leaves the folder")
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    part_path = f"{path}.{uuid.uuid4().hex}.part"
+                    file = open(part_path, "wb")  # noqa: SIM115
+                if error:
+                    yield ended(error)
+                    file = None
+                    continue
+                size += file.write(data)
+        if file:
+            yield ended()
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(name).alias("n"), "at", "data", "error")
+    return rows.mapInPandas(run, f"k {kind}, path string, n_bytes long, error string").withColumnRenamed("path", "file").withColumnRenamed("k", key)
+
+
 def chapter_files(chapters: DataFrame, folder: str, document: str, number: str, html: str) -> DataFrame:
     """One html/chapter_N.html for each chapter, in a folder for each document."""
     named = chapters.select(F.concat(safe_name(F.col(document).cast("string")), F.lit("/html/chapter_"), F.col(number).cast("string"), F.lit(".html")).alias("n"), F.col(html).alias("c"))

@@ -159,3 +159,35 @@ def test_documents_with_nested_or_no_chapters(spark, tmp_path):
     found = docx.files(spark, str(tmp_path / "in"))
     assert [(c.path.rpartition("/")[2], c.chapter_no, c.html) for c in pipeline.document_chapters(found).collect()] == [("list.docx", 1, "<h1>1 Первая</h1>")]
     assert [(r.path.rpartition("/")[2], r.error) for r in pipeline.unconverted(found).collect()] == [("plain.docx", "no h1 begins a chapter")]
+
+
+def test_large_parts_are_read_as_a_stream(monkeypatch):
+    table = f"<w:tbl><w:tr><w:tc>{paragraph('cell')}</w:tc></w:tr></w:tbl>"
+    content = make_docx(BODY + table + paragraph("Head", "h1"))
+    want = (docx.parsed(content), docx.to_html(content))
+    monkeypatch.setattr(docx, "PART_BYTES", 10)
+    assert (docx.parsed(content), docx.to_html(content)) == want and "<h1>Head</h1>" in want[1] and len(want[0]) == 9
+    monkeypatch.setattr(docx, "PIECE_BYTES", 3)
+    assert list(docx.media_of(content)) == [("image1.png", 0, b"\x89PN", None), ("image1.png", 3, b"G", None)]
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    raw = docx_writer.written([("Heading 1", "First")], {"bad.png": b"BADBYTES" * 9, "good.png": b"x"})
+    at = raw.index(b"word/media/bad.png") + len(b"word/media/bad.png")
+    (tmp_path / "in" / "a.docx").write_bytes(raw[:at] + b"\xff\xff" + raw[at + 2 :])
+    (tmp_path / "in" / "broken.docx").write_bytes(b"no zip")
+    found = docx.files(spark, str(tmp_path / "in"))
+    model = enrich.offline(lambda user: json.dumps({"manifest": {"chapter_number": 1, "title": "T", "filename": "1.md", "slug": "s"}, "markdown": "# First"}))
+    result = pipeline.converted(found, Settings(model="m", api_key="k"), "R", "E", model)
+    assert [(r.path.rpartition("/")[2], r.error) for r in result.unconverted.collect()] == [("broken.docx", "File is not a zip file")]
+    rows = docx.media(found).collect()
+    assert [(r.name, r.at, r.data and bytes(r.data)) for r in rows] == [("bad.png", 0, None), ("good.png", 0, b"x")] and rows[0].error.startswith("bad.png: ")
+
+
+def test_pieces_become_files(spark, tmp_path):
+    rows = [("d", "m/a", 0, b"ab", None), ("d", "m/a", 2, b"c", None), ("d", "m/b", 0, b"xy", None), ("d", "m/b", 2, None, "b: torn"), ("d", "m/c", 0, b"", None), ("d", "m/d", 0, None, "d: no")]
+    df = spark.createDataFrame(rows, "path string, name string, at long, data binary, error string").coalesce(1)
+    got = {os.path.relpath(r.file, tmp_path): (r.path, r.n_bytes, r.error) for r in sinks.write_pieces(df, str(tmp_path), "path", "name").collect()}
+    assert got == {"m/a": ("d", 3, None), "m/b": ("d", None, "b: torn"), "m/c": ("d", 0, None), "m/d": ("d", None, "d: no")}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "m").iterdir()} == {"a": b"abc", "c": b""}
