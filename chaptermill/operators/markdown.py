@@ -161,15 +161,17 @@ def without_repeated_paragraphs(markdown: Column) -> Column:
 def tables_without_caption(markdown: Column) -> Column:
     """Lines (as numbers) at which a table ends that no caption follows, blank lines aside."""
 
-    def of(lines: Column) -> Column:
+    def of(kept: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
-            end = x.startswith("|") & ~F.coalesce(F.get(lines, i + 1).startswith("|"), F.lit(False))
-            after = F.get(F.filter(F.slice(lines, i + 2, F.lit(3)), lambda y: T.strip(y) != ""), F.lit(0))
-            return F.when(end & ~F.coalesce(after.rlike(r"(?U)\A> \w+ \d+ – "), F.lit(False)), i)
+            after = F.get(kept, i + 1)
+            goes_on = after["line"].startswith("|") & (after["at"] == x["at"] + 1)
+            end = x["line"].startswith("|") & ~F.coalesce(goes_on, F.lit(False))
+            return F.when(end & ~F.coalesce(after["line"].rlike(r"(?U)\A> \w+ \d+ – "), F.lit(False)), x["at"])
 
-        return F.filter(F.transform(lines, one), lambda i: i.isNotNull())
+        return F.filter(F.transform(kept, one), lambda i: i.isNotNull())
 
-    return T.bound(T.lines(markdown), of)
+    placed = F.transform(T.lines(markdown), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    return T.bound(F.filter(placed, lambda x: T.strip(x["line"]) != ""), of)
 
 
 def annotation_texts(markdown: Column) -> Column:

@@ -104,3 +104,8 @@ def test_slugs(spark):
     want = ["nastrojka-hranilischa-s3", "prufung-der-netzregeln", "zaschita-uchetnyh-zapisej", "", None]
     assert values(spark, titles, slugs.slugify) == want
     assert [slugs.slugified(t) for t in titles[:4]] == want[:4]
+
+
+def test_captions_after_many_blank_lines(spark):
+    texts = ["| a |\n\n\n\n \n\xa0\n> Таблица 1 – far", "| a |\n\n\n\n\ntext\n> Таблица 1 – after a text", "| a |\n\n| b |\n> Tabelle 2 – near", "| a |\n| b |\n\n\n\n", "", None]
+    assert values(spark, texts, M.tables_without_caption) == [[], [0], [0], [1], [], None]
