@@ -68,14 +68,20 @@ _TABLE_LINE = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _CAPTION = re.compile(r">\s*\w+ \d+\s*[–—-] ")
 
 
-# One of these stands in every text that the patterns above find.
+# One of these, or what _AS_MODEL finds, stands in every text that the patterns of refusals find.
 _STEMS = (
     "сожалению", "извините", "прощения", "простите", "увы", "я не ", "языковая модель", "как ии", "искусственный интеллект", "отказаться", "отклонить", "не могу",
-    "sorry", "unfortunately", "apologi", "regrettably", "i must ", "i have to", "i need to", "as an ai", "language model", "as an artificial", "unable", "not able", "i can't", "i can’t", "i cannot", "i won",
+    "sorry", "unfortunately", "apologi", "regrettably", "i must ", "i have to", "i need to", "as an ai", "language model", "as an artificial", "unable", "not able", "i can't", "i can’t", "i cant ", "i cannot", "i won",
     "на жаль", "перепрошую", "вибачте", "пробачте", "мовна модель", "відмовити", "відхилити", "leider", "mir leid", "entschuldigung", "bedauer", "ablehnen", "sprachmodell", "ich bin nicht", "ich kann", "ich darf",
     "lo siento", "lamentablemente", "lamento", "disculpe", "perdone", "desafortunadamente", "me es posible", "modelo de l", "no puedo", "rechazar", "declinar", "negarme",
     "infelizmente", "desculp", "sinto muito", "me é possível", "recusar", "não posso", "não consigo",
 )
+_AS_MODEL = re.compile(r"as an? (?:ai|artificial|large)?\s*(?:ai|language|artificial)")
+
+
+def stems_of(lower: str) -> list[str]:
+    """The stems of refusals that a text in lower case holds."""
+    return [stem for stem in _STEMS if stem in lower] + list(set(_AS_MODEL.findall(lower)))
 
 
 class Clauses:
@@ -95,7 +101,7 @@ class Clauses:
             inside = False
             first = len(rows)
             lower = answer.lower()
-            stems = [stem for stem in _STEMS if stem in lower]
+            stems = stems_of(lower)
             for line in body.splitlines():
                 text = line.strip()
                 if not text:

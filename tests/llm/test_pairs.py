@@ -1,4 +1,5 @@
 import html
+import re
 
 import numpy as np
 import pytest
@@ -90,3 +91,31 @@ def test_found(spark, data):
     found = find(answers)
     assert {tuple(r) for r in found.collect()} == {(2, "empty"), (3, "copy"), (6, "empty")} and found.count() == 3
     assert find(answers.filter(F.lit(False))).count() == 0
+
+
+def forms(parsed):
+    """Shortest texts that a parsed pattern matches, optional parts with and without."""
+    outs = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            now = [chr(value)]
+        elif name == "IN":
+            now = [" "] if str(value[0][0]) == "NEGATE" else [chr(v) if str(o) == "LITERAL" else " " for o, v in value]
+        elif name == "BRANCH":
+            now = [f for branch in value[1] for f in forms(branch)]
+        elif name == "SUBPATTERN":
+            now = forms(value[3])
+        elif name == "MAX_REPEAT":
+            now = ([""] if value[0] == 0 else []) + forms(value[2])
+        else:
+            assert name == "AT", name
+            now = [""]
+        outs = [a + b for a in outs for b in now]
+    return outs
+
+
+def test_every_refusal_holds_a_stem():
+    found = {f for pattern in Q.REFUSALS.values() for f in forms(re._parser.parse(pattern, re.I)) if Q._REFUSAL.search(f)}
+    assert len(found) > 500 and {"i cant help", "as a large language cannot", "as a ai can not"} <= {" ".join(f.split()) for f in found}
+    assert [f for f in found if not Q.stems_of(f.lower())] == []
