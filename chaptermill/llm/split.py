@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from .arrowtext import sliced
 
 LIMIT, OVERLAP = 4000, 200
-#: Words on each side of a gap, and buckets of the hashed word vectors compared there.
-WINDOW_WORDS, BUCKETS = 60, 64
+#: Words on each side of a gap that are compared there, and gaps compared at once.
+WINDOW_WORDS, GAPS_AT_ONCE = 60, 256
 
 _GAP = re.compile(
     r"</(?:p|li|tr|table|tbody|ul|ol|pre|div|h[1-6]|blockquote|section|article|dl|dd|dt|figure|figcaption|details)\s*>(?:\s*</(?:tr|table|tbody|ul|ol|div|blockquote|section|article|dl|figure|details)\s*>)*\s*"
@@ -42,17 +41,17 @@ _SENTENCE = re.compile(r"[.!?…]+[\"'»”)\]]*\s+")
 _SPACE = re.compile(r"\s+")
 
 
-class _Buckets(dict):
-    """Bucket of each word; forgets all when it grows, so that its memory is bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value = zlib.crc32(word.encode()) % BUCKETS
-        return value
-
-
-_BUCKETS = _Buckets()
+def _likeness(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cosine of the counts of words in the windows before and after each place; words are numbers from 0."""
+    padded = np.concatenate([np.full(WINDOW_WORDS, -1, np.int32), words, np.full(WINDOW_WORDS, -1, np.int32)])
+    window = np.arange(WINDOW_WORDS)
+    out = []
+    for some in np.array_split(at, range(GAPS_AT_ONCE, len(at), GAPS_AT_ONCE)):
+        before, after = padded[some[:, None] + window], padded[some[:, None] + WINDOW_WORDS + window]
+        shared = lambda a, b: ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).sum((1, 2))
+        norm = np.sqrt(shared(before, before).astype(np.float64) * shared(after, after))
+        out.append(shared(before, after) / np.maximum(norm, 1e-9))
+    return np.concatenate(out)
 
 
 def valley_depths(text: str, gaps: list[int]) -> np.ndarray:
@@ -60,19 +59,12 @@ def valley_depths(text: str, gaps: list[int]) -> np.ndarray:
     if not gaps:
         return np.zeros(0)
     places, words = [], []
+    numbers: dict[str, int] = {}
     for m in _WORD.finditer(text):
         if m.lastindex:
             places.append(m.start())
-            words.append(_BUCKETS[m.group(1).lower()])
-    n = len(words)
-    counts = np.zeros((n + 1, BUCKETS), np.float32)
-    counts[np.arange(1, n + 1), np.array(words, np.int64)] = 1
-    np.cumsum(counts, axis=0, out=counts)
-    at = np.searchsorted(np.array(places, np.int64), np.array(gaps, np.int64))
-    before = counts[at] - counts[np.maximum(at - WINDOW_WORDS, 0)]
-    after = counts[np.minimum(at + WINDOW_WORDS, n)] - counts[at]
-    norm = np.sqrt((before * before).sum(1) * (after * after).sum(1))
-    likeness = (before * after).sum(1) / np.maximum(norm, 1e-9)
+            words.append(numbers.setdefault(m.group(1).lower(), len(numbers)))
+    likeness = _likeness(np.array(words, np.int32), np.searchsorted(np.array(places, np.int64), np.array(gaps, np.int64)))
 
     def peaks(s: np.ndarray) -> np.ndarray:  # the top reached by climbing to the left
         starts = np.ones(len(s), bool)

@@ -61,3 +61,11 @@ def test_rows(spark):
     assert rows[0].piece + "".join(r.piece[200:] for r in rows[1:]) == long
     assert all(b.piece[:200] == a.piece[-200:] for a, b in zip(rows, rows[1:]))
     assert S.split_oversized(df.filter(F.lit(False)), "chapter_id", "chapter_html").count() == 0
+
+
+def test_windows_without_shared_words_are_unlike():
+    letters = [chr(97 + i) * 2 + chr(97 + j) for i in range(12) for j in range(10)]
+    one, two = " ".join(letters[:60]) + "\n\n", " ".join(letters[60:]) + "\n\n"
+    text, gaps = one + one + two + two, [len(one), 2 * len(one), 2 * len(one) + len(two)]
+    assert [round(float(d), 6) for d in S.valley_depths(text, gaps)] == [0, 2, 0]
+    assert len(S.valley_depths("<p>1</p>" * 600, list(range(8, 4800, 8)))) == 599
