@@ -404,6 +404,24 @@ def anchor_fold(spark: SparkSession, d: str) -> DataFrame:
     return folded.select("chapter_id", headings.alias("headings")).distinct()
 
 
+_HEAD, _HEAD_PARTS = r"<h[1-6]>[^<]*</h[1-6]>", r"<h([1-6])>([^<]*)</h[1-6]>"
+
+
+@_query(
+    rf"""with c as (select distinct chapter_id, chapter_html from chapter where chapter_html is not null),
+    p as (select chapter_id, string_split_regex(chapter_html, '{_HEAD}') as a, regexp_extract_all(chapter_html, '{_HEAD_PARTS}', 1) as l, regexp_extract_all(chapter_html, '{_HEAD_PARTS}', 2) as t from c),
+    e as (select chapter_id, i, a[i] || case when i <= len(t) then '<h' || l[i] || '>1.' || i || ' ' || t[i] || '</h' || l[i] || '></b>' else '' end as x from p, unnest(range(1, len(a) + 1)) as u(i))
+    select chapter_id, md5(string_agg(x, '' order by i)) as hash from e group by chapter_id"""
+)
+def page_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Every page whole, its headings of all levels turned into anchors and folded back with their own levels."""
+    df = _chapters(spark, d)
+    part = lambda n: F.regexp_extract_all("chapter_html", F.lit(_HEAD_PARTS), F.lit(n))
+    toc = F.transform(F.arrays_zip(part(1).alias("l"), part(2).alias("t")), lambda h, i: F.struct(h["l"].cast("int").alias("level"), F.concat(F.lit("1."), (i + 1).cast("string")).alias("number"), h["t"].alias("title")))
+    anchored = F.regexp_replace("chapter_html", _HEAD_PARTS, '<a id="__RefHeading___1"></a><b>$2</b>')
+    return df.select("chapter_id", F.md5(C.folded(anchored, toc)).alias("hash")).distinct()
+
+
 _PLAIN = "replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<!--.*?-->|<[^<>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
 _TEXTS_OF = rf"list_transform(regexp_extract_all(chapter_html, '(?is)<%s\b[^>]*>(.*?)</%s\s*>', 1), lambda x: {_STRIP % _PLAIN})"
 
@@ -464,6 +482,22 @@ def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
     return a.select("response_id", F.col("a.way").alias("way"), F.md5("a.markdown").alias("hash")).distinct()
 
 
+@_query(
+    rf"""with {_R}, c as (select response_id, markdown, sent, chr(10) || '```markdown' || chr(10) || markdown || chr(10) || '```' as content from r, (values ('json'), ('fences')) as s(sent)),
+    p as (select response_id, sent, case when sent = 'fences' then regexp_extract(content, '(?s)```markdown\s*(.*?)\s*```', 1) when markdown <> '' then markdown end as m from c)
+    select response_id, sent, case when m is not null then sent end as way, md5(m) as hash from p"""
+)
+def parsed_both_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Every response sent as JSON and in fenced blocks, and parsed again."""
+    md = F.col("markdown")
+    as_json = F.to_json(F.struct(F.struct(F.lit("x").alias("title")).alias("manifest"), md.alias("markdown")))
+    fenced = F.concat(F.lit('```json\n{"title": "x"}\n```\n```markdown\n'), md, F.lit("\n```"))
+    both = F.map_from_arrays(F.array(F.lit("json"), F.lit("fences")), F.array(as_json, fenced))
+    df = _table(spark, d, "llm_response").filter("markdown is not null").select("response_id", F.explode(both).alias("sent", "content"))
+    a = df.select("response_id", "sent", A.parsed_answer(F.col("content")).alias("a"))
+    return a.select("response_id", "sent", F.col("a.way").alias("way"), F.md5("a.markdown").alias("hash")).distinct()
+
+
 @_query(
     """with m as (select distinct manifest_id, chapter_number, title, filename, slug, read_prev, read_next, description, keywords from chapter_manifest),
     v as (select manifest_id, list_filter([

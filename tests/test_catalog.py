@@ -42,3 +42,10 @@ def test_row_wise_queries_do_not_shuffle(spark, data):
     for name in ("renumbered_documents", "chapter_pages", "all_warnings", "image_paths", "heading_numbers"):
         plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan, name
+
+
+def test_whole_jobs(spark, data):
+    run = lambda name: catalog.queries()[name](spark, data)
+    assert run("parsed_both_ways").count() == 2 * run("parsed_answers").count()
+    chapters = spark.read.parquet(f"{data}/chapter.parquet").filter("chapter_html is not null")
+    assert run("page_fold").count() == chapters.select("chapter_id").distinct().count() > run("anchor_fold").count()
