@@ -43,14 +43,15 @@ def _read(path: str | None) -> str:
         return file.read()
 
 
-def dry_run(found: DataFrame, out: str, style_map: dict[str, str], only: int | None) -> int:
-    """Writes html/chapter_N.html of each document, or html/full_document.html where no chapter comes out; gives the number of files."""
-    pages = pipeline.document_pages(found, style_map).withColumn("doc", T.stem(F.col("path")))
+def dry_run(found: DataFrame, root: str, out: str, style_map: dict[str, str], only: int | None) -> DataFrame:
+    """(path, n_bytes) of the files of a dry run, which are written when the result is: html/chapter_N.html of each document, or html/full_document.html where no chapter comes out."""
+    pages = pipeline.document_pages(found, style_map)
     from .operators import pages as P
 
-    chapters = P.chapters(pages, "doc", "html", only=only)
-    whole = pages.join(chapters.select("doc").distinct(), "doc", "left_anti")
-    return sinks.chapter_files(chapters, out, "doc", "chapter_no", "html").count() + sinks.whole_pages(whole, out, "doc", "html").count()
+    chapters = P.chapters(pages, "path", "html", only=only)
+    whole = pages.join(chapters.select("path").distinct(), "path", "left_anti")
+    named = chapters.unionByName(whole.withColumn("chapter_no", F.lit(None).cast("int"))).withColumn("folder", sinks.document_folder(F.col("path"), root))
+    return sinks.page_files(named, out, "folder", "chapter_no", "html")
 
 
 def navigate(spark: SparkSession, folder: str, out: str) -> int:
@@ -75,7 +76,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     found = docx.files(spark, args.input)
     style_map = docx.style_map_of(_read(args.style_map))
     if args.dry_run:
-        print(f"{dry_run(found, args.out, style_map, args.chapter)} files")
+        print(f"{dry_run(found, args.input, args.out, style_map, args.chapter).count()} files")
         pipeline.unread(found, style_map).write.mode("overwrite").parquet(os.path.join(args.out, "_unconverted"))
         return 0
     own = files.Settings.from_environment()
@@ -87,10 +88,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
         chosen = answers.example_sample(files.samples(spark, args.samples), "path", args.examples)
         examples = chosen.agg(answers.joined_examples(chosen, "path", "text")).first()[0]
     result = pipeline.converted(found, settings, _read(args.rules), examples, factory, args.chapter, style_map)
-    named = result.markdown.withColumn("folder", sinks.safe_name(T.stem(F.col("path")))).withColumn("file", F.concat_ws("/", "folder", sinks.safe_name(F.col("filename"))))
-    n = sinks.write_files(named, args.out, "file", "markdown").count()
-    media = docx.media(found).withColumn("file", F.concat_ws("/", sinks.safe_name(T.stem(F.col("path"))), F.lit("media"), sinks.safe_name(F.col("name"))))
-    sinks.write_pieces(media, args.out, "path", "file").write.mode("overwrite").parquet(os.path.join(args.out, "_media"))
+    named = sinks.distinct_names(result.markdown.withColumns({"folder": sinks.document_folder(F.col("path"), args.input), "name": sinks.safe_name(F.col("filename"))}), ["folder"], "name", ["chapter_no"])
+    n = sinks.write_files(named.withColumn("file", F.concat_ws("/", "folder", "name")), args.out, "file", "markdown").count()
+    media = sinks.media_files(docx.media(found), args.input, args.out)
+    media.write.mode("overwrite").parquet(os.path.join(args.out, "_media"))
     result.warnings.write.mode("overwrite").parquet(os.path.join(args.out, "_warnings"))
     result.rejected.write.mode("overwrite").parquet(os.path.join(args.out, "_rejected"))
     result.unconverted.write.mode("overwrite").parquet(os.path.join(args.out, "_unconverted"))

@@ -90,6 +90,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"(?<=.)\.[^.]*\z", "")
 
 
+def without_extension(path: Column) -> Column:
+    """A path without the extension of its last part."""
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]*\z", "")
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)\z", 1)
 

@@ -39,6 +39,16 @@ def parsed_contents(df: DataFrame, style: str = "style", text: str = "text") ->
     )
 
 
+def entries(paragraphs: Column) -> Column:
+    """Array of (level, number, title) of the paragraphs (style, text) of one document, by the rules of parsed_contents()."""
+    line = rf"\A(\d+(?:\.\d+)*)[{T.SPACE}]+([^\t]+)(?:\t\d+)?\n?\z"
+    stripped = F.transform(F.filter(paragraphs, lambda p: p["style"].rlike(r"\Atoc.*\z") & p["style"].rlike(r"toc \d")), lambda p: F.struct(p["style"].alias("style"), T.strip(p["text"]).alias("text")))
+    return F.transform(
+        F.filter(stripped, lambda p: p["text"].rlike(line)),
+        lambda p: F.struct(F.regexp_extract(p["style"], r"toc (\d+)", 1).cast("int").alias("level"), F.regexp_extract(p["text"], line, 1).alias("number"), T.strip(F.regexp_extract(p["text"], line, 2)).alias("title")),
+    )
+
+
 def numbering_map(df: DataFrame, group: str, pos: str = "pos", title: str = "title", number: str = "number") -> DataFrame:
     """(group, title, number, first_pos): of titles that occur again the first place and the last number.
 

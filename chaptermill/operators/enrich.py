@@ -2,7 +2,7 @@
 
 A transport is made once for each task and is a callable from (payload, headers) to (status,
 content type, body). Nothing is retried across tasks: a task that runs again asks again, so
-write the result before using it twice (cached_answers() leaves out what was answered).
+write the result before using it twice (unanswered() leaves out what was answered).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from urllib.request import Request, urlopen
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..sources.files import Settings
 from .answers import headers_of
@@ -25,7 +26,7 @@ Check = Callable[[str, str], bool]
 
 #: Seconds before the second attempt; each further wait doubles.
 FIRST_WAIT = 1.0
-_OUT = "status int, attempts int, content string, error string"
+_OUT = (("status", IntegerType()), ("attempts", IntegerType()), ("content", StringType()), ("error", StringType()))
 
 
 def http_transport(settings: Settings) -> Callable[[], Transport]:
@@ -77,26 +78,27 @@ def asked(payload: str, transport: Transport, headers: dict[str, str], attempts:
     return status, attempts, None, error
 
 
-def enriched(df: DataFrame, key: str, payload: str, settings: Settings, factory: Callable[[], Transport] | None = None, check: Check | None = None, source: str | None = None) -> DataFrame:
-    """(key, status, attempts, content, error) of each row; check(source text, content) tells a complete answer. Null payloads are errors."""
+def enriched(df: DataFrame, key: str, payload: str, settings: Settings, factory: Callable[[], Transport] | None = None, check: Check | None = None, source: str | None = None, keep: list[str] | None = None, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(key, columns of keep, status, attempts, content, error) of each row; check(source text, content) tells a complete answer. Null payloads are errors."""
+    keep = keep or []
     make = factory or http_transport(settings)
     headers = headers_of(settings.api_key, settings.referer, settings.app_title)
-    rows = df.select(F.col(key).alias("k"), F.col(payload).alias("p"), (F.col(source) if source else F.lit(None).cast("string")).alias("s"))
-    kind = rows.schema["k"].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), F.col(payload).alias("p"), (F.col(source) if source else F.lit(None).cast("string")).alias("s"), *keep)
+    schema = StructType([rows.schema["k"], *(rows.schema[c] for c in keep), *(StructField(n, t) for n, t in _OUT)])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         transport = make()
         for part in parts:
             out = []
-            for k, p, s in zip(part["k"], part["p"], part["s"], strict=True):
+            for p, s in zip(part["p"], part["s"], strict=True):
                 complete = (lambda content, s=s: check(s, content)) if check and s is not None else None
-                out.append((k, *((None, 0, None, "no payload") if p is None else asked(p, transport, headers, settings.attempts, complete))))
-            yield pd.DataFrame(out, columns=["k", "status", "attempts", "content", "error"])
+                out.append(((None, 0, None, "no payload") if p is None else asked(p, transport, headers, settings.attempts, complete, sleep)))
+            yield pd.concat([part[["k", *keep]].reset_index(drop=True), pd.DataFrame(out, columns=[n for n, _ in _OUT]).astype(object)], axis=1)
 
-    return rows.mapInPandas(run, f"k {kind}, {_OUT}").withColumnRenamed("k", key)
+    return rows.mapInPandas(run, schema).withColumnRenamed("k", key)
 
 
-def cached_answers(df: DataFrame, payload: str, answered: DataFrame) -> DataFrame:
+def unanswered(df: DataFrame, payload: str, answered: DataFrame) -> DataFrame:
     """Rows of df whose payload isn't among answered ones; answered has request, the sha2 of their payloads."""
     return df.withColumn("request", F.sha2(payload, 256)).join(answered.select("request").distinct(), "request", "left_anti")
 

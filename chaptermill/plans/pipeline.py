@@ -6,6 +6,7 @@ chapters are processed unless one is asked for.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,15 +28,13 @@ class Result:
     warnings: DataFrame  # path, chapter_no, ord, message
     rejected: DataFrame  # path, chapter_no, error
     unconverted: DataFrame  # path, error: documents of which no chapter comes out
+    asked: DataFrame  # path, chapter_no, status, attempts
 
 
 def document_pages(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
-    """(path, html) of DOCX files: anchors folded into headings by the file's own contents, which are then removed."""
-    raw = docx.pages(files, style_map).filter("html is not null")
-    entries = contents.parsed_contents(docx.paragraphs(files).filter("error is null"))
-    toc = entries.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "number", "title"))).alias("toc"))  # one document's entries
-    joined = raw.join(toc, "path", "left")
-    folded = joined.select("path", F.when(F.col("toc").isNull(), F.col("html")).otherwise(contents.folded(F.col("html"), F.coalesce("toc", F.array().cast(toc.schema["toc"].dataType)))).alias("html"))
+    """(path, html) of DOCX files: anchors folded into headings by the file's own contents, which are then removed. Each file is parsed once; no shuffle."""
+    read = docx.documents(files, style_map).filter("error is null")
+    folded = read.select("path", T.bound(contents.entries(F.col("contents")), lambda toc: contents.folded(F.col("html"), toc)).alias("html"))
     return pages.without_contents(folded, "path", "html")
 
 
@@ -52,7 +51,7 @@ def complete_answer(html: str, content: str | None) -> bool:
 
 def unread(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
     """(path, error) of DOCX files that can't be read."""
-    return docx.pages(files, style_map).filter("error is not null").select("path", "error")
+    return docx.documents(files, style_map).filter("error is not null").select("path", "error")
 
 
 def unconverted(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
@@ -62,14 +61,12 @@ def unconverted(files: DataFrame, style_map: dict[str, str] | None = None) -> Da
 
 
 def processed(answered: DataFrame) -> DataFrame:
-    """Rows (path, chapter_no, html, content, error) with manifest fields, Markdown numbered and with moved images, and what is missing in an incomplete answer.
+    """Rows (path, chapter_no, html, content, error) with manifest fields, Markdown numbered by the chapter's place and with images moved under the document's slug, and what is missing in an incomplete answer.
 
     The error that comes in is that of an answer taken although it is incomplete; the one that goes out is why a row is no good.
     """
     parsed = answered.withColumn("a", answers.parsed_answer(F.col("content"))).withColumn("violations", answers.manifest_violations(F.col("a.manifest")))
-    number = F.coalesce(F.get_json_object("a.manifest", "$.chapter_number").cast("int"), F.col("chapter_no"))
-    slug = F.coalesce(F.get_json_object("a.manifest", "$.slug"), slugs.slugify(T.stem(F.col("path"))))
-    done = M.images_under(M.renumbered(F.col("a.markdown"), number), slug)
+    done = M.images_under(M.renumbered(F.col("a.markdown"), F.col("chapter_no")), slugs.slugify(T.stem(F.col("path"))))
     return parsed.select(
         "path", "chapter_no", F.get_json_object("a.manifest", "$.filename").alias("filename"), F.get_json_object("a.manifest", "$.title").alias("title"), done.alias("markdown"),
         F.coalesce("a.error", F.when(F.size("violations") > 0, F.array_join("violations", "; "))).alias("error"), T.bound(pages.completeness(F.col("html"), F.col("a.markdown")), lambda c: F.when(c["incomplete"] | F.col("error").isNotNull(), _missing(c))).alias("incomplete"),
@@ -80,11 +77,11 @@ def _missing(c: Column) -> Column:
     return F.format_string("Incomplete answer: %d of %d headings and %d of %d pieces of code are missing", c["lost_headers"], c["n_headers"], c["lost_code"], c["n_code"])
 
 
-def converted(files: DataFrame, settings: Settings, rules: str, examples: str, factory: Callable[[], enrich.Transport] | None = None, only: int | None = None, style_map: dict[str, str] | None = None) -> Result:
+def converted(files: DataFrame, settings: Settings, rules: str, examples: str, factory: Callable[[], enrich.Transport] | None = None, only: int | None = None, style_map: dict[str, str] | None = None, sleep: Callable[[float], None] = time.sleep) -> Result:
     """The full run. The model's answers are written to the checkpoint folder before they are used twice."""
-    chapters = document_chapters(files, only, style_map).withColumn("id", F.concat_ws("#", "path", "chapter_no"))
+    chapters = document_chapters(files, only, style_map)
     asked = chapters.withColumn("payload", answers.payload(answers.messages(F.col("html"), rules, examples), settings.model or "", settings.provider))
-    got = lineage.kept(enrich.enriched(asked, "id", "payload", settings, factory, complete_answer, "html").join(chapters, "id"))
+    got = lineage.kept(enrich.enriched(asked, "path", "payload", settings, factory, complete_answer, "html", ["chapter_no", "html"], sleep))
     rows = processed(got.filter("content is not null"))
     good = rows.filter("error is null")
     failed = got.filter("content is null").select("path", "chapter_no", "error").unionByName(rows.filter("error is not null").select("path", "chapter_no", "error"))
@@ -92,4 +89,4 @@ def converted(files: DataFrame, settings: Settings, rules: str, examples: str, f
     link = lambda c: navigation.link_target(F.col(c))
     final = placed.select("path", "chapter_no", "filename", "title", M.with_navigation(F.col("markdown"), link("prev_filename"), F.col("prev_title"), link("next_filename"), F.col("next_title")).alias("markdown"))
     warned = good.select("path", "chapter_no", F.posexplode(F.concat(F.array_compact(F.array("incomplete")), M.warnings(F.col("markdown")))).alias("ord", "message"))
-    return Result(final, warned, failed, unconverted(files, style_map))
+    return Result(final, warned, failed, unconverted(files, style_map), got.select("path", "chapter_no", "status", "attempts"))

@@ -1,8 +1,9 @@
 """DOCX files: paragraphs with styles and list numbering, heading styles, media, and HTML.
 
 Files are read as binary rows and parsed one by one inside Arrow-fed tasks with the standard
-library; one parse gives all outputs that are asked for. A file that is no DOCX gives no
-paragraphs and an error text, never a failed job. Files are never gathered on the driver.
+library; documents() gives HTML and the paragraphs of the contents from one pass over a file.
+A file that is no DOCX gives no paragraphs and an error text, never a failed job. Files are
+never gathered on the driver.
 """
 
 from __future__ import annotations
@@ -91,75 +92,160 @@ def _text(element: ElementTree.Element) -> str:
     return "".join(out)
 
 
+def _value(element: ElementTree.Element | None) -> int | None:
+    value = element.get(f"{W}val") or "" if element is not None else ""
+    return int(value) if value.lstrip("-").isdigit() else None
+
+
+def _numbering(p: ElementTree.Element) -> tuple[int | None, int | None]:
+    """(num_id, ilvl) of a paragraph, null where it has none."""
+    return _value(p.find(f"{W}pPr/{W}numPr/{W}numId")), _value(p.find(f"{W}pPr/{W}numPr/{W}ilvl"))
+
+
 def parsed(content: bytes) -> list[tuple[int, str, str, int | None, int | None]]:
     """(pos from 0, style, text, num_id, ilvl) of every paragraph in order, those in tables included."""
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        styles = style_names(archive)
-        out = []
-        for pos, p in enumerate(p for _, block in _elements(archive, "word/document.xml", 2) for p in block.iter(f"{W}p")):
-            style = p.find(f"{W}pPr/{W}pStyle")
-            name = styles.get(style.get(f"{W}val", ""), ("", style.get(f"{W}val", "")))[1] if style is not None else "Normal"
-            number = p.find(f"{W}pPr/{W}numPr")
-            num_id = number.find(f"{W}numId") if number is not None else None
-            level = number.find(f"{W}ilvl") if number is not None else None
-            value = lambda e: int(e.get(f"{W}val")) if e is not None and (e.get(f"{W}val") or "").lstrip("-").isdigit() else None
-            out.append((pos, name, _text(p), value(num_id), value(level)))
-        return out
-
-
-def _inline(p: ElementTree.Element, media: dict[str, str]) -> str:
-    out = []
-    for node in p:
-        if node.tag == f"{W}bookmarkStart" and node.get(f"{W}name", "").startswith("__RefHeading"):
-            out.append(f'<a id="{html.escape(node.get(f"{W}name", ""))}"></a>')
-        elif node.tag == f"{W}hyperlink":
-            inside = _inline(node, media)
-            anchor = node.get(f"{W}anchor")
-            out.append(f'<a href="#{html.escape(anchor)}">{inside}</a>' if anchor else inside)
-        elif node.tag == f"{W}r":
-            text = html.escape(_text(node), quote=False)
-            props = node.find(f"{W}rPr")
-            on = lambda e: e is not None and e.get(f"{W}val", "1") not in ("0", "false")
-            if text and props is not None and on(props.find(f"{W}b")):
-                text = f"<strong>{text}</strong>"
-            if text and props is not None and on(props.find(f"{W}i")):
-                text = f"<em>{text}</em>"
-            out.append(text)
-            for blip in node.iter(f"{A}blip"):
-                out.append(f'<img src="{html.escape(media.get(blip.get(f"{R}embed", ""), ""))}"/>')
-    return "".join(out)
+    return list(_document(content, None, True, lambda p, style, number: True)[1])
 
 
-def to_html(content: bytes, style_map: dict[str, str] | None = None) -> str:
-    """HTML of a DOCX: paragraphs by the style map, list items, tables, emphasis, links, anchors and images."""
-    mapping = STYLE_MAP | (style_map or {})
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-        styles = style_names(archive)
-        media = {r.get("Id", ""): r.get("Target", "") for _, r in _elements(archive, "word/_rels/document.xml.rels", 1)}
+# Elements of a paragraph or of a body whose children count as if they stood in their place, and those that hold what was deleted.
+_THROUGH = frozenset(W + name for name in ("ins", "moveTo", "smartTag", "customXml", "sdtContent", "fldSimple"))
+_GONE = frozenset(W + name for name in ("del", "moveFrom"))
 
-        def block(p: ElementTree.Element) -> tuple[str, str]:
-            style = p.find(f"{W}pPr/{W}pStyle")
-            name = styles.get(style.get(f"{W}val", ""), ("", style.get(f"{W}val", "")))[1].lower() if style is not None else ""
-            tag = mapping.get(name, "li" if p.find(f"{W}pPr/{W}numPr") is not None and name not in mapping else "p")
-            return tag, f"<{tag}>{_inline(p, media)}</{tag}>"
 
-        out, in_list = [], False
-        for parent, node in _elements(archive, "word/document.xml", 2):
-            if parent != f"{W}body":
-                continue
-            tag, text = "", ""
+def _children(element: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """Children, those inside content controls and tracked insertions included."""
+    for node in element:
+        if node.tag == f"{W}sdt" or node.tag in _THROUGH:
+            yield from _children(node)
+        elif node.tag not in _GONE:
+            yield node
+
+
+class _Html:
+    """HTML of body elements, one after another; open lists are kept between them."""
+
+    def __init__(self, styles: dict[str, tuple[str, str]], targets: dict[str, str], ordered: set[tuple[int, int]], mapping: dict[str, str]) -> None:
+        self.styles, self.targets, self.ordered, self.mapping = styles, targets, ordered, mapping
+
+    def style(self, p: ElementTree.Element) -> str:
+        style = p.find(f"{W}pPr/{W}pStyle")
+        return self.styles.get(style.get(f"{W}val", ""), ("", style.get(f"{W}val", "")))[1] if style is not None else "Normal"
+
+    def inline(self, p: ElementTree.Element) -> str:
+        out = []
+        for node in _children(p):
+            if node.tag == f"{W}bookmarkStart" and node.get(f"{W}name", "").startswith("__RefHeading"):
+                out.append(f'<a id="{html.escape(node.get(f"{W}name", ""))}"></a>')
+            elif node.tag == f"{W}hyperlink":
+                anchor = node.get(f"{W}anchor")
+                to = self.targets.get(node.get(f"{R}id", ""), "") + (f"#{anchor}" if anchor else "")
+                out.append(f'<a href="{html.escape(to)}">{self.inline(node)}</a>' if to else self.inline(node))
+            elif node.tag == f"{W}r":
+                text = html.escape(_text(node), quote=False)
+                props = node.find(f"{W}rPr")
+                on = lambda e: e is not None and e.get(f"{W}val", "1") not in ("0", "false")
+                if text and props is not None and on(props.find(f"{W}b")):
+                    text = f"<strong>{text}</strong>"
+                if text and props is not None and on(props.find(f"{W}i")):
+                    text = f"<em>{text}</em>"
+                out.append(text)
+                for blip in node.iter(f"{A}blip"):
+                    out.append(f'<img src="{html.escape(self.targets.get(blip.get(f"{R}embed", ""), ""))}"/>')
+        return "".join(out)
+
+    def blocks(self, nodes: Iterator[ElementTree.Element]) -> Iterator[str]:
+        """Markup of paragraphs and tables; list items by their levels, a deeper list inside the item before it. Empty paragraphs are dropped."""
+        lists: list[tuple[str, int]] = []
+
+        def closed(down_to: int) -> str:
+            out = ""
+            while lists and lists[-1][1] > down_to:
+                out += f"</li></{lists.pop()[0]}>"
+            return out
+
+        for node in nodes:
             if node.tag == f"{W}p":
-                tag, text = block(node)
-                if text == f"<{tag}></{tag}>":
+                name = self.style(node).lower()
+                number, level = _numbering(node)
+                inside = self.inline(node)
+                if number is None or number == 0 or name in self.mapping:
+                    tag = self.mapping.get(name, "p")
+                    if inside:
+                        yield closed(-1) + f"<{tag}>{inside}</{tag}>"
+                    continue
+                if not inside:
+                    continue
+                level = max(0, level or 0)
+                kind = "ol" if (number, level) in self.ordered else "ul"
+                before = closed(level)
+                if lists and lists[-1] == (kind, level):
+                    yield f"{before}</li><li>{inside}"
                     continue
+                if lists and lists[-1][1] == level:
+                    before += closed(level - 1)
+                lists.append((kind, level))
+                yield f"{before}<{kind}><li>{inside}"
             elif node.tag == f"{W}tbl":
-                rows = ("<tr>" + "".join("<td>" + "".join(block(p)[1] for p in cell.iter(f"{W}p")) + "</td>" for cell in row.iter(f"{W}tc")) + "</tr>" for row in node.iter(f"{W}tr"))
-                text = "<table>" + "".join(rows) + "</table>"
-            if (tag == "li") != in_list:
-                out.append("<ul>" if tag == "li" else "</ul>")
-                in_list = tag == "li"
-            out.append(text)
-        return "".join(out) + ("</ul>" if in_list else "")
+                rows = (row for row in _children(node) if row.tag == f"{W}tr")
+                cells = lambda row: (c for c in _children(row) if c.tag == f"{W}tc")
+                table = "".join("<tr>" + "".join(f"<td>{''.join(self.blocks(_children(c)))}</td>" for c in cells(row)) + "</tr>" for row in rows)
+                yield f"{closed(-1)}<table>{table}</table>"
+        yield closed(-1)
+
+
+def _ordered(archive: zipfile.ZipFile) -> set[tuple[int, int]]:
+    """(num_id, level) of the lists that are numbered rather than marked."""
+    formats: dict[str, dict[int, str]] = {}
+    out = set()
+    for _, node in _elements(archive, "word/numbering.xml", 1):
+        if node.tag == f"{W}abstractNum":
+            levels = ((_int(x.get(f"{W}ilvl")), x.find(f"{W}numFmt")) for x in node.iter(f"{W}lvl"))
+            formats[node.get(f"{W}abstractNumId", "")] = {level: f.get(f"{W}val", "") for level, f in levels if f is not None}
+        elif node.tag == f"{W}num":
+            of = node.find(f"{W}abstractNumId")
+            for level, kind in formats.get(of.get(f"{W}val", "") if of is not None else "", {}).items():
+                if kind not in ("bullet", "none"):
+                    out.add((_int(node.get(f"{W}numId")), level))
+    return out
+
+
+def _int(value: str | None) -> int:
+    return int(value) if value and value.isdigit() else 0
+
+
+def _document(content: bytes, style_map: dict[str, str] | None, no_html: bool, keep) -> tuple[str, list[tuple]]:
+    """(HTML, rows of the paragraphs that keep(p, style, pos) takes) of a DOCX, its main part being read once."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        styles = style_names(archive)
+        targets = {} if no_html else {r.get("Id", ""): r.get("Target", "") for _, r in _elements(archive, "word/_rels/document.xml.rels", 1)}
+        made = _Html(styles, targets, set() if no_html else _ordered(archive), STYLE_MAP | (style_map or {}))
+        rows: list[tuple] = []
+        pos = 0
+
+        def body() -> Iterator[ElementTree.Element]:
+            nonlocal pos
+            for parent, block in _elements(archive, "word/document.xml", 2):
+                for p in block.iter(f"{W}p"):
+                    style = made.style(p)
+                    if keep(p, style, pos):
+                        rows.append((pos, style, _text(p), *_numbering(p)))
+                    pos += 1
+                if parent == f"{W}body":
+                    if block.tag == f"{W}sdt" or block.tag in _THROUGH:
+                        yield from _children(block)
+                    elif block.tag not in _GONE:
+                        yield block
+
+        if no_html:
+            for _ in body():
+                pass
+            return "", rows
+        return "".join(made.blocks(body())), rows
+
+
+def to_html(content: bytes, style_map: dict[str, str] | None = None) -> str:
+    """HTML of a DOCX: paragraphs by the style map, nested list items, tables in tables, emphasis, links, anchors and images; what was inserted or stands in a content control belongs to it."""
+    return _document(content, style_map, False, lambda p, style, pos: False)[0]
 
 
 def _each(df: DataFrame, schema: str, work) -> DataFrame:
@@ -250,6 +336,24 @@ def pages(df: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
     return _each(df, "path string, html string, error string", work)
 
 
+def documents(df: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
+    """(path, html, contents, error) of DOCX files, each parsed once; contents: array of (pos, style, text) of the paragraphs whose style begins with "toc"."""
+
+    def work(path: str, content: bytes | None) -> list[tuple]:
+        try:
+            page, rows = _document(content or b"", style_map, False, lambda p, style, pos: style.startswith("toc"))
+            return [(path, page, [{"pos": r[0], "style": r[1], "text": r[2]} for r in rows], None)]
+        except Exception as e:  # noqa: BLE001
+            return [(path, None, None, str(e)[:200])]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                yield pd.DataFrame(work(path, content), columns=["path", "html", "contents", "error"])
+
+    return df.select("path", "content").mapInPandas(run, "path string, html string, contents array<struct<pos: int, style: string, text: string>>, error string")
+
+
 def style_map_of(text: str) -> dict[str, str]:
     """A style map from lines like p[style-name='Heading 1'] => h1:fresh; other lines are ignored."""
     found = re.findall(r"p\[style-name=['\"]([^'\"]+)['\"]\]\s*=>\s*(\w+)", text)

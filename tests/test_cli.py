@@ -57,3 +57,22 @@ def test_key_is_needed(spark, documents, monkeypatch):
     monkeypatch.delenv("OPENROUTER_API_KEY", raising=False)
     with pytest.raises(RuntimeError):
         main(["run", str(documents / "in"), "--out", str(documents / "out")], spark)
+
+
+def test_equal_names_keep_all_documents_and_chapters(spark, tmp_path, monkeypatch):
+    for folder, body in (("x", [("Heading 1", "First"), ("Heading 1", "Second")]), ("y", [("Heading 1", "First")]), ("z", [("Normal", "none")])):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "guide.docx").write_bytes(docx_writer.written(body, {"i.png": folder.encode()}))
+    out = tmp_path / "out"
+    assert main(["run", str(tmp_path / "in"), "--out", str(out), "--dry-run"], spark) == 0
+    found = sorted(p.relative_to(out).as_posix() for p in out.rglob("*.html"))
+    assert found == ["x/guide/html/chapter_1.html", "x/guide/html/chapter_2.html", "y/guide/html/chapter_1.html", "z/guide/html/full_document.html"]
+
+    def answer(user):
+        return json.dumps({"manifest": {"chapter_number": 1, "title": "T", "filename": "same.md", "slug": "s"}, "markdown": f"# {'First' if 'First' in user else 'Second'}\n## a"})
+
+    monkeypatch.setattr(Settings, "attempts", 1)
+    assert main(["run", str(tmp_path / "in"), "--out", str(out), "--model", "m"], spark, enrich.offline(answer)) == 0
+    texts = {p.relative_to(out).as_posix(): p.read_text("utf-8").splitlines()[-1] for p in out.rglob("*.md")}
+    assert texts == {"x/guide/same.md": "## 1.1 a", "x/guide/same~2.md": "## 2.1 a", "y/guide/same.md": "## 1.1 a"}
+    assert {p.relative_to(out).as_posix(): p.read_text() for p in out.rglob("i.png")} == {f"{f}/guide/media/i.png": f for f in "xyz"}

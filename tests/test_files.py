@@ -86,6 +86,38 @@ def test_sinks(spark, tmp_path):
     assert [(x["ord"], x["title"], x["to"]) for x in lines] == [(1, "Раз", "/a"), (2, "Два", "/b")]
 
 
+def test_names_stay_apart(spark, tmp_path):
+    long = "Ж" * 200
+    names = [f"{long}a.md", f"{long}b.md", "a:b.md", "a_b.md", "plain.md", "a~b.md"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    safe = [r[0] for r in df.select(sinks.safe_name(F.col("n"))).collect()]
+    assert len(set(safe[:2])) == 2 and all(len(n.encode()) <= 255 and n.endswith(".md") for n in safe)
+    own = [r[0] for r in df.select(sinks.own_name(F.col("n"))).collect()]
+    assert len(set(own)) == len(names) and own[3:5] == names[3:5]
+    again = sinks.distinct_names(spark.createDataFrame([("g", "A.md", 1), ("g", "a.md", 2), ("g", "b", 3), ("g", "b", 4), ("h", "a.md", 5)], "g string, n string, i int"), ["g"], "n", ["i"])
+    assert {r.i: r.n for r in again.collect()} == {1: "A.md", 2: "a~2.md", 3: "b", 4: "b~2", 5: "a.md"}
+    paths = spark.createDataFrame([("file:/in/x/a.b.docx",), ("file:///in/c.docx",), ("s3a://in/d/e.docx",)], "p string")
+    assert [r[0] for r in paths.select(sinks.document_folder(F.col("p"), "/in")).collect()] == ["x/a.b", "c", "in/d/e"]
+    sinks.write_files(df.filter("n = 'plain.md'"), f"file://{tmp_path}/o", "n", "n").count()
+    assert (tmp_path / "o" / "plain.md").read_text("utf-8") == "plain.md"
+
+
+def test_docx_content(spark):
+    P = docx_writer.Paragraph
+    body = [P("Heading 1", "T"), P("Normal", "one", 5), P("Normal", "two", 5, 1), P("Normal", "three", 6, 1), P("Normal", "four", 5), P("Normal", "out", link="http://x/?a&b"), P("Normal", "in", inserted=True), P("Normal", "kept", control=True), P("Normal", "cell", nested=True)]
+    raw = docx_writer.written(body, ordered=(6,))
+    want = (
+        "<h1>T</h1><ul><li>one<ul><li>two</li></ul><ol><li>three</li></ol></li><li>four</li></ul>"
+        '<p><a href="http://x/?a&amp;b">out</a></p><p>in</p><p>kept</p><table><tr><td><table><tr><td><p>cell</p></td></tr></table></td></tr></table>'
+    )
+    assert docx.to_html(raw) == want
+    assert [r[2] for r in docx.parsed(raw)] == [p.text for p in body] and [r[3:] for r in docx.parsed(raw)][1:5] == [(5, 0), (5, 1), (6, 1), (5, 0)]
+    both = docx.documents(spark.createDataFrame([("a", bytearray(docx_writer.written([("toc 1", "1 One\t2"), *body]))), ("b", bytearray(b"x")), ("c", None)], "path string, content binary"))
+    rows = {r.path: r for r in both.collect()}
+    assert rows["a"].html == "<p>1 One\t2</p>" + docx.to_html(docx_writer.written(body)) and [tuple(c) for c in rows["a"].contents] == [(0, "toc 1", "1 One\t2")]
+    assert rows["b"].html is None and rows["b"].error and rows["c"].error
+
+
 def test_whole_way(spark, folder):
     chapters = pipeline.document_chapters(docx.files(spark, str(folder / "in"))).orderBy("chapter_no").collect()
     assert [(c.chapter_no, c.html) for c in chapters] == [(1, "<h1>1 Первая</h1><ul><li>Text &lt;one&gt;</li></ul>"), (2, "<h1>2 Вторая</h1><p>More</p>")]
@@ -100,7 +132,7 @@ def test_whole_way(spark, folder):
     result = pipeline.converted(docx.files(spark, str(folder / "in")), Settings(model="m", api_key="k"), "R", "E", enrich.offline(model))
     rows = result.markdown.orderBy("chapter_no").collect()
     assert [r.filename for r in rows] == ["1.t.md", "2.t.md"]
-    assert "## 1.1 a" in rows[0].markdown and "/images/developer/administrator/s/p.png" in rows[0].markdown and "readNext:\n  to: '/2.t'\n  label: 'T2'" in rows[0].markdown
+    assert "## 1.1 a" in rows[0].markdown and "/images/developer/administrator/a/p.png" in rows[0].markdown and "readNext:\n  to: '/2.t'\n  label: 'T2'" in rows[0].markdown
     assert "readPrev" not in rows[0].markdown and "readNext" not in rows[1].markdown
     assert result.warnings.count() == 2 and result.rejected.count() == 0
 
