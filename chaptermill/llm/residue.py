@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.slugs import transliterated
 from .arrowtext import sliced
 
 #: Share of a value's letters and digits that has to be matched.
@@ -86,6 +85,12 @@ _NAMED = re.compile(r"[^\W\d_]{2}")
 _ABOUT = re.compile(
     r"templat|variab|placeholder|param|argument|value|syntax|macro|marker|шаблон|переменн|параметр|значен|синтакс|макрос|маркер|змінн|vorlage|platzhalter|plantilla|marcador|variáve|modelo|valor|wert", re.I
 )
+# Latin spellings of Cyrillic letters in slugs; the second and third are used where they differ from the first.
+SPELLINGS = (
+    dict(zip("абвгдезийклмнопрстуфхцыэіґ", "abvgdezijklmnoprstufhcyeig", strict=True)) | {"ё": "e", "ж": "zh", "ч": "ch", "ш": "sh", "щ": "sch", "ъ": "", "ь": "", "ю": "yu", "я": "ya", "ї": "yi", "є": "ye"},
+    {"й": "i", "х": "kh", "ц": "ts", "щ": "shch", "ю": "iu", "я": "ia", "ї": "i", "є": "ie"},
+    {"й": "y", "х": "kh", "ц": "ts", "щ": "shch"},
+)
 _NUMBERING = re.compile(r"\s*(?:#{1,6}\s+)?(?:\d+(?:\.\d+)*[.)]\s*)?")
 _FILE_NUMBER = re.compile(r"([^.\s]+|\{\{[^{}]*\}\}|\$\{[^{}]*\})\.(?=.*\.\w+$)")
 _FILE_END = re.compile(r"\.(?:md|markdown|html?|txt|ext|docx?)$", re.I)
@@ -93,6 +98,12 @@ _MISSING_NUMBER = re.compile(r"(?:nan|undefined|null|none|n|nn|x+)$", re.I)
 _WORDS = re.compile(r"[\W_]+")
 
 
+def spellings(text: str) -> set[str]:
+    """A text in lower case as slugs may spell it in Latin letters."""
+    lower = unicodedata.normalize("NFC", text.lower())
+    return {"".join((SPELLINGS[0] | other).get(c, c) for c in lower) for other in ({}, *SPELLINGS[1:])}
+
+
 def _plain(value: str) -> str:
     """Lower case words without accents, one space between."""
     flat = unicodedata.normalize("NFKD", value.casefold())
@@ -105,7 +116,7 @@ def _automaton() -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
     for kind, block in PHRASES.items():
         for phrase in (p.strip() for line in block.strip().splitlines() for p in line.split("|")):
-            for form in {_plain(phrase), *(_plain(transliterated(phrase, lang)) for lang in ("ru", "uk"))}:
+            for form in {_plain(phrase), *map(_plain, spellings(phrase))}:
                 if form:
                     automaton.add_word(f" {form} ", (kind, len(form)))
     automaton.make_automaton()
