@@ -124,17 +124,17 @@ def payload(sent: Column, model: str, provider: str) -> Column:
     )
 
 
-def example_sample(df: DataFrame, path: str, k: int = 2, seed: int = 42, group: str | None = None) -> DataFrame:
+def example_sample(df: DataFrame, path: str, k: int = 2, seed: int = 42, group: str | None = None, ties: list[str] | None = None) -> DataFrame:
     """k rows (of each group) chosen by a hash of path and seed: the same ones whatever the order or number of tasks.
 
-    Without a group the k rows are a top-k; with groups each task keeps its own k of each before the shuffle.
+    Without a group the k rows are a top-k; with groups each task keeps its own k of each before the shuffle. ties: columns that tell rows of one path apart.
     """
     from pyspark.sql import Window
 
     chance = F.md5(F.concat(F.col(path), F.lit(f"#{seed}")))
     if group is None:
-        return df.withColumn("__c", chance).orderBy("__c", path).limit(k).drop("__c")
-    place = F.row_number().over(Window.partitionBy(group).orderBy("__c", path))
+        return df.withColumn("__c", chance).orderBy("__c", path, *(ties or [])).limit(k).drop("__c")
+    place = F.row_number().over(Window.partitionBy(group).orderBy("__c", path, *(ties or [])))
     return df.withColumn("__c", chance).withColumn("__n", place).filter(F.col("__n") <= k).drop("__c", "__n")
 
 

@@ -102,6 +102,18 @@ def numbered_russian(text: Column) -> Column:
     return text.rlike(rf"\A\d+(?:\.\d+)*[{T.SPACE}]+[А-Я]")
 
 
+def numbered(text: Column) -> Column:
+    """Whether a text begins with a dotted number and a word of any alphabet."""
+    return text.rlike(rf"(?U)\A\d+(?:\.\d+)*[{T.SPACE}]+\w")
+
+
+def first_in_order(df: DataFrame, group: str, order: list[str], n: int, place: str) -> DataFrame:
+    """The first n rows of each group in an order, with their places from 1; each task keeps its own n before the shuffle."""
+    from pyspark.sql import Window
+
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(place) <= n)
+
+
 def first_rows(df: DataFrame, group: str, pos: str, n: int) -> DataFrame:
     """The first n rows of each group by place; each task keeps its own n before the shuffle. To break after the row that exceeds m, ask for m + 1."""
     from pyspark.sql import Window

@@ -42,11 +42,27 @@ def best_matches(items: DataFrame, text: str, titles: DataFrame, title: str, tit
     return best.select(F.col("l").alias(text), (-F.col("m.back")).alias(title_id), F.col("m.score").alias("score"))
 
 
+def numbers_of_texts(texts: DataFrame, toc: DataFrame, group: str, text: str, above: float = 0.5) -> DataFrame:
+    """(group, text, number, score) of each distinct text of a group (a document) found in the group's own contents.
+
+    toc: the result of numbering_map(). An equal title (score 2) beats those that share more than `above` of their
+    words; of equals the one that stands first counts. Texts without a match, null texts and null groups are absent.
+    """
+    left = texts.select(F.col(group).alias("g"), F.col(text).alias("l")).filter("g is not null and l is not null").distinct().withColumn("lw", T.word_set(F.col("l")))
+    right = toc.select(F.col(group).alias("g"), F.col("title").alias("t"), "number", F.col("first_pos").alias("p")).withColumn("rw", T.word_set(F.col("t")))
+    a, b = (df.withColumn("w", F.explode(word_prefix(F.col(words), above))) for df, words in ((left, "lw"), (right, "rw")))
+    alike = a.join(b, ["g", "w"]).select("g", "l", "number", "p", T.jaccard(F.col("lw"), F.col("rw")).alias("score")).filter(F.col("score") > above)
+    same = left.join(right.drop("rw"), (left["g"] == right["g"]) & (F.col("l") == F.col("t"))).select(left["g"], "l", "number", "p", F.lit(2.0).alias("score"))
+    best = alike.unionByName(same).groupBy("g", "l").agg(F.max(F.struct("score", (-F.col("p")).alias("back"), "number")).alias("m"))
+    return best.select(F.col("g").alias(group), F.col("l").alias(text), F.col("m.number").alias("number"), F.col("m.score").alias("score"))
+
+
 def exact_numbers(headings: DataFrame, toc: DataFrame, on: list[str], number: str = "number") -> DataFrame:
     """headings with the number of the contents row of equal keys, or null."""
     return headings.join(toc.select(*on, F.col(number).alias("toc_number")), on, "left")
 
 
+# Fixed value:
 #: An anchor and the words right after it that look like a heading, up to a sign, an acronym, a tag, two spaces or the end.
 ANCHORED = r'<a id="__RefHeading___\d+"></a>([А-ЯЁA-Z][а-яёa-z\s]+?)(?=Программный|[.!?]|[А-ЯЁA-Z]{3,}|<|\s{2,}|\z)'
 

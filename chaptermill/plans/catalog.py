@@ -35,11 +35,24 @@ _RSTRIP = rf"regexp_replace(%s, '[{_SPACE}]+$', '')"
 _WORDS = rf"list_filter(string_split_regex(%s, '[{_SPACE}]+'), lambda x: x <> '')"
 _CHAPTER = r"coalesce(try_cast(regexp_extract(path, '/(\d+)\.[^/]*$', 1) as int), 1)"
 _STEM = r"regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '')"
-_LINES = rf"""lines as (
+
+
+def _lines_of(text: str) -> str:
+    return rf"""lines as (
     select doc_id, source, path, i - 1 as line_no, a[i] as line, a[i + 1] as following from (
-        select doc_id, source, path, case when text = '' then [] else string_split_regex(regexp_replace(text, '(?:{_END})$', ''), '{_END}') end as a from documents where text is not null
+        select doc_id, source, path, case when text = '' then [] else string_split_regex(regexp_replace(text, '(?:{_END})$', ''), '{_END}') end as a from (select doc_id, source, path, {text} as text from documents where text is not null)
     ), unnest(range(1, len(a) + 1)) as t(i)
 )"""
+
+
+_LINES = _lines_of("text")
+#: Lines put after a text, by its length, so that every validator finds something: bad captions, annotations left open or ended before they start, headings and pictures that occur again.
+_TAILS = (
+    "> Таблица X – a\n::AppAnnotation b\n::\n# Again\n# Again\n> Рисунок 3 – a\n> Рисунок 3 – b",
+    "> Таблица 5 - a\n> Таблица 5 – a\n::AppAnnotation ::AppAnnotation\n::\n> Figure 9 – a\n> Figure 9 – a",
+    "::\n::AppAnnotation\n## Again\n## Again\n> Таблица 1 – ",
+)
+_MADE = "text || chr(10) || case length(text) % 3 " + " ".join(f"when {i} then '{tail.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}'" for i, tail in enumerate(_TAILS)) + " end"
 _NUMBERS = rf"""{_LINES}, heads as (
     select doc_id, path, line_no, case when regexp_matches(line, '^## .') then 2 when regexp_matches(line, '^### .') then 3 when regexp_matches(line, '^#### .') then 4 end as level
     from lines where regexp_matches(line, '^#{{2,4}} .')
@@ -71,6 +84,9 @@ _WARNED = rf"""{_LINES}, captions as (
 )"""
 
 
+_MADE_WARNED = _WARNED.replace(_LINES, _lines_of(_MADE))
+
+
 def _query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
@@ -90,6 +106,12 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").withColumn("chapter", F.coalesce(F.when(number != "", number.cast("int")), F.lit(1)))
 
 
+def _made(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, with lines at their ends that break rules."""
+    tail = F.get(F.array(*(F.lit(f"\n{t}") for t in _TAILS)), F.length("text") % len(_TAILS))
+    return _documents(spark, d).filter("text is not null").withColumn("text", F.concat("text", tail))
+
+
 def _headings(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "heading_structure").select("heading_id", "docx_id", "pos", "style", "level", "number", "title").distinct()
 
@@ -152,31 +174,31 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
 # Validators and rules.
 
 
-@_query(f"with {_WARNED} select doc_id, row_number() over (partition by doc_id order by line_no) - 1 as ord, message from captions")
+@_query(f"with {_MADE_WARNED} select doc_id, row_number() over (partition by doc_id order by line_no) - 1 as ord, message from captions")
 def caption_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(_table(spark, d, "documents"), "doc_id", M.caption_warnings(F.col("text"))).withColumn("ord", F.col("ord").cast("long"))
+    return _exploded(_made(spark, d), "doc_id", M.caption_warnings(F.col("text"))).withColumn("ord", F.col("ord").cast("long"))
 
 
-@_query(f"with {_WARNED} select doc_id, row_number() over (partition by doc_id order by line_no) - 1 as ord, message from lists")
+@_query(f"with {_MADE_WARNED} select doc_id, row_number() over (partition by doc_id order by line_no) - 1 as ord, message from lists")
 def list_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(_table(spark, d, "documents"), "doc_id", M.list_warnings(F.col("text"))).withColumn("ord", F.col("ord").cast("long"))
+    return _exploded(_made(spark, d), "doc_id", M.list_warnings(F.col("text"))).withColumn("ord", F.col("ord").cast("long"))
 
 
-@_query(f"with {_WARNED} select doc_id, message from annotations")
+@_query(f"with {_MADE_WARNED} select doc_id, message from annotations")
 def annotation_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(_table(spark, d, "documents"), "doc_id", M.annotation_warnings(F.col("text"))).drop("ord")
+    return _exploded(_made(spark, d), "doc_id", M.annotation_warnings(F.col("text"))).drop("ord")
 
 
-@_query(f"with {_WARNED}, everything as (select * from annotations union all select * from captions union all select * from lists) select doc_id, row_number() over (partition by doc_id order by kind, line_no) - 1 as ord, message from everything")
+@_query(f"with {_MADE_WARNED}, everything as (select * from annotations union all select * from captions union all select * from lists) select doc_id, row_number() over (partition by doc_id order by kind, line_no) - 1 as ord, message from everything")
 def all_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(_table(spark, d, "documents"), "doc_id", M.warnings(F.col("text"))).withColumn("ord", F.col("ord").cast("long"))
+    return _exploded(_made(spark, d), "doc_id", M.warnings(F.col("text"))).withColumn("ord", F.col("ord").cast("long"))
 
 
-@_query(f"with {_WARNED}, everything as (select * from annotations union all select * from captions union all select * from lists) select l.source, e.kind, count(*) as n from everything e join (select distinct doc_id, source from documents) l using (doc_id) group by 1, 2")
+@_query(f"with {_MADE_WARNED}, everything as (select * from annotations union all select * from captions union all select * from lists) select l.source, e.kind, count(*) as n from everything e join (select distinct doc_id, source from documents) l using (doc_id) group by 1, 2")
 def warnings_by_source(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     sizes = F.map_from_arrays(F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.size(M.annotation_warnings(text)), F.size(M.caption_warnings(text)), F.size(M.list_warnings(text))))
-    df = _table(spark, d, "documents").filter("text is not null").select("source", F.explode(sizes).alias("kind", "n")).filter("n > 0")
+    df = _made(spark, d).select("source", F.explode(sizes).alias("kind", "n")).filter("n > 0")
     return df.groupBy("source", "kind").agg(F.sum("n").alias("n"))
 
 
@@ -186,10 +208,10 @@ def h1_rule(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(titles).cast("long").alias("n"), F.get(titles, F.lit(0)).alias("title"))
 
 
-@_query(f"with {_LINES} select doc_id, line, count(*) as n from lines where regexp_matches(line, '^#{{1,6}} .') group by all having count(*) > 1")
+@_query(f"with {_lines_of(_MADE)} select doc_id, line, count(*) as n from lines where regexp_matches(line, '^#{{1,6}} .') group by all having count(*) > 1")
 def repeated_headings(spark: SparkSession, d: str) -> DataFrame:
     lines = T.lines(F.col("text"))
-    df = _table(spark, d, "documents").select("doc_id", lines.alias("a"), F.explode(M.repeated_headings(F.col("text"))).alias("line"))
+    df = _made(spark, d).select("doc_id", lines.alias("a"), F.explode(M.repeated_headings(F.col("text"))).alias("line"))
     return df.select("doc_id", "line", F.size(F.filter("a", lambda x: x == F.col("line"))).cast("long").alias("n"))
 
 
@@ -201,17 +223,23 @@ def unrepeated_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(M.without_repeated_paragraphs(F.col("text"))).alias("hash"))
 
 
+_BAD_CAPTIONS = r"regexp_replace(text, '\n+> ([^\n ]+ \d+) – ', chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || '> \1 ' || case when length(text) % 2 = 0 then '–' else '-' end || ' ', 'g')"
+
+
 @_query(
-    rf"""with {_LINES}, a as (select doc_id, list(line order by line_no) as a from lines group by doc_id), t as (select doc_id, line_no from lines where starts_with(line, '|') and not coalesce(starts_with(following, '|'), false))
-    select doc_id, line_no from t join a using (doc_id) where not coalesce(regexp_matches(list_filter(a[line_no + 2:line_no + 4], lambda x: {_STRIP % 'x'} <> '')[1], '^> [0-9A-Za-z_]+ \d+ – |^> \p{{L}}+ \d+ – '), false)"""
+    rf"""with {_lines_of(_BAD_CAPTIONS)}, a as (select doc_id, list(line order by line_no) as a from lines group by doc_id), t as (select doc_id, line_no from lines where starts_with(line, '|') and not coalesce(starts_with(following, '|'), false))
+    select doc_id, line_no from t join a using (doc_id) where not coalesce(regexp_matches(list_filter(a[line_no + 2:], lambda x: {_STRIP % 'x'} <> '')[1], '^> [0-9A-Za-z_]+ \d+ – |^> \p{{L}}+ \d+ – '), false)"""
 )
 def uncaptioned_tables(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", F.explode(M.tables_without_caption(F.col("text"))).alias("line_no")).withColumn("line_no", F.col("line_no").cast("long"))
+    """Documents whose captions were moved further off, and in every second one spoilt."""
+    dash = F.when(F.length("text") % 2 == 0, "–").otherwise("-")
+    spoilt = F.regexp_replace(F.col("text"), F.lit(r"\n+> ([^\n ]+ \d+) – "), F.concat(F.lit("\n\n\n\n\n> $1 "), dash, F.lit(" ")))
+    return _table(spark, d, "documents").withColumn("text", spoilt).select("doc_id", F.explode(M.tables_without_caption(F.col("text"))).alias("line_no")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@_query(r"with n as (select doc_id, unnest(regexp_extract_all(text, '(?m)^> (?:Рисунок|Figure|Abbildung|Figura|Imagem) (\d+) –', 1)) as number from documents) select doc_id, number from n group by all having count(*) > 1")
+@_query(rf"with n as (select doc_id, unnest(regexp_extract_all({_MADE}, '(?m)^> (?:Рисунок|Figure|Abbildung|Figura|Imagem) (\d+) –', 1)) as number from documents) select doc_id, number from n group by all having count(*) > 1")
 def repeated_pictures(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", F.explode(M.picture_numbers_repeated(F.col("text"))).alias("number"))
+    return _made(spark, d).select("doc_id", F.explode(M.picture_numbers_repeated(F.col("text"))).alias("number"))
 
 
 # Order of files.
@@ -240,10 +268,7 @@ def toc_entries(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(r"with s as (select source, path, doc_id, row_number() over (partition by source order by md5(path || '#42'), path, doc_id) as n from documents) select source, path, doc_id from s where n <= 2")
 def sample_per_source(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.concat("path", F.lit("#42"))), "path", "doc_id"))
-    return _table(spark, d, "documents").select("source", "path", "doc_id").withColumn("n", place).filter("n <= 2").drop("n")
+    return A.example_sample(_table(spark, d, "documents").select("source", "path", "doc_id"), "path", 2, group="source", ties=["doc_id"])
 
 
 # Tables of contents.
@@ -350,14 +375,14 @@ def first_hits(spark: SparkSession, d: str) -> DataFrame:
     return J.first_hits(J.text_hits(_table(spark, d, "documents"), "doc_id", "text", list(_TERMS)), 5, "doc_id").select("term", "doc_id")
 
 
-def _slug_sql() -> str:
-    spelled = "lower(title)"
-    for letter, latin in slugs.RUSSIAN.items():
-        spelled = f"replace({spelled}, '{letter}', '{latin}')"
-    return f"regexp_replace(regexp_replace(strip_accents({spelled}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+# The letters once more, in the order of the alphabet, so that the SQL stands on its own.
+_LETTERS = "а=a б=b в=v г=g д=d е=e ё=e ж=zh з=z и=i й=i к=k л=l м=m н=n о=o п=p р=r с=s т=t у=u ф=f х=kh ц=ts ч=ch ш=sh щ=shch ъ= ы=y ь= э=e ю=iu я=ia є=ie і=i ї=i ґ=g ß=ss"
+_SLUG_SQL = f"""with l as (select map_from_entries(list_transform(string_split('{_LETTERS}', ' '), lambda x: {{'k': string_split(x, '=')[1], 'v': string_split(x, '=')[2]}})) as m),
+t as (select title_id, array_to_string(list_transform(string_split(lower(title), ''), lambda c: coalesce(m[c], c)), '') as t from toc_titles, l)
+select title_id, regexp_replace(regexp_replace(strip_accents(t), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug from t"""
 
 
-@_query(f"select title_id, {_slug_sql()} as slug from toc_titles")
+@_query(_SLUG_SQL)
 def title_slugs(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "toc_titles").select("title_id", slugs.slugify(F.col("title")).alias("slug"))
 
@@ -371,17 +396,33 @@ def _bare(c):
     return F.regexp_replace(c, r"\s+", "")
 
 
-@_query(rf"with c as (select distinct chapter_id, regexp_extract(chapter_html, '(?is)<h1.*$') as html from chapter where regexp_matches(chapter_html, '(?i)<h1')) select chapter_id, 1 as chapter_no, md5({_BARE % 'html'}) as hash from c")
+_MORE = "<section><h1>In</h1><p>x</p></section><h1>Last</h1>"
+_PARTS = f"""p as (select distinct chapter_id, regexp_extract(chapter_html, '(?is)<h1.*$') as own from chapter where chapter_html is not null),
+parts as (select chapter_id, 1 as n, own || '<section><h1>In</h1><p>x</p></section>' as html from p where own <> '' union all select chapter_id, (own <> '')::int + 1, '<h1>In</h1><p>x</p>' from p union all select chapter_id, (own <> '')::int + 2, '<h1>Last</h1>' from p)"""
+
+
+@_query(f"with {_PARTS} select chapter_id, n as chapter_no, md5({_BARE % 'html'}) as hash from parts")
 def h1_split(spark: SparkSession, d: str) -> DataFrame:
-    found = P.chapters(_chapters(spark, d), "chapter_id", "chapter_html")
+    """Every page with two more h1 after it, one of them inside a section."""
+    df = _chapters(spark, d).withColumn("chapter_html", F.concat("chapter_html", F.lit(_MORE)))
+    found = P.chapters(df, "chapter_id", "chapter_html")
     return found.select("chapter_id", "chapter_no", F.md5(_bare("html")).alias("hash")).distinct()
 
 
-@_query(rf"with c as (select distinct chapter_id, chapter_html from chapter where chapter_html is not null and trim({_BARE % 'chapter_html'}) <> '') select chapter_id, md5({_BARE % ('chr(60) || ' + chr(39) + 'html><body>' + chr(39) + ' || chapter_html || ' + chr(39) + '</body></html>' + chr(39))}) as hash from c")
+@_query(f"with {_PARTS} select chapter_id, n + 2 as chapter_no, md5({_BARE % 'html'}) as hash from parts where n = 2")
+def fourth_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The fourth chapter alone, of every page with two h1 before and two after it."""
+    df = _chapters(spark, d).withColumn("chapter_html", F.concat(F.lit("<h1>1</h1><h1>2</h1>"), "chapter_html", F.lit(_MORE)))
+    found = P.chapters(df.withColumn("chapter_html", F.regexp_replace("chapter_html", r"(?is)\A<h1>1</h1><h1>2</h1>.*?(?=<h1\b)", "<h1>1</h1><h1>2</h1>")), "chapter_id", "chapter_html", only=4)
+    return found.select("chapter_id", "chapter_no", F.md5(_bare("html")).alias("hash")).distinct()
+
+
+@_query(rf"with c as (select distinct chapter_id, chapter_html from chapter where chapter_html is not null) select chapter_id, md5({_BARE % ('chr(60) || ' + chr(39) + 'html><body>' + chr(39) + ' || chapter_html || ' + chr(39) + '</body></html>' + chr(39))}) as hash from c")
 def contents_removed(spark: SparkSession, d: str) -> DataFrame:
-    """A table of contents put before every page and removed again."""
+    """A table of contents put before every page and entries that link put after it, all removed again."""
     toc = '<p>СОДЕРЖАНИЕ <a href="#__RefHeading___1">1 Раз</a></p><p><a href="#__RefHeading___2">2 Два</a> 7</p>'
-    df = _chapters(spark, d).filter(_bare("chapter_html") != "").select("chapter_id", F.concat(F.lit(toc), "chapter_html").alias("chapter_html"))
+    more = '<p>a <a href="#__RefHeading___3">b</a>, <a href="#__RefHeading___4">c</a></p><p>1.2 <a href="#__RefHeading___5">Три</a> 9</p>'
+    df = _chapters(spark, d).select("chapter_id", F.concat(F.lit(toc), "chapter_html", F.lit(more)).alias("chapter_html"))
     return P.without_contents(df, "chapter_id", "chapter_html").select("chapter_id", F.md5(_bare("chapter_html")).alias("hash")).distinct()
 
 
@@ -584,11 +625,11 @@ def offline_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    rf"""with {_H} select heading_id, case when regexp_full_match(title, '[А-ЯЁA-Z][а-яёa-z \t\n\r\f\x{{b}}]+') then '<h' || level || '>' || number || ' ' || title || '</h' || level || '>.' else '<a id="__RefHeading___1"></a>' || title || '.' end as html
-    from h where title is not null and not contains(title, '  ')"""
+    rf"""with {_H} select heading_id, case when regexp_full_match(title, '[А-ЯЁA-Z][а-яёa-z \t\n\r\f\x{{b}}]+') and not regexp_matches(title, '[ \t\n\r\f\x{{b}}]{{2}}') then '<h' || level || '>' || number || ' ' || title || '</h' || level || '>.' else '<a id="__RefHeading___1"></a>' || title || '.' end as html
+    from h where title is not null"""
 )
 def anchor_lookup(spark: SparkSession, d: str) -> DataFrame:
-    df = _headings(spark, d).filter(F.col("title").isNotNull() & ~F.col("title").contains("  "))
+    df = _headings(spark, d).filter(F.col("title").isNotNull())
     page = F.concat(F.lit('<a id="__RefHeading___1"></a>'), "title", F.lit("."))
     toc = F.array(F.struct("level", "number", "title"))
     return df.select("heading_id", J.headings_from_anchors(page, toc).alias("html"))
@@ -618,8 +659,11 @@ def annotation_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_files, catalog_rules  # noqa: F401  each registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -100,10 +100,9 @@ def test_text_functions(spark):
 
 
 def test_slugs(spark):
-    titles = ["Настройка хранилища S3", "Prüfung der Netzregeln", "Защита  учётных записей!", "", None]
-    want = ["nastrojka-hranilischa-s3", "prufung-der-netzregeln", "zaschita-uchetnyh-zapisej", "", None]
+    titles = ["Общие сведения", "Щит и Ёлка — №5", "Crème Brûlée", "Підключення", "1,000 x", "  ", "Straße", None]
+    want = ["obshchie-svedeniia", "shchit-i-elka-5", "creme-brulee", "pidkliuchennia", "1000-x", "", "strasse", None]
     assert values(spark, titles, slugs.slugify) == want
-    assert [slugs.slugified(t) for t in titles[:4]] == want[:4]
 
 
 def test_captions_after_many_blank_lines(spark):
