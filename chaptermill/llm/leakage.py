@@ -1,12 +1,18 @@
 """Evaluation items leaking into a corpus: BM25 retrieval with block-max WAND, then exact verification.
 
-The test items are indexed in an inverted index whose postings hold BM25 weights in blocks
-with their maxima. Every passage of every corpus text is a query: a passage is a run of
-words that are all in the index (a word of no item ends any common stretch), cut into
-windows that overlap by one word less than the length looked for. Weights are divided by
-what the weakest stretch of that length in the item scores, so every item that shares such
-a stretch with a passage scores at least 1 and is retrieved; nothing is lost to the
-threshold. What is retrieved is verified word by word.
+The test items are indexed in an inverted index with BM25 weights; its terms are words with
+the two that follow them. Every passage of every corpus text is a query: each run of as many
+words as a leak has. The threshold of a passage is what an item scores that holds each of
+its terms once, so every item that shares the passage reaches it and nothing is lost to the
+threshold.
+
+Postings are in blocks of items with the maximum that a term can add in each. A bound counts
+a term at one occurrence at most, for that is all the threshold asks; a block's maximum is
+then 0 or the term's whole share, which is one bit, and a block can reach the threshold only
+if it has the bits of all terms of the passage. So bounds are combined by AND over all
+passages of a batch at once. In blocks that are left the postings of the passage's rarest
+term are candidates; the other terms are looked up from rare to common, and a candidate
+whose bound falls below the threshold goes at once. What reaches it is verified word by word.
 
 A word is an unbroken run of letters or digits, compared without case. Null and empty
 texts and texts without such a stretch give no row; items of fewer words than the stretch
@@ -15,11 +21,9 @@ can't leak; repeated rows give one row.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -30,11 +34,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrowtext import sliced
 
-#: Words in a row that make a leak; words of a passage at most; postings in a block.
-STRETCH, PASSAGE, BLOCK = 12, 64, 16
+#: Words in a row that make a leak.
+STRETCH = 12
 K1, B = 1.2, 0.75
-#: Items of one index at most; more items are indexed in several parts, each a pass over the corpus.
-ITEMS_AT_ONCE = 20_000
+#: Words of a term, and of a part of an item (parts of one item overlap by one word less than the stretch).
+TERM, PART = 3, 64
+#: Parts of items in a block at least, and bytes of the bits of all blocks at most.
+BLOCK, BLOCK_BYTES = 16, 32 << 20
+#: Characters of items in one index, which then takes about 200 MB at most; more items are more indexes, each a pass over the corpus.
+CHARS_AT_ONCE = 40_000_000
+#: Bytes of block bits and pairs of passage and block that one step works on.
+STEP_BYTES, STEP_PAIRS = 32 << 20, 1 << 18
 
 _WORD = re.compile(r"[^\W_]+")
 _WORD_OR_END = re.compile(r"[^\W_]+|\0")
@@ -42,158 +52,176 @@ _WORD_OR_END = re.compile(r"[^\W_]+|\0")
 
 @dataclass
 class Index:
-    """Postings by term: item numbers in order, BM25 weights over the item's own threshold, and the maximum of each block."""
-
     ids: list
-    terms: dict[str, int]
-    items: list[np.ndarray]
     stretch: int
-    postings: list[tuple[list[int], list[float], list[float], float]] = field(default_factory=list)
-    stretches: list[set[bytes]] = field(default_factory=list)
+    words: dict[str, int]
+    grams: list[np.ndarray]  # for each further word of a term: keys (number of the term so far * number of words + word), in order
+    item: np.ndarray  # number of the item of each part
+    flat: np.ndarray  # the words of all parts
+    bounds: np.ndarray  # where each part begins in flat
+    keys: np.ndarray  # postings: term * number of parts + part, in order
+    weights: np.ndarray  # BM25 weight of each posting
+    once: np.ndarray  # BM25 weight of one occurrence in each part, over the idf
+    idf: np.ndarray
+    holders: np.ndarray  # parts that hold each term
+    block: int  # parts in a block
+    bits: np.ndarray  # blocks that hold each term
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None], stretch: int = STRETCH) -> Index:
-        words = [_WORD.findall((t or "").casefold()) for t in texts]
-        kept = [(i, w) for i, w in zip(ids, words, strict=True) if len(w) >= stretch]
-        terms: dict[str, int] = {}
-        items = [np.array([terms.setdefault(w, len(terms)) for w in ws], np.int32) for _, ws in kept]
-        index = cls([i for i, _ in kept], terms, items, stretch)
-        n, mean = len(items), max(1.0, float(np.mean([len(x) for x in items])) if items else 1.0)
-        holders = Counter(t for x in items for t in set(x.tolist()))
-        by_term: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for number, item in enumerate(items):
-            counts = Counter(item.tolist())
-            weight = {
-                t: math.log(1 + (n - holders[t] + 0.5) / (holders[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(item) / mean))
-                for t, c in counts.items()
-            }
-            listed = item.tolist()
-            least = min(sum(weight[t] for t in set(listed[k : k + stretch])) for k in range(len(listed) - stretch + 1))
-            for t, w in weight.items():
-                by_term[t].append((number, w / least * (1 + 1e-9)))
-            index.stretches.append({item[k : k + stretch].tobytes() for k in range(len(item) - stretch + 1)})
-        for t in range(len(terms)):
-            numbers, weights = [x for x, _ in by_term[t]], [w for _, w in by_term[t]]
-            tops = [max(weights[k : k + BLOCK]) for k in range(0, len(weights), BLOCK)]
-            index.postings.append((numbers, weights, tops, max(weights)))
-        return index
-
-    def retrieve(self, query: set[int], threshold: float = 1.0) -> list[int]:
-        """Numbers of all items that score at least threshold for the query terms, by block-max WAND."""
-        cursors = [[0, *self.postings[t]] for t in query]  # place, numbers, weights, tops of blocks, top
-        found = []
-        while cursors:
-            cursors.sort(key=lambda c: c[1][c[0]])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[4]
-                if bound >= threshold:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            target = cursors[pivot][1][cursors[pivot][0]]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == target:
-                pivot += 1
-            block_bound, leave = 0.0, None
-            for c in cursors[: pivot + 1]:
-                place = _seek(c[1], c[0], target)
-                if place < len(c[1]):
-                    block = place // BLOCK
-                    block_bound += c[3][block]
-                    last = c[1][min(len(c[1]), (block + 1) * BLOCK) - 1]
-                    leave = last if leave is None else min(leave, last)
-            if block_bound < threshold:  # no item up to the nearest end of these blocks can reach it
-                following = (leave if leave is not None else target) + 1
-                if pivot + 1 < len(cursors):
-                    following = min(following, cursors[pivot + 1][1][cursors[pivot + 1][0]])
-                following = max(following, target + 1)
-                for c in cursors[: pivot + 1]:
-                    c[0] = _seek(c[1], c[0], following)
-            else:
-                score = 0.0
-                for c in cursors[: pivot + 1]:
-                    c[0] = _seek(c[1], c[0], target)
-                    if c[0] < len(c[1]) and c[1][c[0]] == target:
-                        score += c[2][c[0]]
-                        c[0] += 1
-                if score >= threshold:
-                    found.append(target)
-            cursors = [c for c in cursors if c[0] < len(c[1])]
-        return found
-
-    def passages(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, terms in order) of every passage long enough to hold a stretch."""
-        joined = "\0".join(t.replace("\0", " ") if t else "" for t in texts).casefold()
-        words = _WORD_OR_END.findall(joined)
-        terms = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int32, len(words))
-        if not len(terms):
-            return
-        inside = terms >= 0
-        ends = np.fromiter(map("\0".__eq__, words), bool, len(words))
-        row = np.cumsum(ends)
-        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-        for begin, end in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            if end - begin >= self.stretch:
-                step = max(1, PASSAGE - self.stretch + 1)
-                for k in range(begin, max(begin + 1, end - self.stretch + 1), step):
-                    yield int(row[begin]), terms[k : min(end, k + PASSAGE)]
+        cut = [_WORD.findall((t or "").casefold()) for t in texts]
+        kept = [(i, w) for i, w in zip(ids, cut, strict=True) if len(w) >= stretch]
+        size = max(PART, 2 * stretch)
+        parts = [(n, w[k : k + size]) for n, (_, w) in enumerate(kept) for k in range(0, max(1, len(w) - stretch + 1), size - stretch + 1)]
+        words: dict[str, int] = {}
+        flat = np.fromiter((words.setdefault(w, len(words)) for _, ws in parts for w in ws), np.int32)
+        sizes = np.array([len(w) for _, w in parts], np.int64)
+        part = np.repeat(np.arange(len(parts)), sizes)
+        grams: list[np.ndarray] = []
+        term, at = flat.astype(np.int64), np.arange(len(flat))
+        for k in range(1, min(TERM, stretch)):
+            here = (at + k < len(flat)) & (part[np.minimum(at + k, len(flat) - 1)] == part[at]) if len(flat) else np.zeros(0, bool)
+            at, term = at[here], term[here] * len(words) + flat[at[here] + k]
+            known, term = np.unique(term, return_inverse=True)
+            grams.append(known)
+        n, n_terms = max(1, len(parts)), len(grams[-1]) if grams else len(words)
+        keys, counts = np.unique(term * n + part[at], return_counts=True)
+        term, of = keys // n, keys % n
+        holders = np.bincount(term, minlength=n_terms)
+        idf = np.log1p((n - holders + 0.5) / (holders + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if len(sizes) else 1.0))
+        weights = idf[term] * counts * (K1 + 1) / (counts + norm[of]) if len(keys) else np.zeros(0)
+        block = BLOCK
+        while n_terms * (-(-n // (8 * block))) > BLOCK_BYTES:
+            block *= 2
+        bits = np.zeros((n_terms, -(-n // (8 * block))), np.uint8)
+        np.bitwise_or.at(bits, (term, of // block // 8), np.uint8(128) >> (of // block % 8).astype(np.uint8))
+        return cls([i for i, _ in kept], stretch, words, grams, np.array([x for x, _ in parts], np.int64), flat, np.concatenate(([0], np.cumsum(sizes))), keys, weights.astype(np.float32), (K1 + 1) / (1 + norm), idf, holders, block, bits)
+
+    def terms_of(self, words: np.ndarray) -> np.ndarray:
+        """The term that begins at each word, or -1 if it stands in no item."""
+        term = words.astype(np.int64)
+        for k, known in enumerate(self.grams, 1):
+            at = np.flatnonzero((term[: len(words) - k] >= 0) & (words[k:] >= 0))
+            key = term[at] * len(self.words) + words[at + k]
+            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            term = np.full(len(words), -1, np.int64)
+            same = known[place] == key
+            term[at[same]] = place[same]
+        return term
+
+    def retrieve(self, terms: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, part) of all parts that reach the thresholds of the passages terms[start : start + size]."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1024, STEP_BYTES // (4 * self.bits.shape[1]))
+        for low in range(0, len(starts), step):
+            some = starts[low : low + step]
+            bits = self._all_terms(terms, some, size)
+            there = np.flatnonzero(bits.any(1))
+            for k in range(0, len(there), 4096):
+                row, block = np.nonzero(np.unpackbits(bits[there[k : k + 4096]], axis=1))
+                for p in range(0, len(row), STEP_PAIRS):
+                    found.append(self._reached(terms, some[there[k + row[p : p + STEP_PAIRS]]], block[p : p + STEP_PAIRS], size))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+    def _all_terms(self, terms: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Blocks that have all terms of each passage, as bits. Passages that follow one another closely share their work."""
+        first, last = starts[0], starts[-1] + size
+        if len(starts) * 2 < last - first:
+            bits = self.bits[terms[starts]]
+            for k in range(1, size):
+                bits &= self.bits[terms[starts + k]]
+            return bits
+        bits = self.bits[np.maximum(terms[first:last], 0)]
+        width = 1
+        while width * 2 <= size:
+            bits = bits[:-width] & bits[width:]
+            width *= 2
+        rest = size - width
+        return (bits[: len(bits) - rest] & bits[rest:])[starts - first]
+
+    def _reached(self, terms: np.ndarray, start: np.ndarray, block: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts in blocks that reach the thresholds of passages."""
+        passage = terms[start[:, None] + np.arange(size)]
+        passage = np.take_along_axis(passage, np.lexsort((passage, self.holders[passage]), axis=1), 1)  # rare terms first, equal ones together
+        n = max(1, len(self.item))
+        low, high = np.searchsorted(self.keys, passage[:, 0] * n + block * self.block), np.searchsorted(self.keys, passage[:, 0] * n + np.minimum((block + 1) * self.block, n))
+        many = high - low
+        at = np.repeat(np.arange(len(start)), many)
+        place = np.repeat(low, many) + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+        part, score, threshold = self.keys[place] % n, self.weights[place].astype(np.float64), self.idf[passage[at, 0]]
+        for k in range(1, size):
+            term, new = passage[at, k], passage[at, k] != passage[at, k - 1]  # a term that a passage has twice counts once
+            key = term * n + part
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            held = self.keys[place] == key  # without it the bound is below the threshold
+            score, threshold = score + self.weights[place] * new, threshold + self.idf[term] * new
+            if not held.all():
+                at, part, score, threshold = at[held], part[held], score[held], threshold[held]
+        reached = score >= threshold * self.once[part] * (1 - 1e-5)
+        return start[at[reached]], part[reached]
 
     def leaks(self, texts: list[str | None]) -> set[tuple[int, int]]:
         """(row, item number) of each item that has a whole stretch in the row's text."""
-        found = set()
-        size = 4 * self.stretch
-        for row, passage in self.passages(texts):
-            candidates = [n for n in self.retrieve(set(passage.tolist())) if (row, n) not in found]
-            if candidates:
-                raw = passage.tobytes()
-                there = {raw[k : k + size] for k in range(0, len(raw) - size + 1, 4)}
-                found.update((row, n) for n in candidates if not there.isdisjoint(self.stretches[n]))
-        return found
-
-
-def _seek(numbers: list[int], place: int, target: int) -> int:
-    """The first place from place on whose number is at least target; gallops."""
-    step, n = 1, len(numbers)
-    if place >= n or numbers[place] >= target:
-        return place
-    low = place
-    while place + step < n and numbers[place + step] < target:
-        low = place + step
-        step *= 2
-    high = min(n, place + step)
-    while low + 1 < high:
-        mid = (low + high) // 2
-        if numbers[mid] < target:
-            low = mid
-        else:
-            high = mid
-    return high
+        joined = "\0".join(t.replace("\0", " ") if t else "" for t in texts).casefold()
+        found = _WORD_OR_END.findall(joined)
+        words = np.fromiter(map(self.words.get, found, repeat(-1)), np.int32, len(found))
+        size = self.stretch - len(self.grams)  # terms of a passage
+        if len(words) < self.stretch or not self.ids:
+            return set()
+        terms = self.terms_of(words)
+        unknown = np.concatenate(([0], np.cumsum(terms < 0)))
+        starts = np.flatnonzero(unknown[size:] == unknown[:-size])
+        if not len(starts):
+            return set()
+        start, part = self.retrieve(terms, starts, size)
+        ends = np.flatnonzero(np.fromiter(map("\0".__eq__, found), bool, len(found)))
+        pair = np.searchsorted(ends, start) * len(self.ids) + self.item[part]
+        order = np.argsort(pair, kind="stable")
+        pairs, first = np.unique(pair[order], return_index=True)
+        out = set()
+        for p, a, b in zip(pairs.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+            for i in order[a:b]:  # the first one, as a rule
+                if _holds(self.flat[self.bounds[part[i]] : self.bounds[part[i] + 1]].tobytes(), words[start[i] : start[i] + self.stretch].tobytes()):
+                    out.add(divmod(p, len(self.ids)))
+                    break
+        return out
+
+
+def _holds(words: bytes, some: bytes) -> bool:
+    """Whether a sequence of 32-bit numbers holds another one."""
+    at = words.find(some)
+    while at >= 0 and at % 4:
+        at = words.find(some, at + 1)
+    return at >= 0
 
 
 def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, stretch: int = STRETCH) -> DataFrame:
     """(key, item_key) of every corpus row and test item that have `stretch` words in a row in common.
 
-    The corpus is read once for each ITEMS_AT_ONCE items and never shuffled; only results are,
-    to drop repeated ones. What tasks carry is the index of one part, of bounded size.
+    The corpus is read once for each CHARS_AT_ONCE characters of items and never shuffled; only
+    results are, to drop repeated ones. An index is broadcast, of a size bounded by its characters.
     """
     own = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    parts = max(1, -(-own.count() // ITEMS_AT_ONCE))
+    parts = max(1, -(-(own.agg(F.sum(F.length("t"))).first()[0] or 0) // CHARS_AT_ONCE))
     rows = corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
     kind, item_kind = rows.schema["k"].dataType.simpleString(), own.schema["i"].dataType.simpleString()
     item_type = to_arrow_type(own.schema["i"].dataType)
     found = None
     for part in range(parts):
-        block = own if parts == 1 else own.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == part)
+        block = own if parts == 1 else own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
         listed = sorted(set(map(tuple, block.collect())))
-        index = Index.of([i for i, _ in listed], [t for _, t in listed], stretch)
+        index = corpus.sparkSession.sparkContext.broadcast(Index.of([i for i, _ in listed], [t for _, t in listed], stretch))
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = index.value
             for batch in sliced(batches, "t"):
-                hits = sorted(index.leaks(batch.column("t").to_pylist()))
+                hits = sorted(own.leaks(batch.column("t").to_pylist()))
                 if hits:
                     keys = batch.column("k").take(pa.array([r for r, _ in hits], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([index.ids[n] for _, n in hits], item_type)], ["k", "i"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([own.ids[n] for _, n in hits], item_type)], ["k", "i"])
 
         one = rows.mapInArrow(run, f"k {kind}, i {item_kind}")
         found = one if found is None else found.unionByName(one)

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from chaptermill.llm import leakage as K
 
 
@@ -28,17 +30,38 @@ def test_against_brute_force():
     assert {(r, index.ids[n]) for r, n in index.leaks(texts)} == plainly(texts, items)
 
 
-def test_wand_retrieves_all_above_the_threshold():
+def test_retrieval_is_all_above_the_threshold(monkeypatch):
     rng = random.Random(1)
-    items = [" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randrange(12, 40))) for _ in range(300)]
-    index = K.Index.of(list(range(300)), items)
-    for _ in range(400):
-        query = set(rng.sample(range(len(index.terms)), rng.randrange(1, 80))) | set(rng.choice(index.items).tolist()[: rng.randrange(14)])
-        scores = {}
-        for t in query:
-            for number, weight in zip(*index.postings[t][:2]):
-                scores[number] = scores.get(number, 0) + weight
-        assert sorted(index.retrieve(query)) == sorted(k for k, v in scores.items() if v >= 1)
+    items = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(12, 200))) for _ in range(300)]
+    for block_bytes, step in ((K.BLOCK_BYTES, K.STEP_PAIRS), (4096, 7)):
+        monkeypatch.setattr(K, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(K, "STEP_PAIRS", step)
+        index = K.Index.of(list(range(300)), items)
+        words = np.array([rng.randrange(len(index.words)) for _ in range(400)] + index.flat[:500].tolist(), np.int32)
+        terms, size = index.terms_of(words), index.stretch - len(index.grams)
+        starts = [k for k in range(len(terms) - size + 1) if (terms[k : k + size] >= 0).all()]
+        postings = {}
+        for key, weight in zip(index.keys.tolist(), index.weights.tolist()):
+            postings.setdefault(key // len(index.item), {})[key % len(index.item)] = weight
+        want = set()
+        for k in starts:
+            query = set(terms[k : k + size].tolist())
+            holding = set.intersection(*(set(postings[t]) for t in query))
+            want |= {(k, p) for p in holding if sum(postings[t][p] for t in query) >= sum(index.idf[t] for t in query) * index.once[p] * (1 - 1e-5)}
+            assert all((k, p) in want for p in holding)  # each part with all terms reaches the threshold
+        got = list(zip(*(a.tolist() for a in index.retrieve(terms, np.array(starts), size))))
+        assert len(got) == len(set(got)) and set(got) == want and len(want) >= 300
+
+
+def test_many_items_against_brute_force():
+    rng = random.Random(5)
+    sentence = lambda: [f"a{rng.randrange(9)}", "the", f"b{rng.randrange(9)}", "of", f"c{rng.randrange(5)}", "x", f"d{rng.randrange(3)}"]
+    text = lambda n: " ".join(w for _ in range(n) for w in sentence())
+    items = [(k, text(rng.randrange(1, 40))) for k in range(3000)]
+    texts = [text(rng.randrange(30)) for _ in range(60)] + [items[5][1], "", None]
+    index = K.Index.of([i for i, _ in items], [t for _, t in items])
+    got = {(r, index.ids[n]) for r, n in index.leaks(texts)}
+    assert got == plainly(texts, items) and len(got) > 100
 
 
 def test_rows(spark):
@@ -57,5 +80,5 @@ def test_parts_agree(spark, monkeypatch):
     docs = [(k, " x ".join(rng.choice(items)[1] for _ in range(2))) for k in range(30)]
     run = lambda: {tuple(r) for r in K.leaked(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame(items, "i int, t string"), "i", "t").collect()}
     whole = run()
-    monkeypatch.setattr(K, "ITEMS_AT_ONCE", 7)
+    monkeypatch.setattr(K, "CHARS_AT_ONCE", 500)
     assert run() == whole and len(whole) >= 30
