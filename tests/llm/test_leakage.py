@@ -57,11 +57,11 @@ def test_many_items_against_brute_force():
     rng = random.Random(5)
     sentence = lambda: [f"a{rng.randrange(9)}", "the", f"b{rng.randrange(9)}", "of", f"c{rng.randrange(5)}", "x", f"d{rng.randrange(3)}"]
     text = lambda n: " ".join(w for _ in range(n) for w in sentence())
-    items = [(k, text(rng.randrange(1, 40))) for k in range(3000)]
-    texts = [text(rng.randrange(30)) for _ in range(60)] + [items[5][1], "", None]
+    items = [(k, text(rng.randrange(1, 40))) for k in range(300)]
+    texts = [text(rng.randrange(30)) for _ in range(25)] + [items[5][1], "", None]
     index = K.Index.of([i for i, _ in items], [t for _, t in items])
     got = {(r, index.ids[n]) for r, n in index.leaks(texts)}
-    assert got == plainly(texts, items) and len(got) > 100
+    assert got == plainly(texts, items) and len(got) > 20
 
 
 def test_rows(spark):
