@@ -85,12 +85,34 @@ class Ending:
 
 
 def _tail(body: str) -> str:
-    """The last TAIL letters and digits that can stand in a source."""
-    for most in (500, 5000, len(body)):
-        found = letters(_NOT_IN_SOURCE.sub(" ", body[-most:] if most else ""))
-        if len(found) >= TAIL + 20 or most >= len(body):
-            break
-    return found[-TAIL:]
+    """The last TAIL letters and digits that can stand in a source. Windows at the end begin at a line and at no place inside a tag, so they give what the whole text gives."""
+    most = 500
+    while True:
+        begin = body.rfind("\n", 0, max(0, len(body) - most)) + 1
+        if (tag := body.rfind("<", 0, begin)) > body.rfind(">", 0, begin):
+            begin = tag
+        found = letters(_NOT_IN_SOURCE.sub(" ", body[begin:]))
+        if len(found) >= TAIL or not begin:
+            return found[-TAIL:]
+        most *= 8
+
+
+def _marks(body: str) -> re.Match | None:
+    """What was put after a text. The window grows until what stands before the match has room for another mark."""
+    most = 200
+    while True:
+        begin = max(0, len(body) - most)
+        found = _MARK.search(body, begin)
+        if not begin or not found and not body[begin:].isspace() or found and found.start() - begin > 100:
+            return found
+        most *= 8
+
+
+def kept_part(text: str) -> str:
+    """A text without what may have been put after a cut: white space, dots, broken and unseen characters, notes."""
+    body = text.rstrip(UNSEEN)
+    found = _marks(body)
+    return body[: found.start()].rstrip(UNSEEN) if found else body
 
 
 _STOP = re.compile(r"[.!?;:|>}\])\"»”’'`*]\Z|\Z(?<=::)")
@@ -104,7 +126,7 @@ def ending(markdown: str) -> Ending:
     if front := _FRONT.match(body):
         body = body[front.end() :]
     body = body.rstrip(UNSEEN)
-    found = _MARK.search(body, max(0, len(body) - 100))
+    found = _marks(body)
     mark = ""
     if found:
         mark = "bytes" if "�" in found.group() else "ellipsis" if found.group().strip() == "…" else "dots"

@@ -56,6 +56,11 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_shares(_cut(spark, d), "source")
 
 
+def p4_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """How many different texts each source has at each length: where limits show."""
+    return truncation.length_counts(table(spark, d, "llm_response"), "source", "markdown")
+
+
 _MANIFEST_FIELDS = ("title", "filename", "slug")
 
 
@@ -105,7 +110,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    listed = (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_defect_counts, p4_found, p4_shares, p5_found, p5_contents, p6_ids, p7_found, p7_items, p8_found, p8_documents, p8_segments)
+    listed = (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_defect_counts, p4_found, p4_shares, p4_lengths, p5_found, p5_contents, p6_ids, p7_found, p7_items, p8_found, p8_documents, p8_segments)
     return {q.__name__: q for q in listed}
 
 
@@ -124,6 +129,7 @@ with item_words as (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_lengths": "select source, length(markdown) as length, count(distinct md5(markdown)) as n from llm_response where markdown <> '' group by 1, 2",
         "p2_found": "select distinct chapter_id from chapter where length(chapter_html) > 4000",
         "p7_found": _SHARED_STRETCH + "select distinct d.doc_id, i.item_id from doc_stretches d join stretches i using (s)",
         "p7_items": _SHARED_STRETCH
