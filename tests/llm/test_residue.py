@@ -20,6 +20,20 @@ def test_cases():
     assert [c for c in NO_CASES if R.judged(*c)[0] >= R.COVERAGE] == []
 
 
+def test_phrases_that_are_not_listed():
+    """Notices in other words than the lists have, and single words that name something."""
+    found = ["Please turn JavaScript on and reload the page", "Page cannot be displayed", "Sorry, we can't find that page", "This page can't be displayed right now, try again later", "Ut labore et dolore", "Sed do", "Seite kann nicht angezeigt werden", "La página no existe", "{{ name }} — a guide to backups"]
+    kept = ["Value", "Exception", "Ref", "Do", "JavaScript", "JavaScript on the page", "The page", "Try again", "Text and title", "Values that cannot be displayed here", "Et", "Reload and refresh"]
+    assert [t for t in found if R.judged("title", t)[0] < R.COVERAGE] == []
+    assert [t for t in kept if R.judged("title", t)[0] >= R.COVERAGE] == []
+
+
+def test_batches_give_what_single_values_give():
+    cases = CASES + NO_CASES + [("title", "a\nTODO"), ("title", "\n")]
+    share, kinds = R.judged_all([f for f, _ in cases], [v for _, v in cases])
+    assert [(s, k) for s, k in zip(share.tolist(), kinds)] == [R.judged(*c) for c in cases]
+
+
 def test_long_value():
     assert R.judged("title", "word " * 100_000)[0] < 0.1
 
