@@ -4,7 +4,9 @@ Every letter has a random vector of signs; an n-gram's vector is the product of
 letters' vectors, each permuted by its place; a word's vector is the bundle (sum) of its
 n-grams', a language's prototype the bundle of the words of its samples. Texts are compared
 with the prototypes by cosine. Since a bundle is a sum, the product of a text's vector with
-a prototype is the sum of its words' products, which are kept by word.
+a prototype is the sum of its words' products, which are kept by word. The length of a text's
+vector comes from how often each n-gram occurs in it, n-grams that words share included: the
+vectors of different n-grams are orthogonal but for chance (a part of 1 / sqrt(dimensions)).
 
 Running text is cut into sentences; code, titles, tables, captions, identifiers and markup
 stand aside. Neighbouring sentences of one language make a segment. A text is written in
@@ -15,7 +17,8 @@ language of what it has.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -35,8 +38,8 @@ SAMPLES = 6000
 #: language are ahead in the samples; others go with a sure neighbour of so many words, else with their text's main
 #: language. A sentence of fewer words than the last figure takes its neighbour's language.
 AHEAD, ANCHOR_WORDS, SURE_WORDS = 0.25, 6, 3
-#: Words whose products a worker keeps.
-KEPT = 200_000
+#: Words whose products a worker keeps, and units whose n-grams are counted at once.
+KEPT, UNITS_AT_ONCE = 200_000, 4096
 
 _LINE_ENDS = re.compile("\r\n|[\r\v\f\x85  ]")
 #: What stands aside of running text: front matter, fenced code, tables, titles, captions, images, inline code, tags, addresses, paths.
@@ -83,11 +86,22 @@ def plain_text(text: str) -> str:
     return IDENTIFIER.sub(" ", text) if any(c in text for c in IDENTIFIER_SIGNS) else text
 
 
+@dataclass
+class Units:
+    words: np.ndarray
+    products: np.ndarray  # with each language; the largest is the nearest language, whatever the length of the unit's vector
+    marks: np.ndarray  # of all words, or-ed
+    place: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+
 class Profiles:
     """Prototypes of languages and the products of words with them."""
 
-    def __init__(self, samples: list[tuple[str, str]], dimensions: int = DIMENSIONS, grams: tuple[int, ...] = GRAMS) -> None:
-        self.dimensions, self.grams = dimensions, grams
+    def __init__(self, samples: list[tuple[str, str]], dimensions: int = DIMENSIONS, grams: tuple[int, ...] = GRAMS, marker: Callable[[str], int] | None = None) -> None:
+        """marker: a number kept with each word (in lower case), for users that tell classes of words."""
+        self.dimensions, self.grams, self.marker = dimensions, grams, marker
         self.languages = tuple(sorted({lang for lang, _ in samples}))
         self._letters: dict[str, np.ndarray] = {}
         bundles = np.zeros((len(self.languages), dimensions))
@@ -110,7 +124,7 @@ class Profiles:
         self._forget()
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("dimensions", "grams", "languages", "prototypes", "middle", "apart", "lead")}
+        return {k: getattr(self, k) for k in ("dimensions", "grams", "languages", "prototypes", "middle", "apart", "lead", "marker")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -120,7 +134,11 @@ class Profiles:
     def _forget(self) -> None:
         self.places: dict[str, int] = {"\n": 0, "\0": 1}
         self.scores = np.zeros((2, len(self.languages)), np.float32)
-        self.sizes = np.zeros(2, np.float32)
+        self.marks = np.zeros(2, np.int64)
+        self.is_word = np.zeros(2, bool)
+        self._numbers: dict[str, int] = {}  # of n-grams
+        self.of_word = np.zeros(0, np.int32)  # n-grams of all words, one after another
+        self.first, self.count = np.zeros(2, np.int64), np.zeros(2, np.int64)
 
     def letter(self, c: str) -> np.ndarray:
         found = self._letters.get(c)
@@ -133,7 +151,7 @@ class Profiles:
 
     def vector(self, word: str) -> np.ndarray:
         """The bundle of the n-grams of a word with its ends."""
-        padded = f" {word[:40]} "
+        padded = f" {word} "
         letters = np.stack([self.letter(c) for c in padded])
         total = np.zeros(self.dimensions, np.int32)
         for n in self.grams:
@@ -154,14 +172,38 @@ class Profiles:
         for begin in range(0, len(new), 256):
             part = new[begin : begin + 256]
             vectors = np.zeros((len(part), self.dimensions), np.float32)
-            for k, w in enumerate(part):
-                if w[0] not in _ENDS:
-                    vectors[k] = self.vector(w.lower())
-            size = np.linalg.norm(vectors, axis=1)
-            first = len(self.places)
-            self.places.update(zip(part, range(first, first + len(part)), strict=True))
-            self.scores = np.concatenate((self.scores, vectors @ self.apart.T))
-            self.sizes = np.append(self.sizes, (size * size).astype(np.float32))
+            lower = ["" if w[0] in _ENDS else w.lower() for w in part]
+            listed: list[int] = []
+            count = np.zeros(len(part), np.int64)
+            for k, w in enumerate(lower):
+                if w:
+                    vectors[k] = self.vector(w)
+                    padded = f" {w} "
+                    grams = [padded[i : i + n] for n in self.grams for i in range(len(padded) - n + 1)]
+                    listed += [self._numbers.setdefault(g, len(self._numbers)) for g in grams]
+                    count[k] = len(grams)
+            self.places.update(zip(part, range(len(self.places), len(self.places) + len(part)), strict=True))
+            self.scores = np.concatenate((self.scores, np.einsum("wd,ld->wl", vectors, self.apart)))  # no threads of a linear algebra library
+            self.is_word = np.append(self.is_word, [bool(w) for w in lower])
+            self.marks = np.append(self.marks, [self.marker(w) if w and self.marker else 0 for w in lower])
+            self.first = np.append(self.first, len(self.of_word) + np.cumsum(count) - count)
+            self.count = np.append(self.count, count)
+            self.of_word = np.append(self.of_word, np.array(listed, np.int32))
+
+    def lengths(self, place: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Length of the bundle of the words place[start : end] of each unit."""
+        out = np.zeros(len(starts))
+        for low in range(0, len(starts), UNITS_AT_ONCE):
+            begin, sizes = starts[low : low + UNITS_AT_ONCE], (ends - starts)[low : low + UNITS_AT_ONCE]
+            unit = np.repeat(np.arange(len(begin)), sizes)
+            word = place[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(unit))]
+            count = self.count[word]
+            grams = self.of_word[np.repeat(self.first[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            key = np.sort(np.repeat(unit, count) * len(self._numbers) + grams)
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            n = np.diff(edge) if len(key) else np.zeros(0, np.int64)
+            out[low : low + UNITS_AT_ONCE] = np.bincount(key[edge[:-1]] // max(1, len(self._numbers)), n * n, len(begin)) if len(key) else 0
+        return np.sqrt(np.maximum(out * self.dimensions, 1e-9))
 
     def sentences(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """Of each sentence of running text: row, number of words, cosine with each language's prototype."""
@@ -169,7 +211,7 @@ class Profiles:
         tokens = _TOKEN.findall(joined + "\0")
         self.learn(tokens)
         place = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
-        word = self.sizes[place] > 0
+        word = self.is_word[place]
         row = np.cumsum(place == 1) - (place == 1)
         cut = np.cumsum(~word)
         at = np.flatnonzero(word)
@@ -178,22 +220,20 @@ class Profiles:
         starts = np.flatnonzero(np.concatenate(([True], np.diff(cut[at]) > 0)))
         words = np.diff(np.append(starts, len(at)))
         product = np.add.reduceat(self.scores[place[at]], starts, axis=0)
-        # Different n-grams are nearly orthogonal, so squared lengths of words add up.
-        length = np.sqrt(np.maximum(np.add.reduceat(self.sizes[place[at]], starts), 1e-9))
+        length = self.lengths(place[at], starts, starts + words)
         return {"row": row[at[starts]], "words": words, "cosine": product / length[:, None]}
 
-    def units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each unit of plain text without line ends, and its cosine with each language's prototype."""
+    def units(self, units: list[str]) -> Units:
+        """The words of units of plain text without line ends, their products with the languages, and their marks."""
         tokens = _TOKEN.findall("\n".join(units) + "\n")
         self.learn(tokens)
         place = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
-        ends = np.flatnonzero(place == 0)
-        bounds = np.concatenate(([0], ends + 1))[: len(units) + 1]
-        sizes = np.concatenate(([0.0], np.cumsum(self.sizes[place], dtype=np.float64)))
-        words = np.concatenate(([0], np.cumsum(self.sizes[place] > 0)))
-        products = np.add.reduceat(self.scores[place], bounds[:-1], axis=0) if len(units) else np.zeros((0, len(self.languages)))
-        length = np.sqrt(np.maximum(sizes[bounds[1:]] - sizes[bounds[:-1]], 1e-9))
-        return words[bounds[1:]] - words[bounds[:-1]], products / length[:, None]
+        ends = np.flatnonzero(place == 0)[: len(units)]
+        starts = np.concatenate(([0], ends + 1))[: len(units)]
+        words = np.concatenate(([0], np.cumsum(self.is_word[place])))
+        products = np.add.reduceat(self.scores[place], starts, axis=0) if len(units) else np.zeros((0, len(self.languages)))
+        marks = np.bitwise_or.reduceat(self.marks[place], starts) if len(units) else np.zeros(0, np.int64)
+        return Units(words[ends] - words[starts], products, marks, place, starts, ends)
 
     def segments(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """Of each segment: row, language (its number), words, confidence."""
@@ -240,7 +280,7 @@ class Profiles:
             return None
         self.learn(words)
         place = [self.places[w] for w in words]
-        cosine = self.scores[place].sum(0) / max(1e-9, float(np.sqrt(self.sizes[place].sum())))
+        cosine = self.scores[place].sum(0) / self.lengths(np.array(place), np.zeros(1, np.int64), np.array([len(place)]))[0]
         best = int(cosine.argmax())
         return best, float(confidence(cosine[None], np.array([best]))[0])
 

@@ -2,7 +2,9 @@
 
 The clauses (lines) of an answer are tagged as answer, refusal, echo, foreign or unfinished
 by a linear-chain conditional random field over features of the clause, its source and its
-neighbours. The field is fitted on pairs built from samples of known language: right
+neighbours: what languages it is near to, markup and where it comes from, how it ends, and,
+for refusals, whether it speaks of itself, denies, regrets, declines, addresses the reader
+and has words that its source lacks. The field is fitted on pairs built from samples of known language: right
 answers, refusals, echoes of markup, answers in another language and cut answers. The
 coverage of the tags gives a pair's defect; a pair has at most one:
 
@@ -34,9 +36,11 @@ from .language import IDENTIFIER, IDENTIFIER_SIGNS, Profiles, sample_rows
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 FEATURES = (
-    "bias", "refuses", "refuses in quotes", "follows up", "block tags", "tags of the source", "foreign lead", "native", "aside", "running",
+    "bias", "block tags", "tags of the source", "foreign lead", "native", "aside", "running",
     "last", "last and inside source", "last and at end of source", "last and open", "last and bare", "last and marked", "markup page", "between tags", "foreign best",
+    "speaks", "speaks and denies", "sorry", "sorry and denies", "declines", "of itself", "of the task", "addresses", "unseen", "unseen and speaks", "unseen and sorry", "unseen and declines", "unseen and of itself", "unseen and addresses", "speaks in quotes", "speaks short",
 )
+_AT = {name: k for k, name in enumerate(FEATURES)}
 #: Shares of characters or running words that make a defect.
 MOST = 0.5
 #: Words from which a clause's language counts.
@@ -46,19 +50,38 @@ PREFACE = 200
 #: Sample rows from which training pairs are built, at most.
 TRAINING_ROWS = 600
 
-# How answers decline, by language, and what such answers go on with.
-REFUSALS = {
-    "ru": r"(?:к сожалению|извините|прошу прощения|простите|увы)[^.!?\n]{0,40}\bне (?:могу|смогу|удастся|удаётся|получится|получается|в состоянии|имею|вправе)|\bя не (?:могу|смогу|вправе|имею (?:возможности|права)|в состоянии|буду)\b|как (?:языковая модель|ии|искусственный интеллект)|(?:вынужден|должен)[а]? (?:отказаться|отклонить)|не могу (?:выполнить|преобразовать|обработать|подготовить|помочь)",
-    "en": r"\b(?:i(?:'|’)?m sorry|sorry|unfortunately|i apologi[sz]e|regrettably)[^.!?\n]{0,40}\b(?:can(?:'|’)?t|cannot|can not|unable|not able|won(?:'|’)?t|couldn(?:'|’)?t)\b|\bi (?:must|have to|need to) (?:decline|refuse)|\bas an? (?:ai|artificial|large)?\s*(?:ai|language|artificial)[^.!?\n]{0,30}\b(?:cannot|can(?:'|’)?t|can not|unable|not able)|\bi(?:'|’)?m (?:unable|not able) to\b|\bi am (?:unable|not able) to\b|\bi (?:can(?:'|’)?t|cannot|won(?:'|’)?t) (?:help|assist|convert|process|produce|carry|fulfil|comply|provide|complete|do)",
-    "uk": r"(?:на жаль|перепрошую|вибачте|пробачте)[^.!?\n]{0,40}\bне (?:можу|зможу|вдасться|вдається|маю|в змозі|вправі)|\bя не (?:можу|зможу|маю (?:змоги|можливості|права)|вправі)|як мовна модель|(?:мушу|змушен(?:ий|а)) (?:відмовити|відхилити)",
-    "de": r"(?:leider|es tut mir leid|entschuldigung|bedauerlicherweise|tut mir leid)[^.!?\n]{0,60}\b(?:kann|darf|möchte|bin)\b[^.!?\n]{0,80}\b(?:nicht|außerstande)\b|leider (?:kann|darf) ich|ich (?:muss|möchte) (?:es )?(?:leider )?ablehnen|ich muss [^.!?\n]{0,60}ablehnen|als (?:ki[- ]?)?sprachmodell|ich bin nicht (?:in der lage|befugt)|ich (?:kann|darf) (?:diese|dieses|diesen|den|das|die)\b[^.!?\n]{0,60}\bnicht (?:umwandeln|verarbeiten|ausführen|erstellen|bearbeiten)",
-    "es": r"(?:lo siento|lamentablemente|lamento|disculpe|perdone|desafortunadamente)[^.!?\n]{0,50}\bno (?:puedo|podré|me es posible|es posible|estoy|soy capaz)|\bno me es posible\b|como modelo de lenguaje|debo (?:rechazar|declinar|negarme)|no puedo (?:convertir|procesar|realizar|elaborar|preparar|ayudar|completar|llevar a cabo)",
-    "pt": r"(?:lamento|infelizmente|peço desculpas?|desculpe|sinto muito)[^.!?\n]{0,50}\bnão (?:posso|consigo|poderei|me é possível|é possível|estou|sou capaz)|\bnão me é possível\b|como modelo de linguagem|(?:devo|tenho de) (?:recusar|declinar)|não (?:posso|consigo) (?:converter|processar|realizar|elaborar|preparar|ajudar|concluir|executar)",
-}
-FOLLOW_UPS = r"могу ли я (?:чем-то |ещё )?помочь|чем ещё (?:я )?могу|чем я могу помочь|пришлите (?:его|текст|главу)?\s*(?:по )?част|anything else i can|can i help|please send it in|how (?:else )?can i help|чи можу я|чим (?:ще )?можу|надішліть (?:його|текст)?\s*частинами|kann ich (?:ihnen )?(?:sonst|noch|anderweitig)|senden sie ihn in teilen|puedo ayudar(?:le|te)?|env[íi]elo (?:por|en) partes|posso ajudar|envie-o (?:por|em) partes|правила использования|закрытые сведения|порушує правила|закриті відомості|usage policy|confidential details|nutzungsregeln|vertrauliche|políticas? de (?:uso|utilização)|normas de uso|datos confidenciales|dados confidenciais"
+# Classes of words in six languages. A word with * stands for all words that begin like it.
+CLASSES = {
+    # a speaker, or what only a speaker says of itself
+    "speaks": "я мне меня мой моя могу смогу буду хочу имею i i'm i'll i've i'd im me my ich mir mein* yo me mi puedo podré puedo quiero estoy soy tengo debo eu meu minha posso consigo poderei quero estou sou tenho devo мені мене мій моя можу зможу хочу маю kann darf möchte muss werde can cannot can't cant could must won't we unable able able not",
+    "denies": "не нет нельзя невозможно ні немає неможливо not no can't cant cannot won't wont don't dont couldn't unable impossible decline refuse nicht kein* unmöglich außerstande no imposible não impossível",
+    "sorry": "сожалению извин* простите прощения увы sorry apolog* unfortunately regret* afraid жаль вибач* пробач* перепрош* leider entschuldig* bedau* leid siento lament* disculp* perdon* desafortunadamente infelizmente desculp* lament* sinto",
+    "declines": "отказ* отклон* воздерж* declin* refus* reject* відмов* відхил* ablehn* weiger* verweiger* rechaz* declin* neg* abstener* recus* declin* abster*",
+    "of itself": "ии модель языковая ассистент* помощник* ai model assistant chatbot модель мовна асистент* помічник* ki sprachmodell assistent* modelo asistente lenguaje assistente linguagem",
+    "of the task": "запрос* преобраз* обработ* помо* задани* глав* текст* просьб* выполн* request* convert* process* help* assist* task* chapter* text* fulfil* comply* запит* перетвор* оброб* допом* завдан* розділ* anfrage* umwandel* verarbeit* helf* aufgabe* kapitel* text* bearbeit* ausführ* solicitud* convertir* procesar* ayud* tarea* capítulo* texto* realiz* pedido* converter* processar* ajud* tarefa* capítulo* executar*",
+    "addresses": "вам вас ваш* пожалуйста пришлите обратитесь you your please вам вас ваш* надішліть ihnen sie ihr* bitte le les usted su por favor você lhe seu sua",
+}
+_BITS = {name: 1 << k for k, name in enumerate(CLASSES)}
+_EXACT_WORDS: dict[str, int] = {}
+_BEGINNINGS: dict[str, int] = {}
+for _name, _words in CLASSES.items():
+    for _word in _words.split():
+        _listed = _BEGINNINGS if _word.endswith("*") else _EXACT_WORDS
+        _listed[_word.rstrip("*")] = _listed.get(_word.rstrip("*"), 0) | _BITS[_name]
+_SIZES = sorted({len(b) for b in _BEGINNINGS})
+#: A clause with a word of one of these is looked at more closely, and then one with fewer words than SHORT.
+_CLOSER, SHORT = _BITS["speaks"] | _BITS["sorry"] | _BITS["declines"] | _BITS["of itself"], 25
+
+
+def word_classes(word: str) -> int:
+    """Bits of the classes of a word in lower case."""
+    word = word.replace("’", "'")
+    found = _EXACT_WORDS.get(word, 0)
+    for size in _SIZES:
+        found |= _BEGINNINGS.get(word[:size], 0) if len(word) >= size else 0
+    return found
+
 
-_REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
-_FOLLOW_UP = re.compile(FOLLOW_UPS, re.I)
 _QUOTED = re.compile(r"«[^»\n]*»|„[^“”\n]*[“”]|“[^”\n]*”|\"[^\"\n]*\"")
 _INLINE_ASIDE = re.compile(r"`[^`\n]*`|!\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]*>|\]\([^)\n]*\)|(?<!\w)\w+://\S+|&#?\w+;")
 _CODE_EDGE = re.compile(r"</?pre\b[^<>]*>", re.I)
@@ -68,20 +91,24 @@ _TABLE_LINE = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _CAPTION = re.compile(r">\s*\w+ \d+\s*[–—-] ")
 
 
-# One of these, or what _AS_MODEL finds, stands in every text that the patterns of refusals find.
-_STEMS = (
-    "сожалению", "извините", "прощения", "простите", "увы", "я не ", "языковая модель", "как ии", "искусственный интеллект", "отказаться", "отклонить", "не могу",
-    "sorry", "unfortunately", "apologi", "regrettably", "i must ", "i have to", "i need to", "as an ai", "language model", "as an artificial", "unable", "not able", "i can't", "i can’t", "i cant ", "i cannot", "i won",
-    "на жаль", "перепрошую", "вибачте", "пробачте", "мовна модель", "відмовити", "відхилити", "leider", "mir leid", "entschuldigung", "bedauer", "ablehnen", "sprachmodell", "ich bin nicht", "ich kann", "ich darf",
-    "lo siento", "lamentablemente", "lamento", "disculpe", "perdone", "desafortunadamente", "me es posible", "modelo de l", "no puedo", "rechazar", "declinar", "negarme",
-    "infelizmente", "desculp", "sinto muito", "me é possível", "recusar", "não posso", "não consigo",
-)
-_AS_MODEL = re.compile(r"as an? (?:ai|artificial|large)?\s*(?:ai|language|artificial)")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
-def stems_of(lower: str) -> list[str]:
-    """The stems of refusals that a text in lower case holds."""
-    return [stem for stem in _STEMS if stem in lower] + list(set(_AS_MODEL.findall(lower)))
+def speech(text: str, words: int, source: str) -> list[tuple[str, float]]:
+    """Features of a clause that may be a speaker's: what classes of words it has outside quotes, and whether its words stand in the source (in lower case)."""
+    lower = text.lower()
+    outside = _QUOTED.sub(" ", lower)
+    bits = 0
+    for w in _PLAIN_WORD.findall(outside):
+        bits |= word_classes(w)
+    has = {name: bool(bits & bit) for name, bit in _BITS.items()}
+    long = [w for w in _PLAIN_WORD.findall(lower) if len(w) > 3]
+    unseen = bool(source) and sum(w in source for w in long) < 0.6 * len(long) or not source
+    out = [(name, has[name]) for name in ("speaks", "sorry", "declines", "of itself", "of the task", "addresses")]
+    out += [("speaks and denies", has["speaks"] and has["denies"]), ("sorry and denies", has["sorry"] and has["denies"]), ("unseen", unseen), ("speaks short", has["speaks"] and words < SHORT)]
+    out += [(f"unseen and {name}", unseen and has[name]) for name in ("speaks", "sorry", "declines", "of itself", "addresses")]
+    out += [("speaks in quotes", outside != lower and not bits & _CLOSER)]
+    return [(name, 1.0) for name, on in out if on]
 
 
 class Clauses:
@@ -100,8 +127,6 @@ class Clauses:
             raw = None
             inside = False
             first = len(rows)
-            lower = answer.lower()
-            stems = stems_of(lower)
             for line in body.splitlines():
                 text = line.strip()
                 if not text:
@@ -114,56 +139,57 @@ class Clauses:
                 if fence:
                     inside = not inside
                 elif not inside and ("<" in text or "&" in text):
-                    tags = len(_BLOCK_TAG.findall(text))
-                    if tags:
-                        f[4] = 1.0
+                    if _BLOCK_TAG.search(text):
+                        f[1] = 1.0
                         raw = squeezed(source or "") if raw is None else raw
                         own = squeezed(text)
                         while own not in raw and own != (less := html.unescape(own)):
                             own = less
-                        f[5] = float(own in raw)
-                        f[16] = float(bool(_PAGE_TAG.search(text)))
-                if stems and not aside and any(stem in text.lower() for stem in stems) and (m := _REFUSAL.search(text)):
-                    quoted = any(q.start() <= m.start() < q.end() for q in _QUOTED.finditer(text))
-                    f[2 if quoted else 1] = 1.0
-                if stems and not aside and _FOLLOW_UP.search(text):
-                    f[3] = 1.0
-                f[8] = float(aside)
+                        f[2] = float(own in raw)
+                        f[13] = float(bool(_PAGE_TAG.search(text)))
+                f[5] = float(aside)
                 rows.append(f)
                 self.lines.append(text)
                 self.row.append(number)
                 running.append(not aside)
                 plain.append("" if aside else text)
             if raw is not None:  # code and other lines between the tags of a page
-                tagged = [k for k in range(first, len(rows)) if rows[k][4]]
+                tagged = [k for k in range(first, len(rows)) if rows[k][1]]
                 for k in range(tagged[0], tagged[-1]):
-                    rows[k][17] = 1.0 - rows[k][4]
+                    rows[k][14] = 1.0 - rows[k][1]
             if len(rows) > first:
                 e = ending(answer)
                 f = rows[-1]
                 where = place_in_source(e.tail, source)
-                f[10], f[11], f[12] = 1.0, float(where == "inside"), float(where == "end")
-                f[13], f[14], f[15] = float(e.kind == "open"), float(e.kind == "bare"), float(e.mark in ("bytes", "dots"))
+                f[7], f[8], f[9] = 1.0, float(where == "inside"), float(where == "end")
+                f[10], f[11], f[12] = float(e.kind == "open"), float(e.kind == "bare"), float(e.mark in ("bytes", "dots"))
         x = np.array(rows, np.float32).reshape(-1, len(FEATURES))
         clean = _INLINE_ASIDE.sub(" ", "\n".join(plain))
         if any(c in clean for c in IDENTIFIER_SIGNS):
             clean = "\n".join(IDENTIFIER.sub(" ", t) if any(c in t for c in IDENTIFIER_SIGNS) else t for t in clean.split("\n"))
-        words, cosine = profiles.units(clean.split("\n") if plain else [])
+        units = profiles.units(clean.split("\n") if plain else [])
+        words, products = units.words, units.products
         row = np.array(self.row, np.int64)
-        _, of_source = profiles.units([_ANY_TAG.sub(" ", " ".join(_CODE_EDGE.split(s)[::2])).replace("\n", " ") if s else "" for s in sources])
+        of_source = profiles.units([_ANY_TAG.sub(" ", " ".join(_CODE_EDGE.split(s)[::2])).replace("\n", " ") if s else "" for s in sources]).products
         own = of_source.argmax(1)
         known = np.array([bool(s) for s in sources]) & (np.abs(of_source).sum(1) > 0)
-        best = cosine.argmax(1) if len(cosine) else np.zeros(0, np.int64)
-        counts = (words >= CLAUSE_WORDS) & known[row] if len(row) else np.zeros(0, bool)
-        lead = np.zeros(len(row), np.float32)
         if len(row):
-            index = np.arange(len(row))
-            ahead = cosine[index, best] - cosine[index, own[row]]
-            lead = np.clip(ahead / np.maximum(profiles.lead[best, own[row]], 0.05), 0, 1.5)
-            x[:, 6] = np.where(counts & (best != own[row]), lead, 0)
-            x[:, 18] = counts & (best != own[row])
-            x[:, 7] = counts & (best == own[row])
-            x[:, 9] = np.array(running) & (words >= CLAUSE_WORDS)
+            best = products.argmax(1)
+            counts = (words >= CLAUSE_WORDS) & known[row]
+            other = np.flatnonzero(counts & (best != own[row]))
+            length = profiles.lengths(units.place, units.starts[other], units.ends[other])
+            ahead = (products[other, best[other]] - products[other, own[row[other]]]) / length
+            x[other, 3] = np.clip(ahead / np.maximum(profiles.lead[best[other], own[row[other]]], 0.05), 0, 1.5)
+            x[other, 15] = 1
+            x[:, 4] = counts & (best == own[row])
+            x[:, 6] = np.array(running) & (words >= CLAUSE_WORDS)
+            lower: dict[int, str] = {}
+            for k in np.flatnonzero((units.marks & _CLOSER > 0) & np.array(running)):
+                r = int(row[k])
+                if r not in lower:
+                    lower[r] = html.unescape(sources[r] or "").lower()
+                for name, value in speech(plain[k], int(words[k]), lower[r]):
+                    x[k, _AT[name]] = value
         self.x, self.words, self.n = x, np.where(np.array(running, bool), words, 0) if len(row) else words, len(answers)
         self.rows = row
         self.chars = np.array([len(t) for t in self.lines], np.int64)
@@ -217,7 +243,7 @@ class Field:
 
     def best(self, x: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """The most likely tags of all sequences (rows: sorted number of the sequence of each clause), by Viterbi over all at once."""
-        emit = x @ self.weights
+        emit = np.einsum("nf,fk->nk", x, self.weights)  # no threads of a linear algebra library beside the task's own
         if not len(emit):
             return np.zeros(0, np.int64)
         starts = np.searchsorted(rows, np.arange(n))
@@ -251,11 +277,25 @@ def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
 
 
-# Answers that decline, from which the field learns.
-_DECLINING = {
-    "ru": "К сожалению, я не могу выполнить этот запрос. Чем я могу помочь?", "en": "I'm sorry, but I cannot help with this request. How can I help?",
-    "uk": "На жаль, я не можу виконати цей запит.", "de": "Leider kann ich diese Anfrage nicht ausführen.", "es": "Lo siento, pero no puedo realizar esta tarea.", "pt": "Lamento, mas não posso realizar esta tarefa.",
+# Parts of answers that decline, from which the field learns: regrets, what can't be done, with what, and what may follow.
+_PARTS = {
+    "ru": (("К сожалению, ", "Извините, но ", ""), ("я не могу выполнить", "я не в состоянии обработать", "как языковая модель, я не буду преобразовывать", "я должен отклонить"), (" этот запрос.", " эту главу.", " это."), ("", "Чем я могу помочь?")),
+    "en": (("I'm sorry, but ", "Unfortunately, ", ""), ("I cannot help with", "I am not able to process", "as a language model, I must decline to convert", "I have to reject"), (" this request.", " this chapter.", " it."), ("", "How else can I help you?")),
+    "uk": (("На жаль, ", "Вибачте, але ", ""), ("я не можу виконати", "я не зможу обробити", "як мовна модель, я не буду перетворювати", "я мушу відхилити"), (" цей запит.", " цей розділ.", " це."), ("", "Чи можу я ще допомогти?")),
+    "de": (("Leider ", "Entschuldigung, aber ", ""), ("kann ich nicht bearbeiten: ", "muss ich ablehnen, da ich als Sprachmodell nicht helfen darf: ", "ich bin nicht in der Lage zu verarbeiten: ", "ich verweigere "), ("diese Anfrage.", "dieses Kapitel.", "das."), ("", "Kann ich Ihnen sonst helfen?")),
+    "es": (("Lo siento, pero ", "Lamentablemente, ", ""), ("no puedo realizar", "no me es posible procesar", "como modelo de lenguaje, no voy a convertir", "debo rechazar"), (" esta solicitud.", " este capítulo.", " esto."), ("", "¿Puedo ayudarle en algo más?")),
+    "pt": (("Lamento, mas ", "Infelizmente, ", ""), ("não posso realizar", "não consigo processar", "como modelo de linguagem, não vou converter", "devo recusar"), (" este pedido.", " este capítulo.", " isto."), ("", "Posso ajudar em algo mais?")),
 }
+
+
+def declining(lang: str, number: int) -> list[str]:
+    """An answer that declines, as its clauses; different numbers give different parts."""
+    sorry, cannot, what, more = _PARTS[lang]
+    first = sorry[number % 3] + cannot[number // 3 % 4] + what[(number + number // 12) % 3]
+    second = more[(number + number // 3) % 2]
+    return [first[0].upper() + first[1:], *([second] if second else [])]
+
+
 _PREFACE = {"ru": "Вот текст:", "en": "Here is the text:", "uk": "Ось текст:", "de": "Hier ist der Text:", "es": "Aquí está el texto:", "pt": "Aqui está o texto:"}
 
 
@@ -274,16 +314,17 @@ def training_pairs(samples: list[tuple[str, str]]) -> list[tuple[str, str, list[
             title, body = one[0].rstrip("."), one[1:] + more[1:]
             source = f"<h1>{title}</h1>" + "".join(f"<p>{s.replace('`', '')}</p>" for s in body)
             code = ["```bash", "ls -l", "```"]
-            quote = f"> «{_DECLINING[lang].split('.')[0]}». {body[0]}"
+            quote = f"> «{declining(lang, k)[0].rstrip('.')}». {body[0]}"
             kind = k % 8
             if kind == 0:
                 pairs.append((source if k % 3 else "", "\n\n".join([f"# {title}", *body]), ["answer"] * (1 + len(body))))
             elif kind == 1:
                 pairs.append((source, "\n".join([_PREFACE[lang], f"# {title}", quote, *code, *body]), ["answer"] * (6 + len(body))))
             elif kind == 2:
-                own = _DECLINING[lang if k % 3 else langs[(number + 1) % len(langs)]]
-                head = [f"# {title}"] if k % 16 < 8 else []
-                pairs.append((source, "\n\n".join([*head, own]), ["answer"] * len(head) + ["refusal"]))
+                for some in range(3):
+                    own = declining(lang if (k + some) % 3 else langs[(number + 1) % len(langs)], k // 8 + 5 * some)
+                    head = [f"# {title}"] if some % 2 else []
+                    pairs.append((source if k % 3 else "", "\n\n".join([*head, *own]), ["answer"] * len(head) + ["refusal"] * len(own)))
             elif kind == 3:
                 page = source.replace("</h1>", '</h1><pre><code class="language-bash">a = 1\nb:\n  c: 2</code></pre>')
                 echo = html.escape(page) if k % 3 == 0 else page
@@ -321,9 +362,10 @@ def fitted(samples: list[tuple[str, str]], profiles: Profiles) -> Field:
     sequences, tags = [], []
     for source, answer, names in training_pairs(samples):
         c = Clauses([answer], [source], profiles)
-        if len(c.lines) == len(names):
-            sequences.append(c.x)
-            tags.append(np.array([TAGS.index(t) for t in names]))
+        if len(c.lines) != len(names):
+            raise ValueError(f"{len(c.lines)} clauses but {len(names)} tags: {answer!r}")
+        sequences.append(c.x)
+        tags.append(np.array([TAGS.index(t) for t in names]))
     return Field().fit(sequences, tags)
 
 
@@ -355,7 +397,7 @@ def broken_pairs(answers: DataFrame, key: str, text: str, answer_source: str, so
     the end, when they are a key and a word.
     """
     listed = sample_rows(samples)
-    profiles = Profiles(listed)
+    profiles = Profiles(listed, marker=word_classes)
     field = fitted(listed[:TRAINING_ROWS], profiles)
     own = sources.select(F.col(source_key).alias("sk"), F.coalesce(F.col(source_text), F.lit("")).alias("s")).filter("sk is not null")
     rows = answers.select(F.col(key).alias("k"), F.col(answer_source).alias("a"), F.col(text).alias("t")).filter("a is not null")

@@ -73,3 +73,22 @@ def test_batches_agree(profiles):
     for k, t in enumerate(texts):
         one = profiles.segments([t])
         assert one["lang"].tolist() == whole["lang"][whole["row"] == k].tolist() and one["words"].tolist() == whole["words"][whole["row"] == k].tolist()
+
+
+def test_lengths_are_those_of_the_bundles():
+    texts = ["The node restores the log of the node and the logs of the nodes.", "Der Knoten löscht den Verlauf der Knoten.", "a a a a a", "Вузол вузла вузлом"]
+    profiles = L.Profiles([("en", texts[0]), ("de", texts[1])], dimensions=1 << 16)
+    units = profiles.units(texts)
+    got = profiles.lengths(units.place, units.starts, units.ends)
+    for text, length, words in zip(texts, got, units.words):
+        found = [w.lower() for w in L._TOKEN.findall(text) if w[0] not in L._ENDS]
+        assert len(found) == words and abs(length / np.linalg.norm(sum(profiles.vector(w).astype(float) for w in found)) - 1) < 0.01
+    sentences = profiles.sentences([texts[0]])
+    whole = sum(profiles.vector(w.lower()).astype(float) for w in L._TOKEN.findall(texts[0]) if w[0] not in L._ENDS)
+    assert np.allclose(sentences["cosine"][0], profiles.apart @ whole / np.linalg.norm(whole), atol=0.01)
+
+
+def test_long_words_count_to_their_ends():
+    profiles = L.Profiles([("en", "one two"), ("de", "eins zwei")])
+    a, b = "x" * 45 + "abc", "x" * 45 + "xyz"
+    assert (profiles.vector(a) != profiles.vector(b)).any()

@@ -1,5 +1,4 @@
 import html
-import re
 
 import numpy as np
 import pytest
@@ -16,7 +15,7 @@ def samples(spark, data):
 
 @pytest.fixture(scope="module")
 def model(samples):
-    profiles = Profiles(samples)
+    profiles = Profiles(samples, marker=Q.word_classes)
     return profiles, Q.fitted(samples, profiles)
 
 
@@ -50,6 +49,27 @@ def test_no_source_text(model):
     assert Q.defects([GOOD, "\n\n".join(DE)], ["", None], *model) == [None, None]
 
 
+def test_refusals_in_words_that_training_lacks(model):
+    """None of these stands among the parts that the field learns from; one chapter in each language."""
+    held_out = [
+        "I cant help with this chapter.", "I refuse to do this.", "I won't convert this chapter, please ask someone else.", "My apologies, I could not complete what you asked.", "I must decline.", "We are unable to assist you with that.",
+        "Прошу прощения, я отказываюсь это делать.", "Увы, мне нельзя преобразовывать такой текст.", "Я вынужден отказаться от этой задачи.",
+        "Перепрошую, але я відмовляюся це робити.", "Я не буду перетворювати цей текст.", "Пробачте, мені не можна вам допомогти.",
+        "Es tut mir leid, ich darf das nicht umwandeln.", "Ich weigere mich, das zu tun.", "Diese Aufgabe kann ich nicht übernehmen.",
+        "Disculpe, me niego a convertir este texto.", "Perdone, yo no puedo hacer eso.", "Lo lamento, no estoy autorizado para ayudarle.",
+        "Desculpe, eu recuso esta tarefa.", "Sinto muito, não estou autorizado a ajudar.", "Eu não vou converter este texto, peço desculpa.",
+    ]
+    learned = {clause.lower() for lang in Q._PARTS for n in range(60) for clause in Q.declining(lang, n)}
+    assert not {t.lower() for t in held_out} & learned
+    for page in (PAGE, PAGE.replace("<h1>Log</h1>", "<h1>Protokoll</h1>").replace(EN[0], DE[0]).replace(EN[1], DE[1])):
+        got = Q.defects(held_out, [page] * len(held_out), *model)
+        assert [t for t, d in zip(held_out, got) if d != "refusal"] == []
+    texts = ["The script cannot restore the log if the disk is full.", "Der Knoten kann die Datei nicht löschen.", "You can update the list of users here.", "Note: the node refuses requests without a certificate."]
+    for t in texts:
+        page = PAGE + f"<p>{t}</p>"
+        assert Q.defects([GOOD + f"\n\n{t}", t], [page, f"<p>{t}</p>"], *model) == [None, None], t
+
+
 def test_field_against_brute_force():
     rng = np.random.default_rng(2)
     k = len(Q.TAGS)
@@ -91,31 +111,3 @@ def test_found(spark, data):
     found = find(answers)
     assert {tuple(r) for r in found.collect()} == {(2, "empty"), (3, "copy"), (6, "empty")} and found.count() == 3
     assert find(answers.filter(F.lit(False))).count() == 0
-
-
-def forms(parsed):
-    """Shortest texts that a parsed pattern matches, optional parts with and without."""
-    outs = [""]
-    for op, value in parsed:
-        name = str(op)
-        if name == "LITERAL":
-            now = [chr(value)]
-        elif name == "IN":
-            now = [" "] if str(value[0][0]) == "NEGATE" else [chr(v) if str(o) == "LITERAL" else " " for o, v in value]
-        elif name == "BRANCH":
-            now = [f for branch in value[1] for f in forms(branch)]
-        elif name == "SUBPATTERN":
-            now = forms(value[3])
-        elif name == "MAX_REPEAT":
-            now = ([""] if value[0] == 0 else []) + forms(value[2])
-        else:
-            assert name == "AT", name
-            now = [""]
-        outs = [a + b for a in outs for b in now]
-    return outs
-
-
-def test_every_refusal_holds_a_stem():
-    found = {f for pattern in Q.REFUSALS.values() for f in forms(re._parser.parse(pattern, re.I)) if Q._REFUSAL.search(f)}
-    assert len(found) > 500 and {"i cant help", "as a large language cannot", "as a ai can not"} <= {" ".join(f.split()) for f in found}
-    assert [f for f in found if not Q.stems_of(f.lower())] == []
