@@ -4,7 +4,8 @@ A text of more than `limit` code points is cut into pieces of at most `limit`; e
 after the first begins with exactly the last `overlap` code points of the piece before it.
 
 Gaps between blocks of the text are scored by the similarity of the words in a sliding
-window before and after them; valleys of that curve mark changes of topic. Within the
+window before and after them, words that stand all over the text weighing less; valleys of
+that curve mark changes of topic. Within the
 window of sizes a piece may have, the cut goes to the gap with the deepest valley (of
 equally deep ones the last). Where the window has no gap between blocks, the cut goes to
 the end of a sentence, else to white space, else to the last place that splits no tag,
@@ -41,15 +42,24 @@ _SENTENCE = re.compile(r"[.!?…]+[\"'»”)\]]*\s+")
 _SPACE = re.compile(r"\s+")
 
 
+def rarity(words: np.ndarray) -> np.ndarray:
+    """Weight of each word (a number from 0): how few of the text's stretches of WINDOW_WORDS words have it; a 0 at the end for the place outside a text."""
+    stretches = -(-len(words) // WINDOW_WORDS)
+    pairs = np.unique(words.astype(np.int64) * max(1, stretches) + np.arange(len(words)) // WINDOW_WORDS)
+    having = np.bincount(pairs // max(1, stretches), minlength=int(words.max()) + 1 if len(words) else 0)
+    return np.append(np.log((stretches + 1) / np.maximum(having, 1)), 0.0)
+
+
 def _likeness(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cosine of the counts of words in the windows before and after each place; words are numbers from 0."""
+    """Cosine of the weighted counts of words in the windows before and after each place; words are numbers from 0."""
+    weight = rarity(words) ** 2
     padded = np.concatenate([np.full(WINDOW_WORDS, -1, np.int32), words, np.full(WINDOW_WORDS, -1, np.int32)])
     window = np.arange(WINDOW_WORDS)
     out = []
     for some in np.array_split(at, range(GAPS_AT_ONCE, len(at), GAPS_AT_ONCE)):
         before, after = padded[some[:, None] + window], padded[some[:, None] + WINDOW_WORDS + window]
-        shared = lambda a, b: ((a[:, :, None] == b[:, None, :]) & (a >= 0)[:, :, None]).sum((1, 2))
-        norm = np.sqrt(shared(before, before).astype(np.float64) * shared(after, after))
+        shared = lambda a, b: ((a[:, :, None] == b[:, None, :]).sum(2) * weight[a]).sum(1)
+        norm = np.sqrt(shared(before, before) * shared(after, after))
         out.append(shared(before, after) / np.maximum(norm, 1e-9))
     return np.concatenate(out)
 
