@@ -87,6 +87,8 @@ class Codec:
             raise ValueError("ranks have to run from 0 without a gap")
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.tokens))
         self.letters = {b: c for b, c in enumerate(byte_letters())}
+        back = {c: b for b, c in self.letters.items()}
+        self.pieces = [bytes(map(back.__getitem__, self.model.id_to_piece(n + 1))) for n in range(len(self.tokens))]  # the inverse mapping of the model's pieces
         self._forget()
 
     def _forget(self) -> None:
@@ -127,8 +129,7 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, exactly; for ids of encode() a round trip."""
-        back = {c: b for b, c in enumerate(byte_letters())}
-        return bytes(back[c] for i in ids for c in self.model.id_to_piece(int(i) + 1)).decode("utf-8", "replace")
+        return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -149,3 +150,17 @@ def encoded(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, vocabu
             yield pa.RecordBatch.from_arrays([batch.column("k"), lists], ["k", "ids"])
 
     return rows.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+
+
+def decoded(df: DataFrame, key: str, ids: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, text) of rows of ids; null ids give null. A narrow stage."""
+    rows = df.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(folder, vocabulary)
+        for batch in batches:
+            texts = [None if i is None else own.decode(i) for i in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(texts, pa.string())], ["k", "text"])
+
+    return rows.mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
