@@ -6,6 +6,8 @@ rows stay repeated unless an operator says it makes them one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,65 @@ def folded(html: Column, toc: Column, drop_on_miss: bool = True) -> Column:
     return F.when(F.size(toc) == 0, html).otherwise(F.regexp_replace(F.aggregate(toc, html, step), ANCHOR, ""))
 
 
+_ANCHOR = re.compile(ANCHOR)
+_SKIPPED = re.compile(r"\s*(?:<[^>]+>\s*)*")
+
+
+def fold_page(page: str, entries: list[tuple[int, str, str]]) -> str:
+    """folded() of one page by its entries (level, number, title), row by row.
+
+    The page is cut at its anchors once; what follows each, without tags before it, is looked at by its beginning
+    only, so the time is that of the page and of entries times anchors, not of entries times the page.
+    """
+    if not entries:
+        return page
+    segments = _ANCHOR.split(page)  # what stands before the first anchor, and what follows each
+    before = list(range(-1, len(segments) - 1))
+    after = [*range(1, len(segments)), 0]  # the anchors left as a chain; 0 stands for the page's beginning and end
+    begins: dict[int, tuple[int, int]] = {}  # of an anchor: the segment and place where its text begins
+
+    def begin(k: int) -> tuple[int, int]:
+        if k not in begins:
+            at = _SKIPPED.match(segments[k]).end()
+            begins[k] = begin(after[k]) if at == len(segments[k]) and after[k] and not segments[k].rstrip().endswith("<") else (k, at)
+        return begins[k]
+
+    def drop(k: int, text: str) -> None:
+        """Anchor k goes; text takes the place of what follows it, joined to what stands before."""
+        left, right = before[k], after[k]
+        segments[left] += text
+        after[left], before[right] = right, left if right else before[right]
+        begins.pop(k, None)
+        while left > 0 and left in begins:  # what follows these begins elsewhere now, or did so by way of k
+            begins.pop(left)
+            left = before[left]
+
+    for level, number, title in entries:
+        wanted, size = title.lower(), len(title)
+        k = after[0]
+        while k:
+            at = begin(k)
+            if segments[at[0]][at[1] : at[1] + size].lower() == wanted:
+                break
+            k = after[k]
+        if k:
+            found, place = begin(k)
+            rest = segments[found][place + size :]
+            while after[k] and k != found:
+                following = after[k]
+                drop(k, "")
+                k = following
+            drop(k, f"<h{level}>{number} {title}</h{level}>{rest}")
+        elif after[0]:
+            drop(after[0], segments[after[0]])
+    k = after[0]
+    out = [segments[0]]
+    while k:
+        out.append(segments[k])
+        k = after[k]
+    return "".join(out)
+
+
 def heading_levels(df: DataFrame, number: str = "number") -> DataFrame:
     """df with depth, the parts of its number."""
     return df.withColumn("depth", T.number_level(F.col(number)))

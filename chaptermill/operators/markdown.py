@@ -54,19 +54,22 @@ def renumbered(markdown: Column, chapter: Column, strip_existing: bool = False,
     strip_existing drops a number the text begins with; skip_code leaves lines inside blocks of code.
     """
 
-    def numbered(all_: Column, at: Column, numbers: Column) -> Column:
-        def one(line: Column, i: Column) -> Column:
-            marks = F.regexp_extract(line, r"\A(#+) ", 1)
-            rest = F.substr(line, F.length(marks) + 2)
-            if strip_existing:
-                rest = F.regexp_replace(rest, r"\A\d+(?:\.\d+)*\.?\s+", "")
-            place = F.array_position(at, i).cast("int")
-            return F.when((heading_level(line) > 0) & (place > 0), F.concat(marks, F.lit(" "), F.get(numbers, place - 1), F.lit(" "), rest)).otherwise(line)
-
-        return F.array_join(F.transform(all_, one), "\n")
+    def one(line: Column, number: Column) -> Column:
+        marks = F.regexp_extract(line, r"\A(#+) ", 1)
+        rest = F.substr(line, F.length(marks) + 2)
+        if strip_existing:
+            rest = F.regexp_replace(rest, r"\A\d+(?:\.\d+)*\.?\s+", "")
+        return F.concat(marks, F.lit(" "), number, F.lit(" "), rest)
+
+    def numbered(all_: Column, found: Column, numbers: Column) -> Column:
+        """Each heading with its number, and the lines up to the next one."""
+        following = lambda k: F.coalesce(F.get(found, k + 1)["at"], F.size(all_))
+        first = F.coalesce(F.get(found, F.lit(0))["at"], F.size(all_))
+        parts = F.transform(found, lambda h, k: F.concat(F.array(one(F.get(all_, h["at"]), F.get(numbers, k))), F.slice(all_, h["at"] + 2, following(k) - h["at"] - 1)))
+        return F.array_join(F.flatten(F.concat(F.array(F.slice(all_, F.lit(1), first)), parts)), "\n")
 
     def with_lines(all_: Column) -> Column:
-        return T.bound(headings(all_, skip_code), lambda found: T.bound(heading_numbers(found, chapter), lambda numbers: T.bound(F.transform(found, lambda h: h["at"]), lambda at: numbered(all_, at, numbers))))
+        return T.bound(headings(all_, skip_code), lambda found: T.bound(heading_numbers(found, chapter), lambda numbers: numbered(all_, found, numbers)))
 
     return T.bound(T.lines(markdown), with_lines)
 
@@ -216,10 +219,30 @@ def body(markdown: Column) -> Column:
     return F.regexp_replace(markdown, r"(?s)\A---[ \t]*\r?\n.*?(?<=\n)---[ \t]*(?:\r?\n|\z)", "")
 
 
+def front_map(markdown: Column) -> Column:
+    """Map of the top-level keys of the front matter to their values as text; empty without front matter.
+
+    Quoted values lose their quotes; a text over several lines, plain or after ">", becomes one line, one after "|"
+    keeps its lines. Lists and nested keys keep their lines. Of a key that occurs again the last one counts.
+    """
+    pattern = r"(?m)^([A-Za-z_][\w-]*):[ \t]*([^\n]*(?:\n(?:[ \t]+[^\n]*|- [^\n]*))*)"
+    front = F.regexp_replace(F.coalesce(front_matter(markdown), F.lit("")), r"\r\n?", "\n")
+    pairs = F.arrays_zip(F.regexp_extract_all(front, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(front, F.lit(pattern), F.lit(2)).alias("v"))
+
+    def value(v: Column) -> Column:
+        own = F.regexp_replace(F.regexp_replace(v, r"\A[|>][+-]?[ \t]*\n", ""), r"\s+\z", "")
+        one_line = F.regexp_replace(F.regexp_replace(own, r"\A[ \t]+", ""), r"[ \t]*\n[ \t]*", " ")
+        quoted = F.regexp_replace(F.regexp_replace(one_line, r"(?s)\A'(.*)'\z", "$1"), r'(?s)\A"(.*)"\z', "$1")
+        text = F.when(one_line.startswith("'") & one_line.endswith("'"), F.replace(quoted, F.lit("''"), F.lit("'"))).when(one_line.startswith('"') & one_line.endswith('"'), F.replace(quoted, F.lit('\\"'), F.lit('"'))).otherwise(one_line)
+        nested = v.startswith("\n") | v.rlike(r"\n- ")
+        return F.when(nested, F.regexp_replace(own, r"\A\n", "")).when(v.startswith("|"), F.regexp_replace(own, r"(?m)^[ \t]+", "")).otherwise(text)
+
+    return F.map_from_entries(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["k"], value(F.element_at(F.filter(pairs, lambda q: q["k"] == p["k"]), F.lit(-1))["v"])))))
+
+
 def front_value(markdown: Column, key: str) -> Column:
-    """Value of a plain key of the front matter, without quotes; null if it has none."""
-    found = F.regexp_extract(front_matter(markdown), rf"(?m)^{key}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1)
-    return F.when(found != "", F.regexp_replace(found, r"\A(['\"])(.*)\1\z", "$2"))
+    """Value of a key of the front matter as in front_map(); null if it has none or an empty one."""
+    return F.nullif(F.try_element_at(front_map(markdown), F.lit(key)), F.lit(""))
 
 
 def title(markdown: Column) -> Column:

@@ -13,10 +13,21 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def word_prefix(words: Column, above: float) -> Column:
-    """So many of the first words in a fixed order (longer ones first, being rarer) that two sets alike by more than `above` have one of them in common."""
-    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.transform(F.slice(ordered, F.lit(1), F.size(words) - F.floor(F.size(words) * above).cast("int")), lambda x: x["w"])
+def prefixed(df: DataFrame, id_: list[str], words: str, known: DataFrame, above: float) -> DataFrame:
+    """Rows of df once for each word w of the prefix of its array of words: so many of its rarest words that two sets alike by more than `above` have one of them in common.
+
+    known: (w, n) how often words occur, the same for both sides of a match; words that it lacks come first. id_ tells rows apart.
+    """
+    each = df.select(*id_, F.size(words).alias("__size"), F.explode(words).alias("w")).join(known, "w", "left")
+    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")))
+    packed = each.groupBy(*id_, "__size").agg(ordered.alias("__ws"))
+    prefix = F.slice("__ws", F.lit(1), F.col("__size") - F.floor(F.col("__size") * above).cast("int"))
+    return packed.select(*id_, F.transform("__ws", lambda x: x["w"]).alias(words), F.explode(F.transform(prefix, lambda x: x["w"])).alias("w"))
+
+
+def word_counts(df: DataFrame, words: str) -> DataFrame:
+    """(w, n): rows of df that have a word."""
+    return df.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_matches(items: DataFrame, text: str, titles: DataFrame, title: str, title_id: str, above: float = 0.5, boost: float = 0.0, candidate_above: float | None = None) -> DataFrame:
@@ -31,7 +42,8 @@ def best_matches(items: DataFrame, text: str, titles: DataFrame, title: str, tit
     left = items.select(F.col(text).alias("l")).filter("l is not null").distinct().withColumn("lw", T.word_set(F.col("l")))
     right = titles.select(F.col(title).alias("t"), F.col(title_id).alias("r")).filter("t is not null").distinct().withColumn("rw", T.word_set(F.col("t")))
     least = max(0.0, above - boost)
-    a, b = (df.withColumn("w", F.explode(word_prefix(F.col(words), least))) for df, words in ((left, "lw"), (right, "rw")))
+    known = word_counts(right, "rw")
+    a, b = prefixed(left, ["l"], "lw", known, least), prefixed(right, ["t", "r"], "rw", known, least)
     score = T.jaccard(F.col("lw"), F.col("rw"))
     if boost:
         first = lambda c: F.slice(T.words(F.lower(c)), 1, 3)
@@ -50,7 +62,8 @@ def numbers_of_texts(texts: DataFrame, toc: DataFrame, group: str, text: str, ab
     """
     left = texts.select(F.col(group).alias("g"), F.col(text).alias("l")).filter("g is not null and l is not null").distinct().withColumn("lw", T.word_set(F.col("l")))
     right = toc.select(F.col(group).alias("g"), F.col("title").alias("t"), "number", F.col("first_pos").alias("p")).withColumn("rw", T.word_set(F.col("t")))
-    a, b = (df.withColumn("w", F.explode(word_prefix(F.col(words), above))) for df, words in ((left, "lw"), (right, "rw")))
+    known = word_counts(right, "rw")
+    a, b = prefixed(left, ["g", "l"], "lw", known, above), prefixed(right, ["g", "t", "number", "p"], "rw", known, above)
     alike = a.join(b, ["g", "w"]).select("g", "l", "number", "p", T.jaccard(F.col("lw"), F.col("rw")).alias("score")).filter(F.col("score") > above)
     same = left.join(right.drop("rw"), (left["g"] == right["g"]) & (F.col("l") == F.col("t"))).select(left["g"], "l", "number", "p", F.lit(2.0).alias("score"))
     best = alike.unionByName(same).groupBy("g", "l").agg(F.max(F.struct("score", (-F.col("p")).alias("back"), "number")).alias("m"))

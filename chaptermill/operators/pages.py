@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .contents import fold_page
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,14 +186,21 @@ def contents_removed(page: str, word: str = "СОДЕРЖАНИЕ") -> str:
     return "<html><body>" + "".join(out) + "</body></html>"
 
 
-def without_contents(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, html) of pages without their tables of contents; a null page stays null."""
-    rows = df.select(F.col(key).alias("k"), F.col(html).alias("h"))
+def without_contents(df: DataFrame, key: str, html: str, toc: str | None = None) -> DataFrame:
+    """(key, html) of pages without their tables of contents; a null page stays null.
+
+    toc: array of (level, number, title) by which the anchors of a page are folded into headings before, in the same pass.
+    """
+    rows = df.select(F.col(key).alias("k"), F.col(html).alias("h"), *([F.col(toc).alias("t")] if toc else []))
     kind = rows.schema["k"].dataType.simpleString()
 
+    def one(page: str, entries) -> str:
+        return contents_removed(page if entries is None else fold_page(page, [(e["level"], e["number"], e["title"]) for e in entries]))
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"k": part["k"], "h": [None if h is None else contents_removed(h) for h in part["h"]]})
+            entries = part["t"] if toc else [None] * len(part)
+            yield pd.DataFrame({"k": part["k"], "h": [None if h is None else one(h, e) for h, e in zip(part["h"], entries, strict=True)]})
 
     return rows.mapInPandas(run, f"k {kind}, h string").withColumnsRenamed({"k": key, "h": html})
 

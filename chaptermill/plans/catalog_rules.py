@@ -246,3 +246,15 @@ def lost_headings(spark: SparkSession, d: str) -> DataFrame:
     joined = split_join(responses, _chapters(spark, d).select(F.col("chapter_id").alias("page_id"), "chapter_html"), "chapter_id", "page_id", "response_id")
     lost = J.missing_texts(P.heading_texts(F.col("chapter_html")), F.col("markdown"))
     return joined.select("response_id", lost.alias("a")).filter(F.size("a") > 0).select("response_id", F.array_join("a", "|").alias("lost")).distinct()
+
+
+_FRONT = "---\ntitle: >\n  Doc {id}\n  in two lines\nnote: |\n  a\n  b\nsay: 'it''s {id}'\nplain: x: y\ntags:\n  - one\n  - two\nreadNext:\n  to: /n\n  label: N\n---\n# x"
+
+
+@_query(
+    """select doc_id, k as key, replace(v, '{id}', doc_id::varchar) as value from documents, (values ('title', 'Doc {id} in two lines'), ('note', 'a' || chr(10) || 'b'), ('say', 'it''s {id}'), ('plain', 'x: y'), ('tags', '  - one' || chr(10) || '  - two'), ('readNext', '  to: /n' || chr(10) || '  label: N')) as t(k, v)"""
+)
+def front_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of front matter with values over several lines, quotes, lists and nested keys."""
+    text = F.replace(F.lit(_FRONT), F.lit("{id}"), F.col("doc_id").cast("string"))
+    return _table(spark, d, "documents").select("doc_id", F.explode(M.front_map(text)).alias("key", "value"))

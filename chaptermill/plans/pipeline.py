@@ -34,8 +34,7 @@ class Result:
 def document_pages(files: DataFrame, style_map: dict[str, str] | None = None) -> DataFrame:
     """(path, html) of DOCX files: anchors folded into headings by the file's own contents, which are then removed. Each file is parsed once; no shuffle."""
     read = docx.documents(files, style_map).filter("error is null")
-    folded = read.select("path", T.bound(contents.entries(F.col("contents")), lambda toc: contents.folded(F.col("html"), toc)).alias("html"))
-    return pages.without_contents(folded, "path", "html")
+    return pages.without_contents(read.select("path", "html", contents.entries(F.col("contents")).alias("toc")), "path", "html", "toc")
 
 
 def document_chapters(files: DataFrame, only: int | None = None, style_map: dict[str, str] | None = None) -> DataFrame:
@@ -85,7 +84,9 @@ def converted(files: DataFrame, settings: Settings, rules: str, examples: str, f
     rows = processed(got.filter("content is not null"))
     good = rows.filter("error is null")
     failed = got.filter("content is null").select("path", "chapter_no", "error").unionByName(rows.filter("error is not null").select("path", "chapter_no", "error"))
-    placed = navigation.neighbours(good.select("path", "chapter_no", "filename", "title", "markdown"), "path", ["filename", "chapter_no"], ["filename", "title"])
+    # Names alone are put in order; the texts are joined to their neighbours' names.
+    placed = navigation.neighbours(good.select("path", "chapter_no", "filename", "title"), "path", ["filename", "chapter_no"], ["filename", "title"]).drop("ord", "filename", "title")
+    placed = good.select("path", "chapter_no", "filename", "title", "markdown").join(placed, ["path", "chapter_no"])
     link = lambda c: navigation.link_target(F.col(c))
     final = placed.select("path", "chapter_no", "filename", "title", M.with_navigation(F.col("markdown"), link("prev_filename"), F.col("prev_title"), link("next_filename"), F.col("next_title")).alias("markdown"))
     warned = good.select("path", "chapter_no", F.posexplode(F.concat(F.array_compact(F.array("incomplete")), M.warnings(F.col("markdown")))).alias("ord", "message"))

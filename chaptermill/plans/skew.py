@@ -16,10 +16,16 @@ SHARE, LEAST = 0.001, 500
 
 
 def hot_keys(df: DataFrame, key: str, share: float = SHARE, least: int = LEAST) -> dict[object, int]:
-    """Number of parts of each hot key of df; null is no key. Reads the key column alone and counts before the shuffle."""
-    keys = df.select(F.col(key).alias("k")).filter("k is not null")
-    most = max(least, math.ceil(share * keys.count()))
-    return {r["k"]: -(-r["n"] // most) for r in keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).collect()}
+    """Number of parts of each hot key of df; null is no key. One job, which reads the key column alone and counts before the shuffle.
+
+    The driver gets the number of all rows and the 1 / share largest keys, among which all hot ones are.
+    """
+    keys = df.select(F.col(key).alias("k")).filter("k is not null").rollup("k").agg(F.count(F.lit(1)).alias("n"), F.grouping("k").alias("all"))
+    most_hot = math.ceil(1 / share) if share else 1_000_000  # without a share, `least` alone decides
+    top = keys.orderBy(F.desc("all"), F.desc("n")).limit(most_hot + 1).collect()
+    total = next((r["n"] for r in top if r["all"]), 0)
+    most = max(least, math.ceil(share * total))
+    return {r["k"]: -(-r["n"] // most) for r in top if not r["all"] and r["n"] > most}
 
 
 def _parts(key: Column, hot: dict[object, int]) -> Column:

@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from chaptermill.operators import contents as C
@@ -60,3 +63,26 @@ def test_cascade(spark):
     texts = ["4.1.2.1 Подготовка", "4.1.2 П", "4.1 П", "4 На", "4 НА", "4.1 x", ""]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(C.numbered_depth(F.col("t"))).collect()] == [4, 3, 2, 1, None, None, None]
+
+
+def test_fold_of_pages_is_that_of_columns(spark):
+    rng = random.Random(11)
+    words = ["Alpha", "beta", "Alpha beta", "gamma", " ", "<b>", "</b>", "<i> ", "\n", "x"]
+    rows = []
+    for n in range(400):
+        page = "".join(f'<a id="__RefHeading___{rng.randrange(9)}"></a>' if rng.random() < 0.35 else rng.choice(words) for _ in range(rng.randrange(14)))
+        toc = [(rng.randrange(1, 4), f"{k}.{rng.randrange(3)}", rng.choice(["alpha", "Beta", "ALPHA BETA", "gamma", "none", "x"])) for k in range(rng.randrange(5))]
+        rows.append((n, page, toc))
+    df = spark.createDataFrame(rows, "n int, page string, toc array<struct<level int, number string, title string>>")
+    got = {r.n: r.h for r in df.select("n", C.folded(F.col("page"), F.col("toc")).alias("h")).collect()}
+    for n, page, toc in rows:
+        assert C.fold_page(page, toc) == got[n], (page, toc)
+    assert len({got[n] for n, _, _ in rows}) > 200
+
+
+def test_fold_of_a_book():
+    titles = [f"Title number {k} of the book" for k in range(2000)]
+    page = "".join(f'<p>{"word " * 50}</p><a id="__RefHeading___{k}"></a><b>{t}</b>' for k, t in enumerate(titles))
+    began = time.perf_counter()
+    folded = C.fold_page(page, [(1, str(k), t) for k, t in enumerate(titles)])
+    assert folded.count("<h1>") == 2000 and "__RefHeading" not in folded and time.perf_counter() - began < 5
