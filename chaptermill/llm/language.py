@@ -39,7 +39,7 @@ SAMPLES = 6000
 #: language. A sentence of fewer words than the last figure takes its neighbour's language.
 AHEAD, ANCHOR_WORDS, SURE_WORDS = 0.25, 6, 3
 #: Words whose products a worker keeps, and units whose n-grams are counted at once.
-KEPT, UNITS_AT_ONCE = 200_000, 4096
+KEPT, UNITS_AT_ONCE = 200_000, 1024
 
 _LINE_ENDS = re.compile("\r\n|[\r\v\f\x85  ]")
 #: What stands aside of running text: front matter, fenced code, tables, titles, captions, images, inline code, tags, addresses, paths.
@@ -132,7 +132,7 @@ class Profiles:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {"\n": 0, "\0": 1}
+        self.places: dict[str, int] = {"\n": 0, "\0": 1, "": 0}
         self.scores = np.zeros((2, len(self.languages)), np.float32)
         self.marks = np.zeros(2, np.int64)
         self.is_word = np.zeros(2, bool)
@@ -166,29 +166,31 @@ class Profiles:
         new = [w for w in set(words) - self.places.keys()]
         if not new:
             return
-        if len(self.places) + len(new) > KEPT and len(self.places) > 2:
+        if len(self.places) + len(new) > KEPT and len(self.places) > 3:
             self._forget()
             new = [w for w in set(words) - self.places.keys()]
+        lower = ["" if w[0] in _ENDS else w.lower() for w in new]
+        listed: list[int] = []
+        count = np.zeros(len(new), np.int64)
+        scores = []
         for begin in range(0, len(new), 256):
-            part = new[begin : begin + 256]
+            part = lower[begin : begin + 256]
             vectors = np.zeros((len(part), self.dimensions), np.float32)
-            lower = ["" if w[0] in _ENDS else w.lower() for w in part]
-            listed: list[int] = []
-            count = np.zeros(len(part), np.int64)
-            for k, w in enumerate(lower):
+            for k, w in enumerate(part):
                 if w:
                     vectors[k] = self.vector(w)
                     padded = f" {w} "
                     grams = [padded[i : i + n] for n in self.grams for i in range(len(padded) - n + 1)]
                     listed += [self._numbers.setdefault(g, len(self._numbers)) for g in grams]
-                    count[k] = len(grams)
-            self.places.update(zip(part, range(len(self.places), len(self.places) + len(part)), strict=True))
-            self.scores = np.concatenate((self.scores, np.einsum("wd,ld->wl", vectors, self.apart)))  # no threads of a linear algebra library
-            self.is_word = np.append(self.is_word, [bool(w) for w in lower])
-            self.marks = np.append(self.marks, [self.marker(w) if w and self.marker else 0 for w in lower])
-            self.first = np.append(self.first, len(self.of_word) + np.cumsum(count) - count)
-            self.count = np.append(self.count, count)
-            self.of_word = np.append(self.of_word, np.array(listed, np.int32))
+                    count[begin + k] = len(grams)
+            scores.append(np.einsum("wd,ld->wl", vectors, self.apart))  # no threads of a linear algebra library
+        self.places.update(zip(new, range(len(self.is_word), len(self.is_word) + len(new)), strict=True))
+        self.scores = np.concatenate((self.scores, *scores))
+        self.is_word = np.append(self.is_word, [bool(w) for w in lower])
+        self.marks = np.append(self.marks, [self.marker(w) if w and self.marker else 0 for w in lower])
+        self.first = np.append(self.first, len(self.of_word) + np.cumsum(count) - count)
+        self.count = np.append(self.count, count)
+        self.of_word = np.append(self.of_word, np.array(listed, np.int32))
 
     def lengths(self, place: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Length of the bundle of the words place[start : end] of each unit."""
@@ -235,6 +237,15 @@ class Profiles:
         marks = np.bitwise_or.reduceat(self.marks[place], starts) if len(units) else np.zeros(0, np.int64)
         return Units(words[ends] - words[starts], products, marks, place, starts, ends)
 
+    def products(self, units: list[list[str]]) -> np.ndarray:
+        """Products of units, given as their words, with each language; empty words count for nothing."""
+        tokens = list(chain.from_iterable(units))
+        self.learn(tokens)
+        place = np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))
+        total = np.concatenate((np.zeros((1, len(self.languages))), np.cumsum(self.scores[place], axis=0, dtype=np.float64)))
+        ends = np.cumsum([len(u) for u in units])
+        return total[ends] - total[ends - [len(u) for u in units]] if units else np.zeros((0, len(self.languages)))
+
     def segments(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         """Of each segment: row, language (its number), words, confidence."""
         s = self.sentences(texts)

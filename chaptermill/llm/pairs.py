@@ -84,8 +84,9 @@ def word_classes(word: str) -> int:
 
 _QUOTED = re.compile(r"«[^»\n]*»|„[^“”\n]*[“”]|“[^”\n]*”|\"[^\"\n]*\"")
 _INLINE_ASIDE = re.compile(r"`[^`\n]*`|!\[[^\]\n]*\]\([^)\n]*\)|<[^<>\n]*>|\]\([^)\n]*\)|(?<!\w)\w+://\S+|&#?\w+;")
-_CODE_EDGE = re.compile(r"</?pre\b[^<>]*>", re.I)
-_ANY_TAG = re.compile(r"<[^<>]*>")
+#: Words of a page; what stands in code, tags and entities gives empty ones.
+_PAGE_WORD = re.compile(r"<pre\b.*?(?:</pre\s*>|\Z)|<[^<>]*>|&\w+;|([^\W\d_]+)", re.I | re.S)
+_SIGNS = re.compile(f"[{re.escape(IDENTIFIER_SIGNS)}]")
 _PAGE_TAG = re.compile(r"(?:<|&lt;)/?(?:!doctype|html|body|head|h1)\b", re.I)
 _TABLE_LINE = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _CAPTION = re.compile(r">\s*\w+ \d+\s*[–—-] ")
@@ -120,6 +121,7 @@ class Clauses:
         running: list[bool] = []
         plain: list[str] = []
         rows: list[list[float]] = []
+        none = [1.0] + [0.0] * (len(FEATURES) - 1)
         for number, (answer, source) in enumerate(zip(answers, sources, strict=True)):
             body = unwrapped(answer)[0]
             front = _FRONT.match(body)
@@ -131,11 +133,11 @@ class Clauses:
                 text = line.strip()
                 if not text:
                     continue
-                f = [0.0] * len(FEATURES)
-                f[0] = 1.0
-                fence = text.startswith(("```", "~~~"))
-                preface = len(rows) == first and text.endswith(":") and len(text) <= PREFACE
-                aside = inside or fence or preface or text[0] in "#|" or text.startswith(("![", "::")) or bool(_CAPTION.match(text)) or bool(_TABLE_LINE.match(text))
+                f = none.copy()
+                sign = text[0]
+                fence = sign in "`~" and text.startswith(("```", "~~~"))
+                aside = inside or fence or sign in "#|" or sign == "!" and text.startswith("![") or sign == ":" and text.startswith("::") or sign == ">" and bool(_CAPTION.match(text)) or sign == "<" and bool(_TABLE_LINE.match(text))
+                aside = aside or len(rows) == first and text.endswith(":") and len(text) <= PREFACE
                 if fence:
                     inside = not inside
                 elif not inside and ("<" in text or "&" in text):
@@ -165,12 +167,12 @@ class Clauses:
                 f[10], f[11], f[12] = float(e.kind == "open"), float(e.kind == "bare"), float(e.mark in ("bytes", "dots"))
         x = np.array(rows, np.float32).reshape(-1, len(FEATURES))
         clean = _INLINE_ASIDE.sub(" ", "\n".join(plain))
-        if any(c in clean for c in IDENTIFIER_SIGNS):
-            clean = "\n".join(IDENTIFIER.sub(" ", t) if any(c in t for c in IDENTIFIER_SIGNS) else t for t in clean.split("\n"))
+        if _SIGNS.search(clean):
+            clean = "\n".join(IDENTIFIER.sub(" ", t) if _SIGNS.search(t) else t for t in clean.split("\n"))
         units = profiles.units(clean.split("\n") if plain else [])
         words, products = units.words, units.products
         row = np.array(self.row, np.int64)
-        of_source = profiles.units([_ANY_TAG.sub(" ", " ".join(_CODE_EDGE.split(s)[::2])).replace("\n", " ") if s else "" for s in sources]).products
+        of_source = profiles.products([_PAGE_WORD.findall(s) if s else [] for s in sources])
         own = of_source.argmax(1)
         known = np.array([bool(s) for s in sources]) & (np.abs(of_source).sum(1) > 0)
         if len(row):
