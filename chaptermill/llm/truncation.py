@@ -242,7 +242,7 @@ def _posterior(limits: Column) -> Column:
 #: Features of an ending; of each the model holds how often its values occur among cut and among complete texts.
 FEATURES = ("form", "place", "words")
 # How often values occur before anything is counted, as the weight of so many texts: in what way a cut at a random place ends and a complete text ends. The counts of all texts go on from there.
-PRIOR_TEXTS = 20.0
+PRIOR_TEXTS = 100.0
 START = {
     "form": (
         {"bare prose": 0.5, "bare item": 0.1, "bare heading": 0.03, "bare caption": 0.02, "open table": 0.05, "open code": 0.05, "open prose": 0.05, "bare prose dots": 0.1, "bare prose bytes": 0.05, "bare prose ellipsis": 0.05},
@@ -281,7 +281,7 @@ def fitted(cells: list[tuple], rounds: int = 100) -> Model:
                 counted = np.bincount(code, weight, len(values[k])) + PRIOR_TEXTS * start[k][z] / start[k][z].sum()
                 tables[k][z] = counted / counted.sum()
         rest = n[free].sum()
-        elsewhere = float(np.log((cut[free].sum() + 0.3) / (rest - cut[free].sum() + 9.7)))
+        elsewhere = float(np.log((cut[free].sum() + 0.03 * PRIOR_TEXTS) / (rest - cut[free].sum() + 0.97 * PRIOR_TEXTS)))
     ratios = {f: dict(zip(values[k], np.log(tables[k][0] / tables[k][1]).tolist(), strict=True)) for k, f in enumerate(FEATURES)}
     return Model(ratios, elsewhere)
 
