@@ -11,7 +11,7 @@ from ..operators import markdown as M
 from ..operators import matching as J
 from ..operators import pages as P
 from ..operators import rules as R
-from .catalog import _CHAPTER, _H, _LINES, _SPACE, _STRIP, _TEXTS_OF, _chapters, _documents, _headings, _query, _table
+from .catalog import _CHAPTER, _H, _LINES, _SPACE, _STRIP, _TEXTS_OF, _chapters, _documents, _headings, _lines_of, _query, _table
 from .skew import split_join
 
 _CH = "c as (select distinct chapter_id, chapter_html from chapter where chapter_html is not null)"
@@ -123,13 +123,18 @@ def component_items(spark: SparkSession, d: str) -> DataFrame:
     return df.select("doc_id", F.col("x.line_no").cast("long").alias("line_no"), F.col("x.right").alias("right"))
 
 
+_BROKEN = r"regexp_replace(text, '(?m)^\| ([^|\n-]+) \|', '| \1<br>x<br/>y |', 'g')"
+
+
 @_query(
-    rf"""with {_LINES}, s as (select doc_id, line_no, following, list_transform(string_split(regexp_replace(line, '^\||\|\s*$', '', 'g'), '|'), lambda x: trim(x)) as a from lines where regexp_matches(line, '^\|(?:\s*:?-+:?\s*\|)+\s*$'))
+    rf"""with {_lines_of(_BROKEN)}, s as (select doc_id, line_no, following, list_transform(string_split(regexp_replace(line, '^\||\|\s*$', '', 'g'), '|'), lambda x: trim(x)) as a from lines where regexp_matches(line, '^\|(?:\s*:?-+:?\s*\|)+\s*$'))
     select doc_id, line_no, array_to_string(list_transform(a, lambda x: case when starts_with(x, ':') and ends_with(x, ':') then 'c' when starts_with(x, ':') then 'l' when ends_with(x, ':') then 'r' else '-' end), '') as columns,
     coalesce(len(regexp_extract_all(following, '(?i)<br\s*/?>')), 0) as breaks from s"""
 )
 def table_columns(spark: SparkSession, d: str) -> DataFrame:
-    df = _table(spark, d, "documents").select("doc_id", F.explode(R.table_columns(F.col("text"))).alias("x"))
+    """Tables whose first cells were given line breaks."""
+    broken = F.regexp_replace("text", r"(?md)^\| ([^|\n-]+) \|", "| $1<br>x<br/>y |")
+    df = _table(spark, d, "documents").select("doc_id", F.explode(R.table_columns(broken)).alias("x"))
     return df.select("doc_id", F.col("x.line_no").cast("long").alias("line_no"), F.col("x.columns").alias("columns"), F.col("x.breaks").cast("long").alias("breaks"))
 
 
@@ -143,12 +148,14 @@ def bare_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    r"""with m as (select doc_id, regexp_extract_all(text, '(?m)^!\[([^\]\n]*)\]\(([^)\s]+)\)[ \t]*$', 1) as s, regexp_extract_all(text, '(?m)^!\[([^\]\n]*)\]\(([^)\s]+)\)[ \t]*$', 2) as p from documents where text is not null)
+    r"""with n as (select doc_id, replace(text, '![', case when length(text) % 2 = 0 then '![Рисунок 7 – ' else '![' end) as text from documents where text is not null),
+    m as (select doc_id, regexp_extract_all(text, '(?m)^!\[([^\]\n]*)\]\(([^)\s]+)\)[ \t]*$', 1) as s, regexp_extract_all(text, '(?m)^!\[([^\]\n]*)\]\(([^)\s]+)\)[ \t]*$', 2) as p from n)
     select doc_id, i - 1 as ord, p[i] as src, s[i] as sign, nullif(regexp_extract(s[i], '^(?:Рисунок|Figure|Abbildung|Figura|Imagem) (\d+) – ', 1), '') as number from m, unnest(range(1, len(s) + 1)) as t(i)"""
 )
 def sign_images(spark: SparkSession, d: str) -> DataFrame:
-    """Images put into blocks, which are read again."""
-    df = _table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(R.sign_images(R.image_blocks(F.regexp_replace("text", r"\r\n?", "\n")))).alias("ord", "x"))
+    """Images, some numbered in their signs, put into blocks, which are read again."""
+    numbered = F.replace("text", F.lit("!["), F.when(F.length("text") % 2 == 0, "![Рисунок 7 – ").otherwise("!["))
+    df = _table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(R.sign_images(R.image_blocks(F.regexp_replace(numbered, r"\r\n?", "\n")))).alias("ord", "x"))
     return df.select("doc_id", F.col("ord").cast("long").alias("ord"), "x.src", "x.sign", "x.number")
 
 

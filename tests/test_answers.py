@@ -1,4 +1,6 @@
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,32 @@ def test_settings():
         checked(Settings())
     s = Settings.from_environment({"LLM_PROVIDER": "Mistral", "MISTRAL_API_KEY": "key"})
     assert checked(s).model and "key" not in repr(s) and A.headers_of("k", "r", "t") == {"Authorization": "Bearer k", "Content-Type": "application/json", "HTTP-Referer": "r", "X-Title": "t"}
+
+
+def test_http_transport():
+    """A real endpoint: a failure that passes, headers, and a page that is no JSON."""
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Authorization"], self.headers["HTTP-Referer"], sent["model"]))
+            status, kind, body = (503, "text/plain", "busy") if len(seen) == 1 else (200, "application/json", json.dumps({"choices": [{"message": {"content": "ok"}}]})) if sent["model"] == "m" else (200, "text/html", "<p>")
+            self.send_response(status)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        settings = Settings(endpoint=f"http://127.0.0.1:{server.server_port}/", api_key="k", referer="r")
+        post, headers, waits = E.http_transport(settings)(), A.headers_of("k", "r"), []
+        assert E.asked('{"model": "m"}', post, headers, sleep=waits.append) == (200, 2, "ok", None) and waits == [1.0]
+        assert E.asked('{"model": "x"}', post, headers, sleep=waits.append) == (200, 1, None, "not JSON (text/html): <p>")
+        assert seen == [("Bearer k", "r", "m"), ("Bearer k", "r", "m"), ("Bearer k", "r", "x")]
+    finally:
+        server.shutdown()
