@@ -33,13 +33,15 @@ def _parts(key: Column, hot: dict[object, int]) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(1))
 
 
-def split_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread: str, how: str = "inner", share: float = SHARE, least: int = LEAST) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, spread: str, how: str = "inner", share: float = SHARE, least: int = LEAST, shuffled: bool = False) -> DataFrame:
     """left joined with right on their keys, rows of left's hot keys spread over parts by a hash of column `spread`.
 
     Rows of right are repeated once for each part of a hot key and are few for one key (a lookup
     table). With how="left", rows of left without a key are kept and spread as well. left and
-    right must not share column names; the result has the columns of both.
+    right must not share column names; the result has the columns of both. shuffled: for whole texts, which
+    are never broadcast, so that what comes after the join has tasks of one size at every size of table.
     """
+    right = right.hint("merge") if shuffled else right
     hot = hot_keys(left, left_key, share, least)
     salt = F.lit(0)
     if hot:
