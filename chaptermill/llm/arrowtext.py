@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan with projections and filters, over all cores where its files keep less than half of them busy (few files that can't be split)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in one uint32 array, and the start of each row in it (one more entry than rows).
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrowtext import sliced
+from .arrowtext import sliced, spread
 
 LANGUAGES = ("ru", "en", "uk", "de", "es", "pt")
 DIMENSIONS, GRAMS = 2048, (2, 3, 4)
@@ -311,8 +312,13 @@ def sample_rows(samples: DataFrame, lang: str = "lang", text: str = "text", most
 
 
 def profiles_of(samples: DataFrame, lang: str = "lang", text: str = "text", most: int = SAMPLES) -> Profiles:
-    """Prototypes from at most `most` sample rows."""
-    return Profiles(sample_rows(samples, lang, text, most))
+    """Prototypes from at most `most` sample rows; the same rows give the same prototypes, which are kept for further queries."""
+    return _profiles(tuple(sample_rows(samples, lang, text, most)))
+
+
+@lru_cache(2)
+def _profiles(samples: tuple[tuple[str, str], ...]) -> Profiles:
+    return Profiles(list(samples))
 
 
 _SEGMENTS = "segment_no int, lang string, confidence double, n_words int"
@@ -324,7 +330,7 @@ def language_segments(df: DataFrame, key: str, text: str, profiles: Profiles) ->
     A text with words but no running text gives one segment of 0 running words. Null, empty,
     blank and invisible texts, and texts without a letter, give none. A narrow stage.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +366,7 @@ def document_languages(df: DataFrame, key: str, text: str, label: str, profiles:
     Texts without a word give no row. Segments are summed up inside the batch they come from, so
     no shuffle is needed; each input row is judged by itself, and repeated rows stay repeated.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), label_language(F.col(label)).alias("l")).filter("t is not null")
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"), label_language(F.col(label)).alias("l")).filter("t is not null"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

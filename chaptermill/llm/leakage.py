@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrowtext import sliced
+from .arrowtext import sliced, spread
 
 #: Words in a row that make a leak.
 STRETCH = 12
@@ -206,7 +206,7 @@ def leaked(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: s
     """
     own = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     parts = max(1, -(-(own.agg(F.sum(F.length("t"))).first()[0] or 0) // CHARS_AT_ONCE))
-    rows = corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null")
+    rows = spread(corpus.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null"))
     kind, item_kind = rows.schema["k"].dataType.simpleString(), own.schema["i"].dataType.simpleString()
     item_type = to_arrow_type(own.schema["i"].dataType)
     found = None

@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -371,6 +372,13 @@ def fitted(samples: list[tuple[str, str]], profiles: Profiles) -> Field:
     return Field().fit(sequences, tags)
 
 
+@lru_cache(2)
+def model_of(samples: tuple[tuple[str, str], ...]) -> tuple[Profiles, Field]:
+    """Profiles and field of sample rows; the same rows give the same model, which is kept for further queries."""
+    profiles = Profiles(list(samples), marker=word_classes)
+    return profiles, fitted(list(samples[:TRAINING_ROWS]), profiles)
+
+
 def defects(answers: list[str | None], sources: list[str | None], profiles: Profiles, field: Field) -> list[str | None]:
     """The defect of each pair, or None."""
     out: list[str | None] = ["empty" if is_empty(a) else None for a in answers]
@@ -398,12 +406,10 @@ def broken_pairs(answers: DataFrame, key: str, text: str, answer_source: str, so
     before it: their repeated rows only repeat answers, and repeated results are dropped at
     the end, when they are a key and a word.
     """
-    listed = sample_rows(samples)
-    profiles = Profiles(listed, marker=word_classes)
-    field = fitted(listed[:TRAINING_ROWS], profiles)
+    profiles, field = model_of(tuple(sample_rows(samples)))
     own = sources.select(F.col(source_key).alias("sk"), F.coalesce(F.col(source_text), F.lit("")).alias("s")).filter("sk is not null")
     rows = answers.select(F.col(key).alias("k"), F.col(answer_source).alias("a"), F.col(text).alias("t")).filter("a is not null")
-    joined = split_join(rows, own, "a", "sk", "k").select("k", "t", "s")
+    joined = split_join(rows, own, "a", "sk", "k", shuffled=True).select("k", "t", "s")
     kind = joined.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

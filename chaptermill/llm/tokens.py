@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import sliced
+from .arrowtext import sliced, spread
 
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
@@ -149,7 +149,7 @@ def encoded(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, vocabu
             lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("k"), lists], ["k", "ids"])
 
-    return rows.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return spread(rows).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def decoded(df: DataFrame, key: str, ids: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

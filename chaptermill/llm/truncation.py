@@ -292,7 +292,7 @@ def with_sources(answers: DataFrame, answer: str, answer_source: str, sources: D
     A source's repeated rows repeat its answers; callers drop repeated answers from their small results.
     """
     own = sources.select(F.col(key).alias("__key"), F.col(text).alias("__source_text")).filter(F.col("__key").isNotNull() & F.col("__source_text").isNotNull())
-    return split_join(answers, own, answer_source, "__key", answer, "left").drop("__key")
+    return split_join(answers, own, answer_source, "__key", answer, "left", shuffled=True).drop("__key")
 
 
 def _steps(odds: Column) -> Column:
