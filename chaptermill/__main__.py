@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import posixpath
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,9 +61,8 @@ def navigate(spark: SparkSession, folder: str, out: str) -> int:
     placed = navigation.neighbours(found, "g", ["name"], ["name", "title"])
     link = lambda c: navigation.link_target(F.col(c))
     linked = placed.select("name", M.with_navigation(F.col("text"), link("prev_name"), F.col("prev_title"), link("next_name"), F.col("next_title")).alias("text"))
-    os.makedirs(out, exist_ok=True)
     n = sinks.markdown_files(linked, out, "name", "text").count()
-    sinks.contents_file(found.select("name", "title"), os.path.join(out, "toc.json"), "name", "title")
+    sinks.contents_file(found.select("name", "title"), posixpath.join(out, "toc.json"), "name", "title")
     return n
 
 
@@ -72,12 +72,11 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     if args.command == "navigate":
         print(f"{navigate(spark, args.input, args.out)} files")
         return 0
-    os.makedirs(args.out, exist_ok=True)
     found = docx.files(spark, args.input)
     style_map = docx.style_map_of(_read(args.style_map))
     if args.dry_run:
         print(f"{dry_run(found, args.input, args.out, style_map, args.chapter).count()} files")
-        pipeline.unread(found, style_map).write.mode("overwrite").parquet(os.path.join(args.out, "_unconverted"))
+        pipeline.unread(found, style_map).write.mode("overwrite").parquet(posixpath.join(args.out, "_unconverted"))
         return 0
     own = files.Settings.from_environment()
     if args.provider:
@@ -91,11 +90,11 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     named = sinks.distinct_names(result.markdown.withColumns({"folder": sinks.document_folder(F.col("path"), args.input), "name": sinks.safe_name(F.col("filename"))}), ["folder"], "name", ["chapter_no"])
     n = sinks.write_files(named.withColumn("file", F.concat_ws("/", "folder", "name")), args.out, "file", "markdown").count()
     media = sinks.media_files(docx.media(found), args.input, args.out)
-    media.write.mode("overwrite").parquet(os.path.join(args.out, "_media"))
-    result.warnings.write.mode("overwrite").parquet(os.path.join(args.out, "_warnings"))
-    result.rejected.write.mode("overwrite").parquet(os.path.join(args.out, "_rejected"))
-    result.unconverted.write.mode("overwrite").parquet(os.path.join(args.out, "_unconverted"))
-    sinks.contents_lines(named, os.path.join(args.out, "_toc"), "folder", "filename", "title")
+    media.write.mode("overwrite").parquet(posixpath.join(args.out, "_media"))
+    result.warnings.write.mode("overwrite").parquet(posixpath.join(args.out, "_warnings"))
+    result.rejected.write.mode("overwrite").parquet(posixpath.join(args.out, "_rejected"))
+    result.unconverted.write.mode("overwrite").parquet(posixpath.join(args.out, "_unconverted"))
+    sinks.contents_lines(named, posixpath.join(args.out, "_toc"), "folder", "filename", "title")
     print(f"{n} files")
     return 0
 

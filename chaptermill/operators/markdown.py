@@ -48,11 +48,8 @@ def heading_numbers(found: Column, chapter: Column) -> Column:
     return F.aggregate(found, start, step)["out"]
 
 
-def renumbered(markdown: Column, chapter: Column, strip_existing: bool = False, skip_code: bool = False) -> Column:
-    """Markdown with numbers put before the texts of its headings of levels 2 to 4.
-
-    strip_existing drops a number the text begins with; skip_code leaves lines inside blocks of code.
-    """
+def _with_numbers(lines: Column, found: Column, chapter: Column, strip_existing: bool = False) -> Column:
+    """Lines as one text, each heading among them with its number before its text."""
 
     def one(line: Column, number: Column) -> Column:
         marks = F.regexp_extract(line, r"\A(#+) ", 1)
@@ -61,17 +58,32 @@ def renumbered(markdown: Column, chapter: Column, strip_existing: bool = False,
             rest = F.regexp_replace(rest, r"\A\d+(?:\.\d+)*\.?\s+", "")
         return F.concat(marks, F.lit(" "), number, F.lit(" "), rest)
 
-    def numbered(all_: Column, found: Column, numbers: Column) -> Column:
-        """Each heading with its number, and the lines up to the next one."""
-        following = lambda k: F.coalesce(F.get(found, k + 1)["at"], F.size(all_))
-        first = F.coalesce(F.get(found, F.lit(0))["at"], F.size(all_))
-        parts = F.transform(found, lambda h, k: F.concat(F.array(one(F.get(all_, h["at"]), F.get(numbers, k))), F.slice(all_, h["at"] + 2, following(k) - h["at"] - 1)))
-        return F.array_join(F.flatten(F.concat(F.array(F.slice(all_, F.lit(1), first)), parts)), "\n")
+    def numbered(numbers: Column) -> Column:
+        """Each heading, and the lines up to the next one."""
+        following = lambda k: F.coalesce(F.get(found, k + 1)["at"], F.size(lines))
+        first = F.coalesce(F.get(found, F.lit(0))["at"], F.size(lines))
+        parts = F.transform(found, lambda h, k: F.concat(F.array(one(F.get(lines, h["at"]), F.get(numbers, k))), F.slice(lines, h["at"] + 2, following(k) - h["at"] - 1)))
+        return F.array_join(F.flatten(F.concat(F.array(F.slice(lines, F.lit(1), first)), parts)), "\n")
+
+    return T.bound(heading_numbers(found, chapter), numbered)
+
+
+def renumbered(markdown: Column, chapter: Column, strip_existing: bool = False, skip_code: bool = False) -> Column:
+    """Markdown with numbers put before the texts of its headings of levels 2 to 4.
+
+    strip_existing drops a number the text begins with; skip_code leaves lines inside blocks of code.
+    """
+    return T.bound(T.lines(markdown), lambda lines: T.bound(headings(lines, skip_code), lambda found: _with_numbers(lines, found, chapter, strip_existing)))
+
+
+def page(markdown: Column, chapter: Column) -> Column:
+    """(markdown, n_headings, n_warnings): renumbered(), and how many headings and warnings() there are; the text is cut into lines once."""
 
-    def with_lines(all_: Column) -> Column:
-        return T.bound(headings(all_, skip_code), lambda found: T.bound(heading_numbers(found, chapter), lambda numbers: numbered(all_, found, numbers)))
+    def of(lines: Column, found: Column) -> Column:
+        n_warnings = F.size(_annotations(lines)) + F.size(_captions(lines)) + F.size(_lists(lines))
+        return F.struct(_with_numbers(lines, found, chapter).alias("markdown"), F.size(found).alias("n_headings"), n_warnings.alias("n_warnings"))
 
-    return T.bound(T.lines(markdown), with_lines)
+    return T.bound(T.lines(markdown), lambda lines: T.bound(headings(lines), lambda found: of(lines, found)))
 
 
 def images_under(markdown: Column, slug: Column, root: str = IMAGE_ROOT) -> Column:

@@ -160,10 +160,9 @@ def image_paths(spark: SparkSession, d: str) -> DataFrame:
 def chapter_pages(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: every document numbered, its images moved, its warnings counted, its link; one narrow projection."""
     df = _documents(spark, d).filter("text is not null and text <> ''")
-    done = M.images_under(M.renumbered(F.col("text"), F.col("chapter")), T.stem(F.col("path")))
-    return df.select(
-        "doc_id", F.md5(done).alias("hash"), F.size(M.headings(T.lines(F.col("text")))).cast("long").alias("n_headings"), F.size(M.warnings(F.col("text"))).cast("long").alias("n_warnings"), N.link_target(F.col("path")).alias("link")
-    )
+    page = df.select("doc_id", "path", M.page(F.col("text"), F.col("chapter")).alias("p"))
+    done = M.images_under(F.col("p.markdown"), T.stem(F.col("path")))
+    return page.select("doc_id", F.md5(done).alias("hash"), F.col("p.n_headings").cast("long").alias("n_headings"), F.col("p.n_warnings").cast("long").alias("n_warnings"), N.link_target(F.col("path")).alias("link"))
 
 
 @_query(f"select doc_id, '/' || {_STEM} as link from documents")

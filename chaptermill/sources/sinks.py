@@ -208,11 +208,11 @@ def contents_file(df: DataFrame, path: str, name: str, title: str) -> int:
     For the files of one output folder; contents of many groups go to contents_lines().
     """
     entries = navigation.contents_entries(df.withColumn("__g", F.lit("")), "__g", name, title).orderBy("ord").select("title", "to")
-    n = 0
-    with open(f"{path}.part", "w", encoding="utf-8") as file:
-        for n, entry in enumerate(entries.toLocalIterator(), 1):
-            text = json.dumps(entry.asDict(), ensure_ascii=False, indent=2).replace("\n", "\n  ")
-            file.write(("[\n  " if n == 1 else ",\n  ") + text)
-        file.write("\n]" if n else "[]")
-    os.replace(f"{path}.part", path)
+    system, target = file_system(path)
+    file, n = _Output(system, target), 0
+    for n, entry in enumerate(entries.toLocalIterator(), 1):
+        text = json.dumps(entry.asDict(), ensure_ascii=False, indent=2).replace("\n", "\n  ")
+        file.write((("[\n  " if n == 1 else ",\n  ") + text).encode())
+    file.write(b"\n]" if n else b"[]")
+    file.done()
     return n
