@@ -18,7 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, a scan with projections and filters, over all cores where its files keep less than half of them busy (few files that can't be split)."""
+    """df, a scan with projections and filters, over all cores where its files keep less than half of them busy (few files that can't be split). A df with shuffles of its own stays as it is."""
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 

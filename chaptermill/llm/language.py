@@ -196,16 +196,20 @@ class Profiles:
     def lengths(self, place: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Length of the bundle of the words place[start : end] of each unit."""
         out = np.zeros(len(starts))
+        n = max(1, len(self._numbers))
+        kind = np.int32 if n * UNITS_AT_ONCE < 1 << 31 else np.int64  # a key is a unit and an n-gram
         for low in range(0, len(starts), UNITS_AT_ONCE):
             begin, sizes = starts[low : low + UNITS_AT_ONCE], (ends - starts)[low : low + UNITS_AT_ONCE]
             unit = np.repeat(np.arange(len(begin)), sizes)
             word = place[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(unit))]
             count = self.count[word]
             grams = self.of_word[np.repeat(self.first[word] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            key = np.sort(np.repeat(unit, count) * len(self._numbers) + grams)
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-            n = np.diff(edge) if len(key) else np.zeros(0, np.int64)
-            out[low : low + UNITS_AT_ONCE] = np.bincount(key[edge[:-1]] // max(1, len(self._numbers)), n * n, len(begin)) if len(key) else 0
+            key = np.repeat((unit * n).astype(kind), count) + grams.astype(kind, copy=False)
+            key.sort()
+            if len(key):
+                edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+                times = np.diff(edge)
+                out[low : low + UNITS_AT_ONCE] = np.bincount(key[edge[:-1]] // n, times * times, len(begin))
         return np.sqrt(np.maximum(out * self.dimensions, 1e-9))
 
     def sentences(self, texts: list[str | None]) -> dict[str, np.ndarray]:
